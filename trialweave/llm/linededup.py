@@ -109,7 +109,7 @@ def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     tagged = docs.withColumn("_own", F.xxhash64(docs["text"]))
-    joined = tagged.join(places, docs["doc_id"].eqNullSafe(places["_id"]) & (tagged["_own"] == places["_key"]), "left").select(*(docs[c] for c in names), "_places")
+    joined = tagged.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["_id"]) & (tagged["_own"] == places["_key"]), "left").select(*(docs[c] for c in names), "_places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
