@@ -313,7 +313,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
         tasks = placed.withColumn("part", F.explode(others)).select("doc_id", "text_key", "set_hash", F.xxhash64("cluster", "part").alias("task"))
     else:
         tasks = near.select("doc_id", "text_key", "set_hash", F.col("cluster").alias("task"))
-    texts = rows.join(tasks, rows["doc_id"].eqNullSafe(tasks["doc_id"]) & (rows["text_key"] == tasks["text_key"])).select("task", "set_hash", "text")
+    texts = rows.join(tasks.hint("merge"), rows["doc_id"].eqNullSafe(tasks["doc_id"]) & (rows["text_key"] == tasks["text_key"])).select("task", "set_hash", "text")
     links, _ = written(texts.repartition("task").sortWithinPartitions("task").mapInArrow(_join_clusters(n, num, den), "a long, b long"), "links")
     roots = connected_components(links) if several else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
