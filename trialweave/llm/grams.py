@@ -64,14 +64,16 @@ class Grams:
                 out[has, k] += np.add.reduceat(values, np.minimum(edges, len(values) - 1))[0::2]
         return out / np.maximum(total, 1)[:, None]
 
-    def vectors(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sparse mean vectors: (buckets, shares) of each text."""
-        found: list[list[np.ndarray]] = [[] for _ in texts]
-        for ids, starts, counts in self._parts(texts):
-            for i, (a, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-                found[i].append(ids[a : a + n])
+    def vectors(self, texts: list[bytes], at_once: int = 64) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sparse mean vectors: (buckets, shares) of each text, in short types."""
         out = []
-        for parts in found:
-            ids, count = np.unique(np.concatenate(parts), return_counts=True)
-            out.append((ids, count / max(1, count.sum())))
+        for begin in range(0, len(texts), at_once):
+            some = texts[begin : begin + at_once]
+            found: list[list[np.ndarray]] = [[] for _ in some]
+            for ids, starts, counts in self._parts(some):
+                for i, (a, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+                    found[i].append(ids[a : a + n])
+            for parts in found:
+                ids, count = np.unique(np.concatenate(parts), return_counts=True)
+                out.append((ids.astype(np.int32), (count / max(1, count.sum())).astype(np.float32)))
         return out
