@@ -18,9 +18,12 @@ for itself; no rows give no rows; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -31,43 +34,84 @@ from trialweave.llm.text import byte_table, encoded, slices
 CACHE_WORDS = 400_000
 _SPACE = byte_table("space", lower=False)
 _LOWER = byte_table("space")
+#: Lower-case Latin letters (one code point each, lower case of themselves), then ASCII punctuation.
+_PLAIN_WORD = re.compile("([a-zß-öø-ÿœ]+)([!-/:-@\\[-`{-~]*)")
 
 
 class WordTokenizer:
     """Ids of whole texts through a table of distinct words.
 
-    Exact for vocabularies whose splitting never joins text across ASCII white space and
-    which lower-case letter by letter.  A text is lower-cased before the table is asked
+    Exact for vocabularies whose splitting never joins text across ASCII white space, which
+    lower-case letter by letter, take runs of letters and runs of punctuation as words and
+    mark a word's last token by ``</w>``.  A text is lower-cased before the table is asked
     only when that cannot matter: no special-token opening and no combining mark.
+
+    Unknown words of lower-case Latin letters, with punctuation behind them or not, are
+    encoded many to a call and told apart by their last tokens; all others one by one.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}  # runs of letters, runs of punctuation
+        size = self.tokenizer.get_vocab_size()
+        self.last = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        flat, out, pos = np.fromiter((i for ids in found for i in ids), "<u4").tobytes(), [], 0
+        for ids in found:
+            out.append(flat[pos : pos + 4 * len(ids)])
+            pos += 4 * len(ids)
+        return out
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 8_192):
+            some = parts[at : at + 8_192]
+            runs = [some[i : i + 64] for i in range(0, len(some), 64)]
+            for run, ids in zip(runs, self._encode([" ".join(r) for r in runs]), strict=True):
+                ends = (np.flatnonzero(self.last[np.frombuffer(ids, "<u4")]) + 1) * 4
+                if len(ends) == len(run) and ends[-1] == len(ids):
+                    begin = 0
+                    for w, end in zip(run, ends.tolist(), strict=True):
+                        self.parts[w] = ids[begin:end]
+                        begin = end
+                else:
+                    self.parts.update(zip(run, self._encode(run), strict=True))
+
+    def _learn(self, words: list[bytes]) -> None:
+        if len(self.parts) > CACHE_WORDS:
+            self.parts.clear()
+        split, other = [], []
+        for w in words:
+            m = _PLAIN_WORD.fullmatch(w.decode("utf-8", "replace"))
+            if m:
+                split.append((w, m[1], m[2]))
+            else:
+                other.append(w)
+        parts = self.parts
+        self._learn_parts(list({x for _, a, b in split for x in (a, b) if x and x not in parts}))
+        for w, a, b in split:
+            self.table[w] = parts[a] + parts[b] if b else parts[a]
+        for at in range(0, len(other), 8_192):
+            some = other[at : at + 8_192]
+            self.table.update(zip(some, self._encode([w.decode("utf-8", "replace") for w in some]), strict=True))
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        import numpy as np
-
-        split = [t.translate(_SPACE if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _LOWER).split() for t in texts]
         if len(self.table) > CACHE_WORDS:
             self.table.clear()
-        table = self.table
-        new = list(set().union(*split).difference(table)) if split else []
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            sizes = [e.ids for e in found]
-            flat = np.fromiter((i for ids in sizes for i in ids), "<u4").tobytes()
-            pos = 0
-            for w, ids in zip(part, sizes, strict=True):
-                stop = pos + 4 * len(ids)
-                table[w] = flat[pos:stop]
-                pos = stop
-        get = table.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        get = self.table.get
+        split = [t.translate(_SPACE if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _LOWER).split() for t in texts]
+        found = [list(map(get, words)) for words in split]
+        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
+        if new:
+            self._learn(list(new))
+            found = [list(map(get, words)) if None in ids else ids for words, ids in zip(split, found, strict=True)]
+        return list(map(b"".join, found))
 
 
 def difference(sizes: list[int], k: int) -> tuple[int, list[list[int]]]:
@@ -174,8 +218,6 @@ def pack_documents(
             arrays = [pa.array(c, pa.int64()) for c in columns[:7]]
             names = [n for n, _ in _ARROW]
             if with_ids:
-                import numpy as np
-
                 arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in columns[7]], pa.list_(pa.int32())))
                 names.append("ids")
             rows.clear()
