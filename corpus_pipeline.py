@@ -41,7 +41,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id stay."""
     found, _ = written(jaccard_components(docs, n=5, num=80, den=100), "components")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
         alone = kept.where("doc_id is null")
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(alone)
