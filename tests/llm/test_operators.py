@@ -121,6 +121,37 @@ def test_ngram_join_with_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components({i: word_set(t, 4) for i, t in rows}, 85, 100)
 
 
+@pytest.mark.parametrize("pivots", [0, 1, 64])
+def test_ngram_join_of_large_clusters(spark, monkeypatch, pivots):
+    """Chains, and families that meet in buckets without a link, in clusters of several blocks."""
+    rng = random.Random(5)
+    long = [f"w{k}" for k in range(900)]
+    rows = [(k, " ".join(long[4 * k : 4 * k + 120])) for k in range(150)]
+    for family in range(3):
+        base = [f"b{k}" for k in range(200)]
+        for cut in range(family * 4):
+            base[50 * cut % 200 + family] = f"f{family}-{cut}"
+        for copy in range(50):
+            w = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+            rows.append((1000 + 100 * family + copy, " ".join(w)))
+    rows += [(5000 + i, rows[i][1]) for i in range(0, 300, 17)]
+    monkeypatch.setattr(ngramjoin, "BLOCK_SETS", 20)
+    monkeypatch.setattr(ngramjoin, "PIVOTS", pivots)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85, den=100).collect()
+    want = brute_components({i: word_set(t, 4) for i, t in rows}, 85, 100)
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+    assert len(set(want.values())) > 1
+
+
+def test_ngram_join_with_blocks_of_few_grams(spark, monkeypatch):
+    rows = [(i, " ".join([f"w{k}" for k in range(400)] + [f"x{i}-{k}" for k in range(i % 7)])) for i in range(14)]
+    monkeypatch.setattr(ngramjoin, "BLOCK_GRAMS", 1000)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85, den=100).collect()
+    assert {r["component_id"] for r in got} == {0} and len(got) == 14
+
+
 def test_ngram_join_odd_rows(odd, empty):
     got = sorted((r["doc_id"] is not None and r["doc_id"] or -1, r["n_shingles"], r["component_id"]) for r in ngramjoin.jaccard_components(odd).collect())
     assert [g for g in got if g[0] in (1, 2, 3)] == [(1, 0, 1), (2, 0, 2), (3, 0, 3)]

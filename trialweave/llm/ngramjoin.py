@@ -12,11 +12,14 @@ all further work is on classes.
    size ranges and the largest excess of tokens over bits; a traversal of node pairs drops
    those whose greatest possible overlap is too small, or whose members are already
    connected.  Surviving pairs are checked on the sets themselves.
-3. Clusters beyond a block's size are cut into blocks and joined block pair by block pair,
-   and the found links are joined into components.
+3. Clusters beyond a block's size are cut into blocks.  Each block is joined with itself and
+   with a few pivots, which are the same ones in all blocks of a cluster, so that copies of one
+   text are connected across blocks.  What is not in the cluster's largest component then is
+   compared, again by trees, with all of the cluster, block pair by block pair.
 
-Nothing grows with the square of a group: stars have one edge per member, connected
-members are not compared again, and no group is gathered beyond two blocks.
+A group of near copies costs its size: stars have one edge per member, connected members are
+not compared again, and no task gathers more than two blocks.  Only sets outside a cluster's
+largest component meet all its blocks.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing;
 repeated rows are equal sets; an empty table gives an empty table; other columns are not read.
@@ -37,8 +40,9 @@ from trialweave.llm.text import U64, Words, byte_table, encoded, mix, slices
 
 MISS = 1e-9
 ROWS = 4
-#: Most sets, and most n-grams, of a block of a large cluster.
-BLOCK_SETS, BLOCK_GRAMS = 4096, 4_000_000
+#: About the most sets, and n-grams, of a block of a large cluster; pivots of such a cluster.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 4_000_000
+PIVOTS = 64
 LEAF, FAN = 12, 6
 _TABLE = byte_table("space")
 
@@ -124,6 +128,14 @@ class SignatureTree:
         self.lo, self.hi, self.ex, self.maps = lo, hi, ex, maps
         self.one: list[bool] = [False] * len(self.members)  # all members below are connected
 
+    def connect(self, groups: list[int | None]) -> None:
+        """Takes sets of the same group (null: none) as connected."""
+        first: dict[int, int] = {}
+        for i, g in enumerate(groups):
+            if g is not None:
+                a, b = self.find(first.setdefault(g, i)), self.find(i)
+                self.parent[max(a, b)] = min(a, b)
+
     def find(self, i: int) -> int:
         while self.parent[i] != i:
             self.parent[i] = self.parent[self.parent[i]]
@@ -254,10 +266,13 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _join_clusters(n: int, num: int, den: int):
-    def settle(rows: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
+    """Of rows (task, set_hash, known, home, text) sorted by task: links as (a, b), and for rows
+    that are at ``home`` their text as (set_hash, null, text)."""
+
+    def settle(rows: dict[int, tuple[bytes, int | None]]) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
-        names, texts = list(rows), list(rows.values())
+        names, texts = list(rows), [t for t, _ in rows.values()]
         sets: list[np.ndarray] = []
         at, held = 0, 0
         for i, t in enumerate(texts):
@@ -268,28 +283,66 @@ def _join_clusters(n: int, num: int, den: int):
         right = np.flatnonzero(set_hashes(sets).view(np.int64) == np.array(names))  # an id may stand for other texts too
         if len(right) < 2:
             return
-        root = SignatureTree([sets[i] for i in right], num, den).join()
+        tree = SignatureTree([sets[i] for i in right], num, den)
+        known = [k for _, k in rows.values()]
+        tree.connect([known[i] for i in right])
+        root = tree.join()
         own = np.array(names)[right]
         low: dict[int, int] = {}
         for h, r in zip(own.tolist(), root, strict=True):
             low[r] = min(low.get(r, h), h)
         pairs = [(h, low[r]) for h, r in zip(own.tolist(), root, strict=True) if h != low[r]]
         if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            none = pa.nulls(len(pairs), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64()), none], ["a", "b", "text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, {}
         for batch in batches:
-            for task, h, text in zip(batch.column("task").to_pylist(), batch.column("set_hash").to_pylist(), encoded(batch.column("text")), strict=True):
+            kept = batch.filter(batch.column("home"))
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([kept.column("set_hash"), pa.nulls(len(kept), pa.int64()), kept.column("text")], ["a", "b", "text"])
+            for task, h, known, text in zip(*(batch.column(c).to_pylist() for c in ("task", "set_hash", "known")), encoded(batch.column("text")), strict=True):
                 if task != now:
                     yield from settle(rows)
                     now, rows = task, {}
-                rows[h] = text
+                rows[h] = text, known
         yield from settle(rows)
 
     return run
 
 
+def _joined(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Written (a, b, text) of ``_join_clusters``."""
+    rows = texts.select("task", "set_hash", "known", "home", "text")
+    return written(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_join_clusters(n, num, den), "a long, b long, text string"), "links")[0]
+
+
+def _across_blocks(placed: DataFrame, found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Links of large clusters beyond those ``found`` inside their blocks.
+
+    Sets of a cluster's largest component (main) are connected already; the others (rest)
+    are cut into blocks of their own and meet every block of main and of the rest.
+    """
+    known = connected_components(found.where("b is not null").select("a", "b"))
+    state = placed.where("blocks > 1").join(known, placed["set_hash"] == known["node"], "left").select("cluster", "set_hash", "n", "block", "blocks", F.coalesce("root", "set_hash").alias("known"))
+    state, _ = written(state, "state")
+    parts = state.groupBy("cluster", "known").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
+    mains = parts.groupBy("cluster").agg(F.max(F.struct("sets", "known"))["known"].alias("main"), F.count("*").alias("parts"), F.sum("sets").alias("all_sets"), F.sum("grams").alias("all_grams"), F.max(F.struct("sets", "known", "grams")).alias("most"))
+    rest = F.greatest(F.ceil((F.col("all_sets") - F.col("most.sets")) / BLOCK_SETS), F.ceil((F.col("all_grams") - F.col("most.grams")) / BLOCK_GRAMS)).cast("int")
+    open_ones = mains.where("parts > 1").select("cluster", "main", rest.alias("rests"))
+    open_ones, _ = written(open_ones, "open")
+    dealt = state.join(open_ones.hint("merge"), "cluster").withColumn("own", F.when(F.col("known") != F.col("main"), F.pmod(F.xxhash64("set_hash"), F.col("rests")).cast("int")))
+    meets = F.expr(
+        "case when own is null then transform(sequence(0, rests - 1), r -> struct('main' as kind, block as x, r as y)) "
+        "else concat(transform(sequence(0, blocks - 1), m -> struct('main' as kind, m as x, own as y)), "
+        "transform(filter(sequence(0, rests - 1), r -> r <> own), r -> struct('rest' as kind, least(r, own) as x, greatest(r, own) as y))) end"
+    )
+    tasks = dealt.withColumn("meet", F.explode(meets)).select("set_hash", "known", F.xxhash64("cluster", "meet").alias("task"), F.lit(False).alias("home"))
+    texts = found.where("text is not null").select(F.col("a").alias("set_hash"), "text")
+    return _joined(texts.join(tasks.hint("merge"), "set_hash"), n, num, den).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs(doc_id, text)`` to doc_id, n_shingles, component_id: links are den * overlap >= num * union."""
     spark = docs.sparkSession
@@ -304,18 +357,22 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
     near = classes.join(clusters, classes["set_hash"] == clusters["node"]).select("set_hash", "n", "own.doc_id", "own.text_key", F.col("root").alias("cluster"))
     near, _ = written(near, "near")
     sizes = near.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
-    blocks = sizes.select("cluster", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    large = blocks.where("blocks > 1")
-    several = bool(large.head(1))
-    if several:
-        placed = near.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int"))
-        others = F.expr("case when blocks = 1 then array(0) else filter(transform(sequence(0, blocks - 1), x -> if(x = block, -1, least(x, block) * blocks + greatest(x, block))), x -> x >= 0) end")
-        tasks = placed.withColumn("part", F.explode(others)).select("doc_id", "text_key", "set_hash", F.xxhash64("cluster", "part").alias("task"))
-    else:
-        tasks = near.select("doc_id", "text_key", "set_hash", F.col("cluster").alias("task"))
-    texts = rows.join(tasks.hint("merge"), rows["doc_id"].eqNullSafe(tasks["doc_id"]) & (rows["text_key"] == tasks["text_key"])).select("task", "set_hash", "text")
-    links, _ = written(texts.repartition("task").sortWithinPartitions("task").mapInArrow(_join_clusters(n, num, den), "a long, b long"), "links")
-    roots = connected_components(links) if several else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    blocks = sizes.select("cluster", "sets", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
+    blocks, _ = written(blocks, "blocks")  # with a shuffle of its own Spark may split a hot cluster in the join
+    placed = near.join(blocks.hint("merge"), "cluster").withColumn("block", F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int"))
+    # Pivots together are no larger than about one block.
+    pivot = F.pmod(F.xxhash64("set_hash", F.lit("pivot")), F.col("sets")) < F.least(F.lit(PIVOTS), F.ceil(F.col("sets") / F.col("blocks")))
+    parts = F.when((F.col("blocks") > 1) & pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    tasks = placed.withColumn("part", F.explode(parts)).select(
+        "doc_id", "text_key", "set_hash", F.xxhash64("cluster", "part").alias("task"), F.lit(None).cast("long").alias("known"), ((F.col("blocks") > 1) & (F.col("part") == F.col("block"))).alias("home")
+    )
+    texts = rows.join(tasks.hint("merge"), rows["doc_id"].eqNullSafe(tasks["doc_id"]) & (rows["text_key"] == tasks["text_key"]))
+    found = _joined(texts, n, num, den)
+    links = found.where("b is not null").select("a", "b")
+    if blocks.where("blocks > 1").head(1):
+        roots = connected_components(links.unionByName(_across_blocks(placed, found, n, num, den)))
+    else:  # each cluster was one task, whose links are stars
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
     named = classes.select("set_hash", "least").join(roots, classes["set_hash"] == roots["node"], "left").select("set_hash", "least", F.coalesce("root", "set_hash").alias("class"))
     lowest = named.groupBy("class").agg(F.min("least").alias("component_id"))
