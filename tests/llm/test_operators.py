@@ -276,6 +276,32 @@ def test_line_dedup_catches_a_long_line():
     assert linededup.without("a\n\nb\nc\nd", [1])[0] == "a\n\n"
 
 
+def test_line_dedup_folds_alike_anywhere():
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(2_000)]
+    prose = lambda n, end: " ".join(rng.choice(words) + ("." if rng.random() < end else "") for _ in range(n))
+    missed, removed, total = 0, 0, 0
+    for k in range(200):
+        end = (0, 0.03, 0.1)[k % 3]
+        passage = prose(rng.randint(51, 80), end)
+        here, there = (f"{prose(rng.randint(0, 40), end)} {passage} {prose(30, end)}" for _ in range(2))
+        known = set(linededup.window_hashes(here, linededup.units(here)))
+        spans = linededup.units(there)
+        text, _, gone = linededup.without(there, [i for i, h in enumerate(linededup.window_hashes(there, spans)) if h in known], spans)
+        missed += gone == 0
+        removed += len(there.split()) - len(text.split())
+        total += len(passage.split())
+    assert missed <= 4 and 0.75 * total < removed <= total
+    many = [prose(rng.randint(0, 90), 0.05) + "\n" * (k % 3) + prose(20, 0) for k in range(40)] + ["", "\n", "a " * 500]
+    assert linededup.units_of(many) == [linededup.units(t) for t in many]
+
+
+def test_line_dedup_keeps_a_short_phrase():
+    line = "It was a dark night. It rained. The wind blew. " + " ".join(f"w{k}" for k in range(30))
+    spans = linededup.units(line)
+    assert linededup.without(line, [0], spans) == (line, len(spans), 0)
+
+
 def test_line_dedup_odd_rows(odd, empty):
     out = linededup.dedup_lines(odd)
     assert out.columns == ["doc_id", "text", "lang", "score", "n_lines", "n_removed"]

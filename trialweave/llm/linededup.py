@@ -1,12 +1,16 @@
 """Removal of repeated passages by overlapping three-line windows.
 
 A line is a stretch between line breaks; one of more than ``fold_words`` words is
-folded after each sentence end, so that a long passage on one line has windows too.
-Blank lines are skipped.  Each window of three consecutive lines has a 128-bit hash;
-of a window that occurs more than once anywhere, the first occurrence (least document
-id, then place) stays and the lines of all later ones are removed, overlapping windows
-together.  Grouping is by partial aggregates and the way back by a join in which Spark
-may split hot keys; no group of rows is ever gathered.
+folded after each sentence end, and a sentence of more than ``fold_words`` words at places
+that its own words choose (a gap between words whose hash is least among ``REACH`` gaps on
+either side).  So a passage is folded alike wherever it stands, and about fifty words
+hold three whole pieces.  Blank lines are skipped.  Each window of three consecutive lines
+has a 128-bit hash; of a window that occurs more than once anywhere, the first occurrence
+(least document id, then place) stays and the lines of all later ones are removed,
+overlapping windows together.  A run of removed pieces of fewer than ``LEAST_WORDS`` words
+that is not three whole lines is a turn of phrase and stays.  Grouping is by partial
+aggregates and the way back by a join in which Spark may split hot keys; no group of rows
+is ever gathered.
 
 Defined results: null texts stay null, texts of fewer than three lines stay as they are;
 rows that repeat both id and text count as one occurrence and are treated alike; an empty
@@ -15,50 +19,114 @@ table gives an empty table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.text import hidden, slices
+from trialweave.llm.text import U64, hidden, mix, slices
 
 LINES = 3
-FOLD_WORDS = 50
-_SENTENCE = re.compile(r"(?<=[.!?])[ \t]+")
+FOLD_WORDS = 12
+LEAST_WORDS = 20
+#: A piece of a long sentence has more words than this.
+REACH = 4
+
+
+def _folds(text: str, line_at: np.ndarray, fold_words: int) -> np.ndarray:
+    """Ascending character places at which the long lines of ``text`` are folded."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.zeros(len(code) + 2, np.int8)
+    blank[1:-1] = (code == 32) | (code == 9)
+    edge = np.diff(blank)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # gaps between words
+    line = np.searchsorted(line_at, start, "right") - 1
+    wide = np.bincount(line, minlength=len(line_at))[line] >= fold_words
+    start, end, line = start[wide], end[wide], line[wide]
+    n = len(start)
+    if not n:
+        return end
+    stop = np.isin(code[np.maximum(start - 1, 0)], (33, 46, 63)) & (start > line_at[line])
+    fresh = np.zeros(n, np.int64)
+    fresh[1:] = (line[1:] != line[:-1]) | stop[:-1]
+    sentence = np.cumsum(fresh)
+    value = np.zeros(n, U64)
+    floor = line_at[line]
+    for j in range(1, 7):  # the six characters before the gap, those of its own line
+        value += np.where(start - j >= floor, code[np.maximum(start - j, 0)], 0).astype(U64) * U64(pow(0xA24BAED4963EE407, j, 1 << 64))
+    value = mix(value)
+    least = np.bincount(sentence)[sentence] >= fold_words
+    least[:REACH] = least[max(0, n - REACH) :] = False
+    least[REACH : n - REACH] &= sentence[: max(0, n - 2 * REACH)] == sentence[2 * REACH :]
+    for j in range(1, min(REACH, n - 1) + 1):
+        least[j:] &= value[j:] < value[:-j]
+        least[:-j] &= value[:-j] < value[j:]
+    return end[stop | least]
+
+
+def units_of(texts: list[str], fold_words: int = FOLD_WORDS) -> list[list[tuple[int, int]]]:
+    """``units`` of each text, found together."""
+    whole = "\n".join(texts)
+    lines, starts, at = [], [], 0
+    for t in texts:
+        own = t.split("\n")
+        lines.append(own)
+        for line in own:
+            starts.append(at)
+            at += len(line) + 1
+    cuts = _folds(whole, np.array(starts, np.int64), fold_words).tolist() if texts else []
+    cuts.append(at + 1)
+    out, k, at = [], 0, 0
+    for own in lines:
+        base, spans = at, []
+        for line in own:
+            a, stop = at - base, at - base + len(line)
+            if line and not line.isspace():
+                while cuts[k] < base + stop:
+                    spans.append((a, cuts[k] - base))
+                    a = cuts[k] - base
+                    k += 1
+                spans.append((a, stop))
+            at += len(line) + 1
+            while cuts[k] < at:
+                k += 1
+        out.append(spans)
+    return out
 
 
 def units(text: str, fold_words: int = FOLD_WORDS) -> list[tuple[int, int]]:
-    """Character spans of the lines with a word; a span reaches to where the next begins."""
-    out = []
-    at = 0
-    for line in text.split("\n"):
-        stop = at + len(line)
-        if line and not line.isspace():
-            if line.count(" ") >= fold_words:
-                a = at
-                for m in _SENTENCE.finditer(text, at, stop):
-                    out.append((a, m.end()))
-                    a = m.end()
-                if a < stop:
-                    out.append((a, stop))
-            else:
-                out.append((at, stop))
-        at = stop + 1
-    return out
+    """Character spans of the lines with a word, long ones folded."""
+    return units_of([text], fold_words)[0]
 
 
-def window_hashes(text: str, fold_words: int = FOLD_WORDS) -> list[int]:
-    lines = [text[a:b].strip() for a, b in units(text, fold_words)]
+def window_hashes(text: str, spans: list[tuple[int, int]]) -> list[int]:
+    lines = [text[a:b].strip() for a, b in spans]
     return [xxhash.xxh3_128_intdigest("\n".join(lines[i : i + LINES]).encode("utf-8", "surrogatepass")) for i in range(len(lines) - LINES + 1)]
 
 
-def without(text: str, places: list[int], fold_words: int = FOLD_WORDS) -> tuple[str, int, int]:
+def _goes(text: str, run: list[tuple[int, int]]) -> bool:
+    """Whether a run of covered pieces is long enough to be a repeated passage."""
+    a, b = run[0][0], run[-1][1]
+    if len(text[a:b].split()) >= LEAST_WORDS:
+        return True
+    return sum((x == 0 or text[x - 1] == "\n") and (y == len(text) or text[y] == "\n") for x, y in run) >= LINES
+
+
+def without(text: str, places: list[int], spans: list[tuple[int, int]] | None = None) -> tuple[str, int, int]:
     """Text without the windows that begin at ``places``; its lines; lines removed."""
-    spans = units(text, fold_words)
-    gone = sorted({i for p in places for i in range(p, min(p + LINES, len(spans)))})
+    spans = units(text) if spans is None else spans
+    covered = sorted({i for p in places for i in range(p, min(p + LINES, len(spans)))})
+    gone: list[int] = []
+    run: list[int] = []
+    for i in covered + [-1]:
+        if run and i != run[-1] + 1:
+            if _goes(text, [spans[x] for x in run]):
+                gone += run
+            run = []
+        run.append(i)
     parts, at = [], 0
     for i in gone:
         a, b = spans[i]
@@ -88,8 +156,9 @@ def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "_text"):
                 row, h1, h2, place = [], [], [], []
-                for r, text in enumerate(part.column("_text").to_pylist()):
-                    for i, h in enumerate(window_hashes(text, fold_words) if text else ()):
+                texts = part.column("_text").to_pylist()
+                for r, (text, spans) in enumerate(zip(texts, units_of(texts, fold_words), strict=True)):
+                    for i, h in enumerate(window_hashes(text, spans)):
                         row.append(r)
                         h1.append(_signed(h >> 64))
                         h2.append(_signed(h & mask))
@@ -115,8 +184,10 @@ def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 new, lines, removed = [], [], []
-                for text, gone in zip(part.column("text").to_pylist(), part.column("_places").to_pylist(), strict=True):
-                    t, n, k = (None, 0, 0) if text is None else without(text, gone or [], fold_words)
+                texts = part.column("text").to_pylist()
+                spans = units_of([t or "" for t in texts], fold_words)
+                for text, gone, own in zip(texts, part.column("_places").to_pylist(), spans, strict=True):
+                    t, n, k = (None, 0, 0) if text is None else without(text, gone or [], own)
                     new.append(t)
                     lines.append(n)
                     removed.append(k)
