@@ -1,9 +1,8 @@
 """Removal of repeated passages by overlapping three-line windows.
 
 A line is a stretch between line breaks; one of more than ``fold_words`` words is
-folded after each sentence end, and a sentence of more than ``fold_words`` words at places
-that its own words choose (a gap between words whose hash is least among ``REACH`` gaps on
-either side).  So a passage is folded alike wherever it stands, and about fifty words
+folded at places that its own words choose: a gap between words that comes first, sentence
+ends before others and then by hash, among ``REACH`` gaps on either side.  So a passage is folded alike wherever it stands, and about fifty words
 hold three whole pieces.  Blank lines are skipped.  Each window of three consecutive lines
 has a 128-bit hash; of a window that occurs more than once anywhere, the first occurrence
 (least document id, then place) stays and the lines of all later ones are removed,
@@ -32,7 +31,7 @@ from trialweave.llm.text import U64, hidden, mix, slices
 LINES = 3
 FOLD_WORDS = 12
 LEAST_WORDS = 20
-#: A piece of a long sentence has more words than this.
+#: A piece of a long line has more words than this.
 REACH = 4
 
 
@@ -50,21 +49,17 @@ def _folds(text: str, line_at: np.ndarray, fold_words: int) -> np.ndarray:
     if not n:
         return end
     stop = np.isin(code[np.maximum(start - 1, 0)], (33, 46, 63)) & (start > line_at[line])
-    fresh = np.zeros(n, np.int64)
-    fresh[1:] = (line[1:] != line[:-1]) | stop[:-1]
-    sentence = np.cumsum(fresh)
     value = np.zeros(n, U64)
     floor = line_at[line]
     for j in range(1, 7):  # the six characters before the gap, those of its own line
         value += np.where(start - j >= floor, code[np.maximum(start - j, 0)], 0).astype(U64) * U64(pow(0xA24BAED4963EE407, j, 1 << 64))
-    value = mix(value)
-    least = np.bincount(sentence)[sentence] >= fold_words
-    least[:REACH] = least[max(0, n - REACH) :] = False
-    least[REACH : n - REACH] &= sentence[: max(0, n - 2 * REACH)] == sentence[2 * REACH :]
+    value = mix(value) >> U64(1) | np.where(stop, 0, 1 << 63).astype(U64)  # sentence ends first
+    least = np.zeros(n, bool)
+    least[REACH : max(REACH, n - REACH)] = line[: max(0, n - 2 * REACH)] == line[2 * REACH :]
     for j in range(1, min(REACH, n - 1) + 1):
         least[j:] &= value[j:] < value[:-j]
         least[:-j] &= value[:-j] < value[j:]
-    return end[stop | least]
+    return end[least]
 
 
 def units_of(texts: list[str], fold_words: int = FOLD_WORDS) -> list[list[tuple[int, int]]]:
