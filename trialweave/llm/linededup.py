@@ -4,7 +4,7 @@ A line is a stretch between line breaks; one of more than ``fold_words`` words i
 folded at places that its own words choose: a gap between words that comes first, sentence
 ends before others and then by hash, among ``REACH`` gaps on either side.  So a passage is folded alike wherever it stands, and about fifty words
 hold three whole pieces.  Blank lines are skipped.  Each window of three consecutive lines
-has a 128-bit hash; of a window that occurs more than once anywhere, the first occurrence
+has a 96-bit hash; of a window that occurs more than once anywhere, the first occurrence
 (least document id, then place) stays and the lines of all later ones are removed,
 overlapping windows together.  A run of removed pieces of fewer than ``LEAST_WORDS`` words
 that is not three whole lines is a turn of phrase and stays.  Grouping is by partial
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.text import U64, hidden, mix, slices
@@ -137,17 +137,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _text_key(text: Column) -> Column:
+    """48 bits that tell texts with the same id apart."""
+    return F.shiftrightunsigned(F.xxhash64(text), 16)
+
+
 def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
     """All columns of ``docs`` with the new text, and n_lines and n_removed behind them
     (columns of ``docs`` with these two names are left out)."""
     docs = docs.drop("n_lines", "n_removed")
     outer = docs.columns
     docs, _ = hidden(docs, "doc_id", "text")
-    keyed = docs.select(docs["doc_id"].alias("_id"), F.xxhash64(docs["text"]).alias("_key"), docs["text"].alias("_text"))
+    keyed = docs.select(docs["doc_id"].alias("_id"), _text_key(docs["text"]).alias("_key"), docs["text"].alias("_text"))
     id_kind = dict(docs.dtypes)["doc_id"]
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = (1 << 64) - 1
         for batch in batches:
             for part in slices(batch, "_text"):
                 row, h1, h2, place = [], [], [], []
@@ -156,15 +160,15 @@ def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
                     for i, h in enumerate(window_hashes(text, spans)):
                         row.append(r)
                         h1.append(_signed(h >> 64))
-                        h2.append(_signed(h & mask))
+                        h2.append((h & 0xFFFFFFFF) - (1 << 31))
                         place.append(i)
                 at = pa.array(row, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), part.column("_id").take(at), part.column("_key").take(at), pa.array(place, pa.int32())],
+                    [pa.array(h1, pa.int64()), pa.array(h2, pa.int32()), part.column("_id").take(at), part.column("_key").take(at), pa.array(place, pa.int32())],
                     ["h1", "h2", "_id", "_key", "place"],
                 )
 
-    windows = keyed.where("_text is not null").mapInArrow(hashes, f"h1 long, h2 long, _id {id_kind}, _key long, place int")
+    windows = keyed.where("_text is not null").mapInArrow(hashes, f"h1 long, h2 int, _id {id_kind}, _key long, place int")
     where = F.struct("_id", "_key", "place")
     first = windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first != last").select("h1", "h2", "first")
     later = windows.join(first, ["h1", "h2"]).where(where != F.col("first"))
@@ -172,7 +176,7 @@ def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
 
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    tagged = docs.withColumn("_own", F.xxhash64(docs["text"]))
+    tagged = docs.withColumn("_own", _text_key(docs["text"]))
     joined = tagged.join(places.hint("merge"), docs["doc_id"].eqNullSafe(places["_id"]) & (tagged["_own"] == places["_key"]), "left").select(*(docs[c] for c in names), "_places")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
