@@ -298,8 +298,12 @@ def test_line_dedup_folds_alike_anywhere():
 
 def test_line_dedup_keeps_a_short_phrase():
     line = "It was a dark night. It rained. The wind blew. " + " ".join(f"w{k}" for k in range(30))
-    spans = linededup.units(line)
-    assert linededup.without(line, [0], spans) == (line, len(spans), 0)
+    ends = [m.end() for m in re.finditer(r"\. ", line)]
+    spans = list(zip([0, *ends], [*ends, len(line)]))  # three pieces of 11 words, then a long one
+    assert linededup.without(line, [0], spans) == (line, 4, 0)
+    assert linededup.without(line, [1], spans)[2] == 3
+    pieces = linededup.units(line)
+    assert min(len(line[a:b].split()) for a, b in pieces) >= 5
 
 
 def test_line_dedup_odd_rows(odd, empty):
