@@ -665,7 +665,7 @@ def eliminative(spark, sf):
 def cumulative(spark, sf):
     data = data1(spark, sf, keep=True)
     try:
-        found = CumulativeMethod(PATTERN, step=25, max_iteration=20).fit(data)
+        found = CumulativeMethod(PATTERN).fit(data)
         return found.model.time_pars(spark)
     finally:
         data.frame.unpersist()
