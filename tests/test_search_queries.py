@@ -14,3 +14,10 @@ def test_cumulative_query_finds_all_events(spark):
     data = queries.data1(spark, SF)
     model = queries.EventModel(queries.PATTERN, 3).fit(data, time_pars=[s for _, s in got])
     assert float(model.loglik.sum()) >= -637.6
+
+
+def test_eliminative_query_starts_at_the_most_events(spark):
+    """Models of 11 (all that fit the shorter durations) down to 1 event; before, of 3 to 1."""
+    got = {r["n_events"]: r["loglik"] for r in queries.eliminative(spark, SF).collect()}
+    assert sorted(got) == list(range(1, queries.data1(spark, SF).max_events() + 1)) == list(range(1, 12))
+    assert got[3] >= -637.4  # reached from four events; a fit of three from equal stages ends at -637.55

@@ -655,7 +655,7 @@ def fit_multistart(spark, sf):
 def eliminative(spark, sf):
     data = data1(spark, sf, keep=True)
     try:
-        found = EliminativeMethod(PATTERN, max_events=3, max_iteration=20).fit(data)
+        found = EliminativeMethod(PATTERN).fit(data)
         return spark.createDataFrame([(n, float(m.loglik.sum())) for n, m in found.submodels.items()], "n_events int, loglik double")
     finally:
         data.frame.unpersist()
