@@ -56,7 +56,9 @@ class EliminativeMethod:
 
 @dataclass
 class CumulativeMethod:
-    """Adds events from the start of the trial on while the likelihood rises."""
+    """Adds events from the start of the trial on while the likelihood rises.
+
+    With ``by_sample`` each sample of the trial is proposed once, also between events already found."""
 
     pattern: Pattern
     distribution: Distribution = field(default_factory=Gamma)
@@ -83,14 +85,18 @@ class CumulativeMethod:
         best, previous, j, n = -np.inf, 0.0, 1, 1
         model = None
         base = EventModel(self.pattern, 1, d, tolerance=self.tolerance, max_iteration=self.max_iteration)
-        while float(d.scale_to_mean(scales[-1])) >= self.pattern.location and n <= most:
+        while n <= most and (self.by_sample or float(d.scale_to_mean(scales[-1])) >= self.pattern.location):
             at = previous + j * step
             if at >= end:
                 break
-            done = float(np.sum(d.scale_to_mean(scales[:-1]))) if len(scales) > 1 else 0.0
-            first = max(floor, float(d.mean_to_scale(at - done)))
-            last = max(floor, float(d.mean_to_scale(end - at)))
-            start = Params(np.concatenate([scales[:-1], [first, last]])[None], np.concatenate([b, np.zeros((1, data.components))])[None])
+            edges = np.append(np.cumsum(d.scale_to_mean(scales[:-1])), end)
+            k = int(np.searchsorted(edges[:-1], at))  # the stage that holds the new event is split
+            edges = np.insert(edges, k, at)
+            split = scales.copy()
+            split[-1] = d.mean_to_scale(max(edges[-1] - edges[-2], 1.0))
+            halves = [d.mean_to_scale(max(edges[k] - (edges[k - 1] if k else 0.0), 1.0)), d.mean_to_scale(max(edges[k + 1] - edges[k], 1.0))]
+            split = np.maximum(np.concatenate([split[:k], halves, split[k + 1 :]]), floor)
+            start = Params(split[None], np.insert(b, k, 0.0, axis=0)[None])
             trial = replace(base, n_events=n, params=None, traces=[], time_pars_dev=[])
             try:
                 trial.fit(data, candidates=[start])
@@ -102,7 +108,7 @@ class CumulativeMethod:
                 scales, b = trial.params.scales[0], trial.params.magnitudes[0]
                 reached = float(np.sum(d.scale_to_mean(scales[:-1])))
                 self.accepted.append((n, best))
-                previous, j, n = reached, 1, n + 1
+                previous, j, n = (0.0, j + 1, n + 1) if self.by_sample else (reached, 1, n + 1)
             else:
                 explored = previous + j * step
                 j = max(int((explored - previous + 1) // step), j + 1)
