@@ -705,7 +705,7 @@ def resample(spark, sf):
 
 @query()
 def bootstrap_erp(spark, sf):
-    return results.bootstrap_mean(l1(spark, sf).select("sample", "channel", "epoch", "value"), ["sample", "channel"], draws=50)
+    return results.bootstrap_mean(l1(spark, sf).select("sample", "channel", "epoch", "value"), ["sample", "channel"])
 
 
 @query()
