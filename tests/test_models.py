@@ -186,10 +186,11 @@ def test_sinks(spark, tmp_path, data, model, recording):
     from trialweave import sinks
 
     sinks.write_samples(recording[0], str(tmp_path / "s"))
-    assert readers.read_epochs(spark, str(tmp_path / "s")).count() == recording[0].count()
+    assert readers.read_epochs(spark, str(tmp_path / "s"), sfreq=100.0)[0].count() == recording[0].count()
+    assert readers.load_samples(spark, str(tmp_path / "s")).count() == recording[0].count()
     probs = event_model.exploded(model.transform(data))
     sinks.write_event_probabilities_csv(probs, str(tmp_path / "p.csv"))
     assert spark.read.csv(str(tmp_path / "p.csv"), header=True).count() == probs.count()
-    sinks.write_model(model, str(tmp_path / "m.json"))
-    back = sinks.read_model(str(tmp_path / "m.json"))
+    sinks.write_model(model, str(tmp_path / "m.json"), spark)
+    back = sinks.read_model(str(tmp_path / "m.json"), spark)
     assert np.allclose(back.params.scales, model.params.scales) and back.pattern == model.pattern

@@ -31,7 +31,8 @@ def baseline_correct(samples: DataFrame, start: int | None = None, stop: int | N
 
 
 def decimate(samples: DataFrame, factor: int) -> DataFrame:
-    """Every ``factor``-th sample, numbered anew."""
+    """Every ``factor``-th sample, numbered anew.  Frequencies above half the new rate must be gone
+    before (``signal.filter_raw``), or they fold back."""
     return samples.where(F.col("sample") % factor == 0).withColumn("sample", F.floor(F.col("sample") / factor).cast(samples.schema["sample"].dataType))
 
 
@@ -39,9 +40,10 @@ def first_response(marks: DataFrame, is_stimulus: Column, is_response: Column, *
     """First response after each stimulus of ``marks(participant, epoch, at)``: rt in units of ``at``,
     null if none comes within tmin .. tmax.
 
-    One window pass per participant, no join."""
-    w = Window.partitionBy("participant").orderBy("at", "epoch").rowsBetween(1, Window.unboundedFollowing)
-    nxt = F.first(F.when(is_response, F.col("at")), ignorenulls=True).over(w)
+    One pass per participant from its last mark to its first, in which the response met last is
+    carried along; no join."""
+    w = Window.partitionBy("participant").orderBy(F.desc("at"), F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(is_response, F.col("at")), ignorenulls=True).over(w)
     out = marks.withColumns({"_next": nxt, "_stim": is_stimulus}).where("_stim")
     rt = F.col("_next") - F.col("at")
     return out.select(*TRIAL, *(keep or []), F.when((rt >= tmin) & (rt <= tmax), rt).alias("rt"))
@@ -58,6 +60,25 @@ def cut_windows(raw: DataFrame, onsets: DataFrame, lo: int, hi: int) -> DataFram
     )
 
 
+def drop_repeated(marks: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Of marks at the same sample of a participant only the first by code stays."""
+    w = Window.partitionBy(*(keys or ["participant"]), "sample").orderBy("code")
+    return marks.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
+
+
+def reject_annotated(onsets: DataFrame, bad: DataFrame, lo: int, hi: int) -> DataFrame:
+    """Onsets whose window onset + lo .. onset + hi meets no span of ``bad(participant, start, stop)``
+    (stop included).
+
+    Spans are merged in one pass per participant and each onset meets at most one merged span: the
+    last that begins by the window's end.  So the join is by a window over both, not by a range."""
+    marks = onsets.select("participant", (F.col("onset") + hi).cast("double").alias("_at"), F.lit(1).alias("_kind"), F.struct(*onsets.columns).alias("_row"), F.lit(None).cast("double").alias("_stop"))
+    spans = bad.select("participant", F.col("start").cast("double").alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(marks.schema["_row"].dataType).alias("_row"), F.col("stop").cast("double").alias("_stop"))
+    w = Window.partitionBy("participant").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = marks.unionByName(spans).withColumn("_reach", F.max("_stop").over(w)).where("_kind = 1")
+    return met.where(F.col("_reach").isNull() | (F.col("_reach") < F.col("_row.onset") + lo)).select("_row.*")
+
+
 def scale_rt(trials: DataFrame, scale: float) -> DataFrame:
     return trials.withColumn("rt", F.col("rt") / scale)
 

@@ -94,7 +94,7 @@ def empty_channels(samples: DataFrame) -> DataFrame:
 def project(samples: DataFrame, weights: DataFrame) -> DataFrame:
     """Channels times ``weights(channel, component, w)``: rows of components."""
     return (
-        samples.join(F.broadcast(weights), "channel")  # channels x components, checked when made
+        samples.join(weights, "channel")  # Spark broadcasts the weights if it finds them small
         .groupBy(*TRIAL, "sample", "component")
         .agg(F.sum(F.col("value") * F.col("w")).alias("value"))
         .withColumnRenamed("component", "channel")
@@ -103,11 +103,16 @@ def project(samples: DataFrame, weights: DataFrame) -> DataFrame:
 
 def channels_as_components(samples: DataFrame) -> DataFrame:
     """Without reduction: components are the channels in order of their names."""
-    names = sorted(r[0] for r in samples.select("channel").distinct().collect())
+    names = reduction.channel_names(samples)
     number = F.create_map(*(x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))))
     return samples.withColumn("channel", F.element_at(number, F.col("channel")).cast("string"))
 
 
+def unstacked(samples: DataFrame, channels: list[str]) -> DataFrame:
+    """One row per sample, a column per channel (null where it has no value)."""
+    return samples.groupBy(*TRIAL, "sample").pivot("channel", channels).agg(F.max("value"))
+
+
 def gathered(samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per trial: duration and x, an array over samples of arrays over channels (by name).
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +22,55 @@ from trialweave.schema import TRIAL
 MOST_CHANNELS = 4096
 
 
+def _trial_matrix(samples: np.ndarray, channels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Channels in order, and sample x channel values (NaN where there is none)."""
+    names, column = np.unique(channels, return_inverse=True)
+    rows, row = np.unique(samples, return_inverse=True)
+    out = np.full((len(rows), len(names)), np.nan)
+    out[row, column] = values
+    return names, out
+
+
+def pairwise_covariance(x: np.ndarray) -> np.ndarray:
+    """Covariance (n - 1) of the columns over the rows that both have; NaN for fewer than two."""
+    has = ~np.isnan(x)
+    x = np.where(has, x - np.nanmean(np.where(has.any(axis=0), x, 0.0), axis=0), 0.0)  # a shift leaves covariances and keeps digits
+    n = has.T.astype(float) @ has
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = (x.T @ x - (x.T @ has) * (has.T.astype(float) @ x) / n) / (n - 1)
+    return np.where(n > 1, out, np.nan)
+
+
 def trial_covariance(samples: DataFrame) -> DataFrame:
-    """participant, epoch, a, b, cov (n - 1) of all ordered pairs of channels with a <= b."""
-    left = samples.select(*TRIAL, "sample", F.col("channel").alias("a"), F.col("value").alias("x"))
-    right = samples.select(*TRIAL, "sample", F.col("channel").alias("b"), F.col("value").alias("y"))
-    return left.join(right, [*TRIAL, "sample"]).where("a <= b").groupBy(*TRIAL, "a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+    """participant, epoch, a, b, cov (n - 1) of all ordered pairs of channels with a <= b; null where
+    two channels have fewer than two samples in common.
+
+    A trial's samples are gathered once and multiplied as a matrix."""
+    kinds = dict(samples.dtypes)
+    trials = samples.groupBy(*TRIAL).agg(F.collect_list(F.struct("sample", "channel", "value")).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x")
+            ends, flat = x.offsets.to_numpy(), x.values
+            sample, value = flat.field("sample").to_numpy(zero_copy_only=False), flat.field("value").to_numpy(zero_copy_only=False)
+            channel = np.asarray(flat.field("channel").to_pylist(), object if kinds["channel"] == "string" else None)
+            trial, first, second, cov = [], [], [], []
+            for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                names, matrix = _trial_matrix(sample[a:b], channel[a:b], value[a:b])
+                at = np.triu_indices(len(names))
+                trial.append(np.full(len(at[0]), i))
+                first.append(names[at[0]])
+                second.append(names[at[1]])
+                cov.append(pairwise_covariance(matrix)[at])
+            if not trial:
+                continue
+            at = pa.array(np.concatenate(trial))
+            v = np.concatenate(cov)
+            both = [pa.array(np.concatenate(x).tolist(), flat.field("channel").type) for x in (first, second)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in TRIAL), *both, pa.array(v, mask=np.isnan(v))], [*TRIAL, "a", "b", "cov"])
+
+    return trials.mapInArrow(run, f"participant {kinds['participant']}, epoch {kinds['epoch']}, a {kinds['channel']}, b {kinds['channel']}, cov double")
 
 
 def mean_covariance(samples: DataFrame, by_participant: bool = False) -> DataFrame:
@@ -43,7 +88,7 @@ def _matrix(rows: list, names: list[str]) -> np.ndarray:
     return out
 
 
-def _names(samples: DataFrame) -> list[str]:
+def channel_names(samples: DataFrame) -> list[str]:
     names = sorted(r[0] for r in samples.select("channel").distinct().limit(MOST_CHANNELS + 1).collect())
     if len(names) > MOST_CHANNELS:
         raise ValueError(f"more than {MOST_CHANNELS} channels")
@@ -66,7 +111,7 @@ def weights_frame(spark: SparkSession, names: list[str], load: np.ndarray) -> Da
 
 
 def pca(samples: DataFrame, n_comp: int | None) -> tuple[DataFrame, list[float]]:
-    names = _names(samples)
+    names = channel_names(samples)
     load, share = pca_of(_matrix(mean_covariance(samples).collect(), names), n_comp)
     return weights_frame(samples.sparkSession, names, load), share.tolist()
 
@@ -86,16 +131,17 @@ class MCCA:
         return self.first[p] @ self.canonical[p]
 
     def weights(self, spark: SparkSession) -> DataFrame:
-        out = None
-        for p in sorted(self.first):
-            one = weights_frame(spark, self.names, self.matrix(p)).withColumn("participant", F.lit(p))
-            out = one if out is None else out.unionByName(one)
-        return out
+        """channel, component, w, participant."""
+        kind = "string" if isinstance(next(iter(self.first)), str) else "long"
+        rows = [(n, str(k), float(x), p) for p in sorted(self.first) for n, row in zip(self.names, self.matrix(p), strict=True) for k, x in enumerate(row)]
+        return spark.createDataFrame(rows, f"channel string, component string, w double, participant {kind}")
 
     def transform(self, samples: DataFrame) -> DataFrame:
         w = self.weights(samples.sparkSession)
-        mu = samples.sparkSession.createDataFrame([(p, n, float(m[i])) for p, m in self.mu.items() for i, n in enumerate(self.names)], w.select("participant").schema[0].dataType.simpleString().join(["participant ", ", channel string, mu double"]))
-        joined = samples.join(F.broadcast(mu), ["participant", "channel"]).join(F.broadcast(w), ["participant", "channel"])  # participants x channels
+        kind = dict(w.dtypes)["participant"]
+        mu = samples.sparkSession.createDataFrame([(p, n, float(m[i])) for p, m in self.mu.items() for i, n in enumerate(self.names)], f"participant {kind}, channel string, mu double")
+        # Both tables are local, so Spark knows their size and broadcasts them only if they are small.
+        joined = samples.join(w.join(mu, ["participant", "channel"]), ["participant", "channel"])
         return joined.groupBy(*TRIAL, "sample", "component").agg(F.sum((F.col("value") - F.col("mu")) * F.col("w")).alias("value")).withColumnRenamed("component", "channel")
 
 
@@ -121,7 +167,7 @@ def canonical_weights(cross: np.ndarray, n_sets: int, n_pcs: int, n_ccs: int, ri
 def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: bool = True, ridge: float = 0.0, averaged: bool = False, shared_weights: bool = False) -> MCCA:
     """``cov``: first reduction on each participant's mean covariance (no mean, no scaling),
     else on its samples (centred, whitened).  ``averaged``: canonical weights from trial averages."""
-    names = _names(samples)
+    names = channel_names(samples)
     people = sorted(r[0] for r in samples.select("participant").distinct().collect())
     if len(people) < 2:
         raise ValueError("several participants are needed")
@@ -137,7 +183,9 @@ def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: b
         for p in people:
             first[p], mu[p] = pca_of(_matrix(rows[p], names), n_pcs)[0], np.zeros(len(names))
     else:
-        pairs = samples.alias("l").join(samples.alias("r"), [*TRIAL, "sample"]).where("l.channel <= r.channel").groupBy("participant", F.col("l.channel").alias("a"), F.col("r.channel").alias("b")).agg(F.covar_samp("l.value", "r.value").alias("cov"))
+        whole = samples.groupBy(*TRIAL, "sample").agg(F.collect_list(F.struct("channel", "value")).alias("x"))
+        sides = whole.select("participant", F.explode("x").alias("l"), "x").select("participant", "l", F.explode("x").alias("r")).where("l.channel <= r.channel")
+        pairs = sides.groupBy("participant", F.col("l.channel").alias("a"), F.col("r.channel").alias("b")).agg(F.covar_samp("l.value", "r.value").alias("cov"))
         means = {(r["participant"], r["channel"]): r["m"] for r in samples.groupBy("participant", "channel").agg(F.avg("value").alias("m")).collect()}
         rows = {p: [] for p in people}
         for r in pairs.collect():
@@ -171,35 +219,46 @@ def _stacked_covariance(samples: DataFrame, names: list[str], people: list, firs
     ranked = samples.join(samples.select(*TRIAL).distinct().withColumn("rank", F.expr("dense_rank() over (partition by participant order by epoch)")), TRIAL)
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, square = np.zeros(size), np.zeros((size, size))
-        now, row = None, np.zeros((len(people), len(names)))
-        seen = np.zeros(len(people), bool)
-
-        def close() -> None:
-            nonlocal total, square
-            v = np.concatenate([((row[k] - mu[p]) if seen[k] else np.zeros(len(names))) @ first[p] for p, k in at.items()])
-            total += v
-            square += np.outer(v, v)
+        total, square, count = np.zeros(size), np.zeros((size, size)), 0
+        loads = np.stack([first[p] for p in people])
+        means = np.stack([mu[p] for p in people])
+        held = None  # rows of the last position so far
+
+        def close(rows: pd.DataFrame) -> None:
+            """Adds up positions that are complete."""
+            nonlocal total, square, count
+            opens = np.append(True, (rows["rank"].to_numpy()[1:] != rows["rank"].to_numpy()[:-1]) | (rows["sample"].to_numpy()[1:] != rows["sample"].to_numpy()[:-1]))
+            group = np.cumsum(opens) - 1
+            for begin in range(0, int(group[-1]) + 1, 256):
+                part = (group >= begin) & (group < begin + 256)
+                n = int(group[part][-1]) - begin + 1
+                who, what = rows["participant"][part].map(at).to_numpy(), rows["channel"][part].map(place).to_numpy()
+                x, seen = np.zeros((n, len(people), len(names))), np.zeros((n, len(people)))
+                x[group[part] - begin, who, what] = rows["value"][part].to_numpy()
+                seen[group[part] - begin, who] = 1.0
+                v = np.einsum("npc,pck->npk", (x - means) * seen[:, :, None], loads).reshape(n, size)
+                total += v.sum(axis=0)
+                square += v.T @ v
+                count += n
 
         for b in batches:
-            for rank, s, p, c, x in zip(b["rank"], b["sample"], b["participant"], b["channel"], b["value"], strict=True):
-                if (rank, s) != now:
-                    if now is not None:
-                        close()
-                    now = (rank, s)
-                    row[:] = 0
-                    seen[:] = False
-                row[at[p], place[c]] = x
-                seen[at[p]] = True
-        if now is not None:
-            close()
-            yield pd.DataFrame({"i": np.repeat(np.arange(size + 1), size), "j": np.tile(np.arange(size), size + 1), "v": np.concatenate([square.ravel(), total])})
+            rows = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(rows):
+                last = (rows["rank"] == rows["rank"].iloc[-1]) & (rows["sample"] == rows["sample"].iloc[-1])
+                cut = int(last.to_numpy().argmax())
+                if cut:
+                    close(rows.iloc[:cut])
+                held = rows.iloc[cut:]
+        if held is not None:
+            close(held)
+            v = np.concatenate([square.ravel(), total, np.full(size, float(count))])
+            yield pd.DataFrame({"i": np.repeat(np.arange(size + 2), size), "j": np.tile(np.arange(size), size + 2), "v": v})
 
     ordered = ranked.select("rank", "sample", "participant", "channel", "value").repartition("rank", "sample").sortWithinPartitions("rank", "sample")
     rows = ordered.mapInPandas(sums, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    n = ranked.select("rank", "sample").distinct().count()
-    full = np.zeros((size + 1, size))
+    full = np.zeros((size + 2, size))
     for r in rows:
         full[r["i"], r["j"]] = r["v"]
+    n = full[size + 1, 0]
     mean = full[size] / n
     return (full[:size] - n * np.outer(mean, mean)) / max(1, n - 1)

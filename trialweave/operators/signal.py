@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from trialweave.schema import TRIAL
 
@@ -51,14 +52,63 @@ def resampled(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _per_channel(samples: DataFrame, change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    def run(trial: pd.DataFrame) -> pd.DataFrame:
-        trial = trial.sort_values("sample")
-        y = change(trial["value"].to_numpy(float))
-        first = trial.iloc[0]
-        return pd.DataFrame({"participant": first["participant"], "epoch": first["epoch"], "sample": np.arange(len(y), dtype="int32") + int(first["sample"]), "channel": first["channel"], "value": y})
-
+    """``change`` of every trial's channel, in order of the samples; many trials to a batch."""
     kinds = dict(samples.dtypes)
-    return samples.select(*TRIAL, "sample", "channel", "value").groupBy(*TRIAL, "channel").applyInPandas(run, f"participant {kinds['participant']}, epoch {kinds['epoch']}, sample int, channel string, value double")
+    rows = samples.groupBy(*TRIAL, "channel").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x")
+            ends = x.offsets.to_numpy()
+            sample, value = (x.values.field(c).to_numpy(zero_copy_only=False) for c in ("sample", "value"))
+            new = [change(value[a:b].astype(float)) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            if not new:
+                continue
+            lengths = [len(y) for y in new]
+            at = pa.array(np.repeat(np.arange(len(new)), lengths))
+            numbers = np.concatenate([np.arange(n) + int(sample[a]) for n, a in zip(lengths, ends[:-1], strict=True)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in TRIAL), pa.array(numbers), batch.column("channel").take(at), pa.array(np.concatenate(new))], [*TRIAL, "sample", "channel", "value"])
+
+    return rows.mapInArrow(run, f"participant {kinds['participant']}, epoch {kinds['epoch']}, sample int, channel {kinds['channel']}, value double")
+
+
+def filter_raw(raw: DataFrame, sfreq: float, low: float | None, high: float | None, *, block: int = 1 << 15) -> DataFrame:
+    """Band filter of continuous ``raw(participant, sample, channel, value)``, samples 0 .. n - 1.
+
+    A recording is cut into blocks that carry half the filter's length of their neighbours' samples,
+    so the result is that of the whole recording and no task holds more than a block.  The ends are
+    reflected as in ``filtered``."""
+    taps = fir_taps(sfreq, low, high)
+    half = len(taps) // 2
+    kinds = dict(raw.dtypes)
+    block = max(block, 5 * half + 8)
+    number = F.floor(F.col("sample") / block)
+    inside = F.col("sample") - number * block
+    near = F.array_compact(F.array(number, F.when((inside < 2 * half + 1) & (number > 0), number - 1), F.when(inside >= block - 2 * half - 1, number + 1)))
+    spread = raw.select("participant", "channel", "sample", "value", F.explode(near).alias("_block"))
+    rows = spread.groupBy("participant", "channel", "_block").agg(F.array_sort(F.collect_list(F.struct("sample", "value"))).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("x")
+            edges = x.offsets.to_numpy()
+            sample, value = (x.values.field(c).to_numpy(zero_copy_only=False) for c in ("sample", "value"))
+            parts, kept, rows_ = [], [], []
+            for i, (a, b, k) in enumerate(zip(edges[:-1], edges[1:], batch.column("_block").to_pylist(), strict=True)):
+                at, y = sample[a:b].astype(np.int64), value[a:b].astype(float)
+                own = (at >= k * block) & (at < (k + 1) * block)
+                if not own.any():
+                    continue
+                # At an end of the recording ``filtered`` reflects; inside, its reflection only touches what is not kept.
+                out = filtered(y, taps)
+                parts.append(out[own])
+                kept.append(at[own])
+                rows_.append(np.full(int(own.sum()), i))
+            if parts:
+                where = pa.array(np.concatenate(rows_))
+                yield pa.RecordBatch.from_arrays([batch.column("participant").take(where), pa.array(np.concatenate(kept)), batch.column("channel").take(where), pa.array(np.concatenate(parts))], ["participant", "sample", "channel", "value"])
+
+    return rows.mapInArrow(run, f"participant {kinds['participant']}, sample long, channel {kinds['channel']}, value double")
 
 
 def filter_trials(samples: DataFrame, sfreq: float, low: float | None, high: float | None) -> DataFrame:

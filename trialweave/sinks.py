@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from trialweave.plans.event_model import EventModel
 
@@ -23,11 +23,10 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def write_model(model: EventModel, path: str) -> None:
-    with open(path, "w") as f:
-        json.dump(model.save(), f)
+def write_model(model: EventModel, path: str, spark: SparkSession) -> None:
+    """One JSON text, on whatever file system Spark writes to."""
+    spark.createDataFrame([(json.dumps(model.save()),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def read_model(path: str) -> EventModel:
-    with open(path) as f:
-        return EventModel.load(json.load(f))
+def read_model(path: str, spark: SparkSession) -> EventModel:
+    return EventModel.load(json.loads(spark.read.text(path).first()["value"]))
