@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from trialweave import queries
 
-TABLES = "region nation customer supplier part orders lineitem events embeddings conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels embeddings conversations".split()
 
 
 @pytest.fixture(scope="module")

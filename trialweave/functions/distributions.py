@@ -1,7 +1,6 @@
 """Stage durations: two-parameter families with a fixed shape.
 
-Densities are without constant factors, as they are normalised over a window.  Each has a
-numpy and a Column form.
+Densities are without constant factors, as they are normalised over a window.
 """
 
 from __future__ import annotations
@@ -10,8 +9,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -21,9 +18,6 @@ class Distribution:
     def density(self, t: np.ndarray, scale: float) -> np.ndarray:
         raise NotImplementedError
 
-    def column(self, t: Column, scale: Column | float) -> Column:
-        raise NotImplementedError
-
     def scale_to_mean(self, scale):
         raise NotImplementedError
 
@@ -48,9 +42,6 @@ class Gamma(Distribution):
     def density(self, t, scale):
         return t ** (self.shape - 1) * np.exp(-t / scale)
 
-    def column(self, t, scale):
-        return F.pow(t, F.lit(self.shape - 1.0)) * F.exp(-t / scale)
-
     def scale_to_mean(self, scale):
         return scale * self.shape
 
@@ -69,9 +60,6 @@ class Lognorm(Distribution):
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(t > 0, np.exp(-(np.log(t / scale) ** 2) / (2 * self.shape**2)) / t, 0.0)
 
-    def column(self, t, scale):
-        return F.when(t > 0, F.exp(-F.pow(F.log(t / scale), F.lit(2.0)) / (2 * self.shape**2)) / t).otherwise(0.0)
-
     def scale_to_mean(self, scale):
         return np.exp(scale + self.shape**2 / 2)
 
@@ -88,10 +76,6 @@ class Wald(Distribution):
             y = t / scale
             return np.where(t > 0, y**-1.5 * np.exp(-((y - self.shape) ** 2) / (2 * y * self.shape**2)), 0.0)
 
-    def column(self, t, scale):
-        y = t / scale
-        return F.when(t > 0, F.pow(y, F.lit(-1.5)) * F.exp(-F.pow(y - self.shape, F.lit(2.0)) / (2 * y * self.shape**2))).otherwise(0.0)
-
     def scale_to_mean(self, scale):
         return scale * self.shape
 
@@ -110,9 +94,6 @@ class Weibull(Distribution):
     def density(self, t, scale):
         return (t / scale) ** (self.shape - 1) * np.exp(-((t / scale) ** self.shape))
 
-    def column(self, t, scale):
-        return F.pow(t / scale, F.lit(self.shape - 1.0)) * F.exp(-F.pow(t / scale, F.lit(self.shape)))
-
     def scale_to_mean(self, scale):
         return scale * math.gamma(1 + 1 / self.shape)
 

@@ -40,6 +40,11 @@ def _toeplitz(pmf: np.ndarray, t: int) -> np.ndarray:
     return view[::-1][:t]
 
 
+def log_gains(cc: np.ndarray, magnitudes: np.ndarray) -> np.ndarray:
+    """How much better (in logs) each event explains each sample than no event: (n, T, E)."""
+    return np.einsum("ntc,ec->nte", cc, magnitudes) - (magnitudes**2).sum(axis=1) / 2
+
+
 def forward_backward(cc: np.ndarray, durations: np.ndarray, magnitudes: np.ndarray, pmfs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``cc`` (n, T, C) to event probabilities (n, T, E) and log-likelihoods (n).
 
@@ -49,8 +54,7 @@ def forward_backward(cc: np.ndarray, durations: np.ndarray, magnitudes: np.ndarr
     n, t, _ = cc.shape
     e = len(magnitudes)
     mask = np.arange(t)[None, :] < durations[:, None]
-    log_gain = np.einsum("ntc,ec->nte", cc, magnitudes) - (magnitudes**2).sum(axis=1) / 2
-    log_gain = np.where(mask[:, :, None], log_gain, -np.inf)
+    log_gain = np.where(mask[:, :, None], log_gains(cc, magnitudes), -np.inf)
     top = log_gain.max(axis=1)
     gain = np.exp(log_gain - top[:, None, :])
     kernels = [_toeplitz(p, t) for p in pmfs]

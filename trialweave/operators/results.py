@@ -57,6 +57,12 @@ def event_times(
     return out.withColumn("time", F.col("time") * 1000.0 / sfreq) if sfreq else out
 
 
+def response_samples(probs: DataFrame) -> DataFrame:
+    """participant, epoch, rt: a trial's length as its probabilities show it, one more than the sample at
+    which the last of its events' running sums stops rising."""
+    return probs.where("prob > 0").groupBy(*TRIAL).agg((F.max("sample") + 1).alias("rt"))
+
+
 def group_times(times: DataFrame) -> DataFrame:
     """grp, event: mean, population deviation, standard error, trials."""
     return times.groupBy("grp", "event").agg(
@@ -98,11 +104,15 @@ def centered_activity(
     cut_before: int = 0,
     baseline: int = 0,
     width: int = 0,
+    center: bool = True,
+    impute: float | None = None,
 ) -> DataFrame:
-    """Samples around one event, numbered from it (``rel_sample``), between its neighbours.
+    """Samples around one event, numbered from it (``rel_sample``), between its neighbours; without
+    ``center`` rel_sample is the sample's own number.
 
     Bounds, both included: from ``cut_before`` events before (half a width after it), not
     before -``baseline``; to ``cut_after`` events after (half a width before it), at most ``n_samples``.
+    ``impute`` (which needs n_samples) stands where a trial's channel has no value in baseline .. n_samples.
     """
     width = 0 if event == 1 else width
     baseline = 0 if event == 0 else baseline
@@ -119,11 +129,17 @@ def centered_activity(
         upper = F.greatest(F.least(gap, upper), F.lit(0.0))
     bounds = per.select(*TRIAL, at.alias("event_time"), (at + lower).alias("_lo"), (at + upper).alias("_hi")).where("event_time is not null")
     whole = lambda c: F.when(F.col(c) < 0, F.ceil(c)).otherwise(F.floor(c))
-    return (
+    inside = (
         samples.join(bounds, TRIAL)
         .where((F.col("sample") >= whole("_lo")) & ((F.col("_hi") == float("inf")) | (F.col("sample") <= whole("_hi"))))
         .select(*TRIAL, "channel", (F.col("sample") - F.rint("event_time").cast("int")).alias("rel_sample"), "value", "event_time")
     )
+    if impute is not None:
+        if n_samples is None:
+            raise ValueError("impute needs n_samples")
+        grid = bounds.select(*TRIAL, "event_time").join(samples.select(*TRIAL, "channel").distinct(), TRIAL).withColumn("rel_sample", F.explode(F.sequence(F.lit(baseline), F.lit(n_samples))))
+        inside = grid.join(inside.drop("event_time"), [*TRIAL, "channel", "rel_sample"], "left").select(*TRIAL, "channel", "rel_sample", F.coalesce("value", F.lit(float(impute))).alias("value"), "event_time")
+    return inside if center else inside.withColumn("rel_sample", F.col("rel_sample") + F.rint("event_time").cast("int"))
 
 
 def erp_segments(samples: DataFrame, times: DataFrame) -> DataFrame:

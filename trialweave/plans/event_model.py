@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
 from trialweave.functions import kernels
 from trialweave.functions.distributions import Distribution, Gamma
 from trialweave.functions.patterns import Pattern
-from trialweave.operators import preprocess
+from trialweave.operators import preprocess, reduction
 from trialweave.schema import TRIAL
 
 #: Trials of one padded block.
@@ -30,44 +30,56 @@ BLOCK = 256
 
 @dataclass(frozen=True)
 class TrialData:
-    """``frame``: participant, epoch, duration, cc (and metadata); ``components``: their number."""
+    """``frame``: participant, epoch, duration, cc (and metadata); ``components``: their number;
+    ``lengths``: the same trials without cc, where they are cheaper to have than the frame."""
 
     frame: DataFrame
     components: int
     pattern: Pattern
+    lengths: DataFrame | None = None
 
     @classmethod
     def from_samples(cls, samples: DataFrame, pattern: Pattern, metadata: DataFrame | None = None, partitions: int | None = None, keep: bool = True) -> TrialData:
         """Cross-correlates preprocessed samples and gathers each trial into a row; ``keep`` holds them in
-        memory for the many passes of a fit."""
+        memory for the many passes of a fit.  Without it, the number of components and the durations come
+        from a pass over the samples' keys, so that only the model itself needs the gathered trials."""
         rows = preprocess.gathered(preprocess.cross_correlate(samples, pattern.template)).withColumnRenamed("x", "cc")
         if metadata is not None:
             rows = rows.join(metadata, TRIAL, "left")
         rows = rows.repartition(partitions, *TRIAL) if partitions else rows
-        rows = rows.persist() if keep else rows
-        first = rows.select(F.size(F.element_at("cc", 1)).alias("n")).first()
-        if first is None:
+        if keep:
+            rows = rows.persist()
+            first = rows.select(F.size(F.element_at("cc", 1)).alias("n")).first()
+            if first is None:
+                raise ValueError("there are no trials")
+            return cls(rows, first["n"], pattern)
+        components = len(reduction.channel_names(samples))
+        if not components:
             raise ValueError("there are no trials")
-        return cls(rows, first["n"], pattern)
+        lengths = samples.groupBy(*TRIAL, "channel").agg(F.count("*").alias("n")).groupBy(*TRIAL).agg(F.max("n").cast("int").alias("duration"))
+        return cls(rows, components, pattern, lengths if metadata is None else lengths.join(metadata, TRIAL, "left"))
+
+    def _lengths(self) -> DataFrame:
+        return self.frame if self.lengths is None else self.lengths
 
     def durations(self) -> DataFrame:
-        return self.frame.select(*TRIAL, "duration")
+        return self._lengths().select(*TRIAL, "duration")
 
     def offsets(self) -> DataFrame:
         """Running first and last row numbers of the trials in (participant, epoch) order."""
         return offsets(self.durations())
 
     def sizes(self) -> tuple[int, int]:
-        r = self.frame.agg(F.count("*").alias("n"), F.sum("duration").alias("s")).first()
+        r = self._lengths().agg(F.count("*").alias("n"), F.sum("duration").alias("s")).first()
         return r["n"], r["s"]
 
     def max_events(self) -> int:
         """As many events as fit the 10th percentile of durations."""
-        q = self.frame.agg(F.percentile("duration", 0.1).alias("q")).first()["q"]
+        q = self._lengths().agg(F.percentile("duration", 0.1).alias("q")).first()["q"]
         return int(np.rint(q // self.pattern.location))
 
     def where(self, condition) -> TrialData:
-        return TrialData(self.frame.where(condition), self.components, self.pattern)
+        return TrialData(self.frame.where(condition), self.components, self.pattern, None if self.lengths is None else self.lengths.where(condition))
 
 
 def offsets(durations: DataFrame) -> DataFrame:
@@ -191,6 +203,24 @@ def probabilities(frame: DataFrame, params: Params, distribution: Distribution,
     return frame.mapInPandas(run, schema)
 
 
+def gains(frame: DataFrame, magnitudes: np.ndarray) -> DataFrame:
+    """participant, epoch, sample, event, gain: the factor by which an event at a sample raises the likelihood."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), BLOCK):
+                rows = b.iloc[i : i + BLOCK]
+                cc, durations = kernels.padded([np.stack([np.asarray(s, float) for s in x]) for x in rows["cc"]])
+                gain = np.exp(kernels.log_gains(cc, magnitudes))
+                trial, sample, event = (x.ravel() for x in np.indices(gain.shape))
+                real = sample < durations[trial]
+                trial, sample, event = trial[real], sample[real], event[real]
+                yield pd.DataFrame({**{c: rows[c].to_numpy()[trial] for c in TRIAL}, "sample": sample.astype("int32"), "event": event.astype("int32"), "gain": gain[trial, sample, event]})
+
+    kinds = dict(frame.dtypes)
+    return frame.select(*TRIAL, "cc").mapInPandas(run, f"participant {kinds['participant']}, epoch {kinds['epoch']}, sample int, event int, gain double")
+
+
 def exploded(probs: DataFrame) -> DataFrame:
     """participant, epoch, grp, event, sample, prob."""
     by_event = probs.select(*TRIAL, "grp", F.explode(F.arrays_zip("events", "probs")).alias("e"))
@@ -254,7 +284,7 @@ class EventModel:
 
     def prepare(self, data: TrialData, grouping: Grouping) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
         frame = grouping.code(data.frame)
-        rows = frame.groupBy("grp").agg(F.max("duration").alias("d"), F.avg("duration").alias("m")).collect()
+        rows = grouping.code(data._lengths()).groupBy("grp").agg(F.max("duration").alias("d"), F.avg("duration").alias("m")).collect()
         if not rows:
             raise ValueError("no trial belongs to a group")
         return frame, {r["grp"]: r["d"] for r in rows}, {r["grp"]: r["m"] for r in rows}

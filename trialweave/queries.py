@@ -7,13 +7,16 @@ as stimuli (view) and responses (purchase), E3 a trial per order of ``lineitem``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialweave.functions.distributions import FAMILIES, Gamma
+from trialweave import sinks
+from trialweave.functions import kernels
+from trialweave.functions.distributions import FAMILIES
 from trialweave.functions.patterns import half_sine
 from trialweave.operators import epoching, preprocess, reduction, results, signal
 from trialweave.plans import crossval, event_model, simulate
@@ -153,9 +156,17 @@ def signal_rows(df: DataFrame) -> DataFrame:
 
 # -- sources, sinks
 
-@query(f"WITH {E1} SELECT DISTINCT 'S' || participant AS name FROM e1")
+_TABLES = ("documents", "labels")
+
+
+@query("SELECT 'S0' AS participant, doc_id FROM documents UNION ALL SELECT 'S1', doc_id FROM labels")
 def participant_names(spark, sf):
-    return e1(spark, sf).select(F.concat(F.lit("S"), F.col("participant")).alias("name")).distinct()
+    return readers.read_participants(spark, [f"{sf}/{t}.parquet" for t in _TABLES], schema="doc_id long").select("participant", "doc_id")
+
+
+@query("SELECT 'documents' AS participant, doc_id FROM documents UNION ALL SELECT 'labels', doc_id FROM labels")
+def read_participants(spark, sf):
+    return readers.read_participants(spark, [f"{sf}/{t}.parquet" for t in _TABLES], list(_TABLES), "doc_id long").select("participant", "doc_id")
 
 
 @query("SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS INTEGER) AS code FROM customer")
@@ -171,9 +182,7 @@ _CODE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CO
 p AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY participant ORDER BY sample), 0) AS prev FROM c)
 SELECT participant, sample, prev, CASE WHEN prev > 0 THEN code - prev ELSE code END AS code FROM p WHERE code <> prev AND code > 0""")
 def trigger_edges(spark, sf):
-    code = F.create_map(*(x for k, v in _CODES.items() for x in (F.lit(k), F.lit(v))))
-    raw = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("participant"), (F.expr("row_number() over (partition by user_id order by ts, event_id)") - 1).cast("long").alias("sample"), F.element_at(code, F.col("event_type")).alias("code"))
-    return readers.detect_triggers(raw)
+    return readers.detect_triggers(_triggers(spark, sf))
 
 
 @query("SELECT conv_id AS participant, turn AS sample, role AS channel, CAST(length(text) AS DOUBLE) AS value FROM conversations")
@@ -264,6 +273,71 @@ def condition_contains(spark, sf):
     return signal_rows(epoching.select_condition(l3(spark, sf, True), "^[23]-|LOW", "condition", "contains"))
 
 
+_RAW = f"""{L1}, raw AS (SELECT epoch AS participant, sample, channel, value - avg(value) OVER (PARTITION BY epoch, sample) AS value FROM l1),
+tg AS (SELECT user_id AS participant, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS sample, {_CODE_SQL} AS code FROM events),
+mk AS (SELECT participant, sample, code, row_number() OVER (PARTITION BY participant ORDER BY sample, code) - 1 AS epoch FROM tg WHERE code IN (1, 4)),
+nx AS (SELECT *, min(CASE WHEN code = 4 THEN sample END) OVER (PARTITION BY participant ORDER BY sample ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) - sample AS rt FROM mk),
+st AS (SELECT participant, epoch, sample AS onset, CAST(CASE WHEN rt BETWEEN -2 AND 9 THEN rt END AS DOUBLE) AS rt FROM nx WHERE code = 1)"""
+_READ = _RAW + """,
+ok AS (SELECT * FROM st WHERE NOT EXISTS (SELECT 1 FROM tg WHERE tg.code = 3 AND tg.participant = st.participant AND tg.sample BETWEEN st.onset - 2 AND st.onset + 9)),
+ct AS (SELECT o.participant, o.epoch, r.sample - onset AS sample, channel, value, rt FROM ok o JOIN raw r ON r.participant = o.participant AND r.sample BETWEEN onset - 2 AND onset + 9),
+bs AS (SELECT participant, epoch, sample, channel, rt, value - avg(value) FILTER (sample <= 0) OVER (PARTITION BY participant, epoch, channel) AS value FROM ct),
+cr AS (SELECT * FROM bs WHERE rt >= 1 AND rt <= 6 AND sample >= 0 AND sample < rt + 2)"""
+
+
+def _triggers(spark, sf) -> DataFrame:
+    code = F.create_map(*(x for k, v in _CODES.items() for x in (F.lit(k), F.lit(v))))
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("participant"), (F.expr("row_number() over (partition by user_id order by ts, event_id)") - 1).cast("long").alias("sample"), F.element_at(code, F.col("event_type")).alias("code"))
+
+
+def _read(spark, sf, **options) -> tuple[DataFrame, DataFrame]:
+    raw = l1(spark, sf).select(F.col("epoch").alias("participant"), "sample", "channel", "value")
+    return readers.read_raw_and_epoch(raw, _triggers(spark, sf), {"view": 1}, {"response/purchase": 4}, sfreq=1.0, tmin=-2.0, tmax=9.0, reference="average", **options)
+
+
+@query(f"WITH {_READ} SELECT {SIG} FROM cr SEMI JOIN (SELECT participant, epoch FROM cr GROUP BY ALL HAVING bool_and(abs(value) < 60)) USING (participant, epoch)")
+def reading_chain(spark, sf):
+    bad = _triggers(spark, sf).where("code = 3").select("participant", F.col("sample").alias("start"), F.col("sample").alias("stop"))
+    return signal_rows(_read(spark, sf, bad=bad, offset_after_resp=2.0, lower_limit_rt=1.0, upper_limit_rt=6.0, reject_threshold=60.0)[0])
+
+
+@query(f"WITH {_READ} SELECT DISTINCT participant, epoch, 'view' AS event_name, rt, CAST(rt AS INTEGER) AS rt_samples FROM cr")
+def reading_trials(spark, sf):
+    bad = _triggers(spark, sf).where("code = 3").select("participant", F.col("sample").alias("start"), F.col("sample").alias("stop"))
+    trials = _read(spark, sf, bad=bad, offset_after_resp=2.0, lower_limit_rt=1.0, upper_limit_rt=6.0)[1]
+    return trials.select(*TRIAL, "event_name", "rt", "rt_samples")
+
+
+@query(f"WITH {_RAW} SELECT o.participant, o.epoch, CAST(r.sample - onset AS INTEGER) AS sample, channel, round(value, 6) + 0.0 AS value FROM st o JOIN raw r ON r.participant = o.participant AND r.sample BETWEEN onset - 2 AND onset + 9")
+def reading_without_rt(spark, sf):
+    return signal_rows(_read(spark, sf, baseline=None, ignore_rt=True)[0])
+
+
+@query(f"WITH {_RAW}, md AS (SELECT participant, epoch, (epoch % 5 + 2) * 1000.0 AS ms FROM st WHERE epoch % 3 <> 0) SELECT participant, epoch, ms / 1000 AS rt, CAST(ms / 1000 AS INTEGER) AS rt_samples FROM md")
+def reading_with_metadata(spark, sf):
+    meta = _read(spark, sf, ignore_rt=True)[1].where("epoch % 3 <> 0").select(*TRIAL, ((F.col("epoch") % 5 + 2) * 1000.0).alias("ms"))
+    return _read(spark, sf, metadata=meta, rt_col="ms", scale=1000.0)[1].select(*TRIAL, "rt", "rt_samples")
+
+
+@query(f"WITH {L1}, b AS (SELECT user_id % 8 AS participant, CAST(event_id AS DOUBLE) AS start, CAST(event_id + 3 AS DOUBLE) AS stop FROM events WHERE event_type = 'error'), o AS (SELECT user_id % 8 AS participant, event_id AS epoch, event_id AS onset FROM events WHERE event_type = 'view') SELECT participant, epoch, onset FROM o ANTI JOIN b ON b.participant = o.participant AND b.start <= o.onset + 5 AND b.stop >= o.onset - 2")
+def annotation_reject(spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet").withColumn("participant", F.col("user_id") % 8)
+    bad = ev.where("event_type = 'error'").select("participant", F.col("event_id").alias("start"), (F.col("event_id") + 3).alias("stop"))
+    onsets = ev.where("event_type = 'view'").select("participant", F.col("event_id").alias("epoch"), F.col("event_id").alias("onset"))
+    return epoching.reject_annotated(onsets, bad, -2, 5)
+
+
+@query("SELECT user_id AS participant, CAST(event_id // 3 AS BIGINT) AS sample, min(length(event_type)) AS code FROM events GROUP BY ALL")
+def repeated_triggers(spark, sf):
+    marks = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("participant"), F.floor(F.col("event_id") / 3).alias("sample"), F.length("event_type").cast("long").alias("code"))
+    return epoching.drop_repeated(marks)
+
+
+@query(f"WITH {L1} SELECT participant, epoch, sample, channel, round((sample - 3) / 100.0, 6) + 0.0 AS time FROM l1")
+def time_axis(spark, sf):
+    return readers.time_axis(l1(spark, sf), 100.0, 3).select(*TRIAL, "sample", "channel", r6("time").alias("time"))
+
+
 # -- preprocessing
 
 @query(f"WITH {L3}, h AS (SELECT participant, epoch, sample, channel, CASE WHEN value > 0.05 THEN value END AS value FROM l3) SELECT {SIG} FROM h WHERE value IS NOT NULL")
@@ -273,7 +347,7 @@ def stack_dropna(spark, sf):
 
 @query(f"WITH {L3} SELECT participant, epoch, sample, round(max(value) FILTER (channel = 'price'), 6) + 0.0 AS price, round(max(value) FILTER (channel = 'tax'), 6) + 0.0 AS tax FROM l3 GROUP BY ALL")
 def unstack_pivot(spark, sf):
-    return l3(spark, sf).groupBy(*TRIAL, "sample").pivot("channel", ["price", "tax"]).agg(F.max("value")).select(*TRIAL, "sample", r6("price").alias("price"), r6("tax").alias("tax"))
+    return preprocess.unstacked(l3(spark, sf), ["price", "tax"]).select(*TRIAL, "sample", r6("price").alias("price"), r6("tax").alias("tax"))
 
 
 # Means of values with two decimals over 2^k rows end in a 5 after few decimals: nine are past it.
@@ -316,6 +390,21 @@ def template_halfsine(spark, sf):
     return spark.createDataFrame([(i, round(w, 9) + 0.0) for i, w in enumerate(half_sine(100.0).template)], "k int, w double")
 
 
+@query(f"WITH {L3} SELECT participant, epoch, sample, CAST(CAST(dense_rank() OVER (ORDER BY channel) - 1 AS INTEGER) AS VARCHAR) AS channel, round(value, 6) + 0.0 AS value FROM l3")
+def no_analysis(spark, sf):
+    return signal_rows(preprocess.channels_as_components(l3(spark, sf)))
+
+
+_STANDARD = f"""{L1}, sd AS (SELECT participant, stddev_pop(value) AS sd FROM l1 GROUP BY ALL),
+sc AS (SELECT participant, epoch, sample, channel, value / sd * (SELECT avg(sd) FROM sd) AS value FROM l1 JOIN sd USING (participant)),
+ce AS (SELECT participant, epoch, sample, channel, value - avg(value) OVER (PARTITION BY participant, epoch, channel) AS value FROM sc)"""
+
+
+@query(f"WITH {_STANDARD} SELECT participant, epoch, sample, CASE channel WHEN 'k' THEN '0' ELSE '1' END AS channel, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) + 0.0 AS value FROM ce WINDOW w AS (PARTITION BY participant, channel)")
+def preprocess_standard(spark, sf):
+    return signal_rows(preprocess.preprocess(l1(spark, sf), method=None, apply_standard=True, apply_zscore="participant").samples)
+
+
 @query(f"WITH {X1} SELECT {SIG} FROM x1")
 def cross_correlation(spark, sf):
     return signal_rows(preprocess.cross_correlate(preprocess.zscore(l1(spark, sf), "trial"), W))
@@ -353,10 +442,9 @@ def _register_pmfs() -> None:
         sql = f"WITH {E1}, d AS (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM e1 GROUP BY epoch)), t AS (SELECT CAST(unnest(range(n)) AS INTEGER) AS t FROM d), r AS (SELECT t, {density[name]} AS v FROM t) SELECT t, round(v / sum(v) OVER (), 9) + 0.0 AS p FROM r"
 
         def run(spark, sf, name=name, shape=shape, scale=scale):
-            longest = e1(spark, sf).groupBy("epoch").count().agg(F.max("count").alias("n"))
-            t = longest.select(F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("t"))
-            v = t.withColumn("v", FAMILIES[name](shape).column(F.col("t").cast("double"), scale))
-            return v.select("t", (F.round(F.col("v") / F.sum("v").over(preprocess.Window.partitionBy()), 9) + 0.0).alias("p"))  # one window of a stage
+            longest = data1(spark, sf).durations().agg(F.max("duration")).first()[0]
+            pmf = kernels.stage_pmfs(FAMILIES[name](shape), np.array([scale]), longest, 0)[0]
+            return spark.createDataFrame([(t, round(float(p), 9) + 0.0) for t, p in enumerate(pmf)], "t int, p double")
 
         run.__name__ = f"pmf_{name}"
         query(sql)(run)
@@ -367,35 +455,32 @@ _register_pmfs()
 
 @query(f"WITH {E1} SELECT participant, epoch, CAST(count(*) AS INTEGER) AS duration FROM e1 GROUP BY ALL")
 def trial_durations(spark, sf):
-    return e1(spark, sf).groupBy(*TRIAL).agg(F.count("*").cast("int").alias("duration"))
+    return data1(spark, sf).durations()
 
 
 @query(f"WITH {E3} SELECT participant, epoch, CAST(count(*) AS INTEGER) AS duration FROM e3 GROUP BY ALL")
 def trial_durations_orders(spark, sf):
-    return adapters.order_trials(spark, sf).groupBy(*TRIAL).agg(F.count("*").cast("int").alias("duration"))
+    return TrialData.from_samples(l3(spark, sf), PATTERN, keep=False).durations()
 
 
 @query(f"WITH {E1}, d AS (SELECT participant, epoch, count(*) AS duration FROM e1 GROUP BY ALL), c AS (SELECT *, CAST(sum(duration) OVER (ORDER BY participant, epoch) - 1 AS BIGINT) AS \"end\" FROM d) SELECT participant, epoch, duration, \"end\", \"end\" - duration + 1 AS start FROM c")
 def trial_offsets(spark, sf):
-    return event_model.offsets(e1(spark, sf).groupBy(*TRIAL).agg(F.count("*").alias("duration"))).select(*TRIAL, "duration", "end", "start")
+    return data1(spark, sf).offsets().select(*TRIAL, F.col("duration").cast("long").alias("duration"), "end", "start")
 
 
-@query(f"WITH {E1} SELECT count(DISTINCT participant) AS participants, count(DISTINCT (participant, epoch)) AS trials, count(*) AS samples FROM e1")
+@query(f"WITH {E1} SELECT count(DISTINCT (participant, epoch)) AS trials, count(*) AS samples FROM e1")
 def dataset_size(spark, sf):
-    return e1(spark, sf).groupBy(*TRIAL).agg(F.count("*").alias("n")).agg(F.countDistinct("participant").alias("participants"), F.count("*").alias("trials"), F.sum("n").alias("samples"))
+    return spark.createDataFrame([data1(spark, sf).sizes()], "trials long, samples long")
 
 
 @query(f"WITH {E1}, d AS (SELECT count(*) AS n FROM e1 GROUP BY participant, epoch) SELECT CAST(floor(quantile_cont(n, 0.1) / 5) AS INTEGER) AS max_events FROM d")
 def max_events(spark, sf):
-    return e1(spark, sf).groupBy(*TRIAL).agg(F.count("*").alias("n")).agg(F.floor(F.percentile("n", 0.1) / PATTERN.location).cast("int").alias("max_events"))
+    return spark.createDataFrame([(data1(spark, sf).max_events(),)], "max_events int")
 
 
 @query(f"WITH {F0} SELECT participant, epoch, t AS sample, 0 AS event, round(g, 6) + 0.0 AS gain FROM xg0 UNION ALL SELECT participant, epoch, t, 1, round(g, 6) + 0.0 FROM xg1")
 def gains(spark, sf):
-    b = np.array(B)
-    rows = data1(spark, sf).frame.select(*TRIAL, F.posexplode("cc").alias("sample", "c"))
-    each = F.posexplode(F.array(*(F.exp(sum((F.element_at("c", i + 1) * float(x) for i, x in enumerate(row)), F.lit(0.0)) - float((row**2).sum()) / 2) for row in b))).alias("event", "gain")
-    return rows.select(*TRIAL, "sample", each).select(*TRIAL, "sample", "event", r6("gain").alias("gain"))
+    return event_model.gains(data1(spark, sf).frame, np.array(B)).select(*TRIAL, "sample", "event", r6("gain").alias("gain"))
 
 
 @query(f'WITH {F0} SELECT participant, epoch, round(ll, 6) + 0.0 AS loglik FROM xll')
@@ -428,15 +513,11 @@ def mstep_time(spark, sf):
 
 def _one_em(spark, sf, iterations: int) -> EventModel:
     model = EventModel(PATTERN, 2, max_iteration=iterations, tolerance=-1e9)
-    import warnings
-
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore")
-        data = data1(spark, sf, keep=True)
-        try:
-            return model.fit(data, candidates=[Params(np.array([SCALES]), np.array([B]))])
-        finally:
-            data.frame.unpersist()
+    data = data1(spark, sf, keep=True)
+    try:
+        return model.fit(data, candidates=[Params(np.array([SCALES]), np.array([B]))])
+    finally:
+        data.frame.unpersist()
 
 
 def _after_m_step(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -459,6 +540,20 @@ def em_two_iterations(spark, sf):
     return _one_em(spark, sf, 2).trace(spark).select("iteration", "grp", (F.round("loglik", 4) + 0.0).alias("loglik"))
 
 
+@query(_PROBS)
+def event_probs_csv(spark, sf):
+    """The estimates written as CSV and read again."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/event-probabilities-{uuid.uuid4().hex}.csv"
+    sinks.write_event_probabilities_csv(long1(spark, sf), path)
+    back = spark.read.csv(path, header=True, schema="participant long, epoch long, grp int, event int, sample int, prob double")
+    return back.select(*TRIAL, "event", "sample", r6("prob").alias("prob"))
+
+
+@query(f"WITH {F0} SELECT participant, epoch, CAST(max(t) FILTER (p > 0) + 1 AS INTEGER) AS rt FROM xp GROUP BY ALL")
+def response_samples(spark, sf):
+    return results.response_samples(long1(spark, sf))
+
+
 @query(f"WITH {E1} SELECT DISTINCT participant, epoch, CAST((participant // 4) * 2 + condition AS INTEGER) AS grp FROM e1")
 def grouping_codes(spark, sf):
     trials = e1(spark, sf).select(*TRIAL, "condition", F.floor(F.col("participant") / 4).cast("int").alias("half")).distinct()
@@ -553,6 +648,15 @@ def centered_activity(spark, sf):
     return results.centered_activity(l1(spark, sf), given(spark, sf), 1, n_samples=8, cut_before=1, baseline=-6).select(*TRIAL, "channel", "rel_sample", r6("value").alias("value"), "event_time")
 
 
+@query(f"""WITH {L1}, {_GIVEN}, b AS (SELECT participant, epoch, max(time) FILTER (event = 0) AS t0, max(time) FILTER (event = 1) AS t1 FROM gt GROUP BY ALL),
+g AS (SELECT DISTINCT participant, epoch, channel, t0, t1, CAST(unnest(range(0, 7)) AS INTEGER) AS rel FROM (SELECT DISTINCT participant, epoch, channel FROM l1) JOIN b USING (participant, epoch))
+SELECT g.participant, g.epoch, g.channel, CAST(rel + t0 AS INTEGER) AS sample, round(coalesce(CASE WHEN rel <= greatest(least(t1 - t0, 6), 0) THEN value END, -1), 6) + 0.0 AS value
+FROM g LEFT JOIN l1 ON l1.participant = g.participant AND l1.epoch = g.epoch AND l1.channel = g.channel AND l1.sample = g.rel + g.t0""")
+def centered_activity_imputed(spark, sf):
+    out = results.centered_activity(l1(spark, sf), given(spark, sf), 0, n_samples=6, cut_after=1, center=False, impute=-1.0)
+    return out.select(*TRIAL, "channel", F.col("rel_sample").cast("int").alias("sample"), r6("value").alias("value"))
+
+
 @query(f"""WITH {L1}, {_GIVEN}, s AS (SELECT participant, epoch, event, coalesce(lag(time) OVER (PARTITION BY participant, epoch ORDER BY event), 0) AS a, time AS b FROM gt)
 SELECT participant, epoch, CAST(event AS INTEGER) AS stage, channel, CAST(sample - a AS INTEGER) AS rel_sample, round(value, 6) + 0.0 AS value FROM s JOIN l1 USING (participant, epoch) WHERE b - a > 1 AND sample >= a AND sample < b""")
 def erp_segments(spark, sf):
@@ -593,6 +697,13 @@ def _loo_table(spark, sf) -> DataFrame:
     return base.select(F.explode(F.sequence(F.lit(1), F.lit(5))).alias("n_event"), "participant", "s", "q").select("n_event", "participant", (F.col("s") * F.sqrt("n_event") - F.col("q") * F.col("n_event") / 3).alias("loglik"))
 
 
+@query(f"""WITH {E1}, loo AS (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS n_event, participant, sum(value) AS s, sum(k) AS q FROM e1 GROUP BY participant),
+l AS (SELECT n_event, participant, s * sqrt(n_event) - q * n_event / 3 AS ll FROM loo), d AS (SELECT n_event, participant, ll - lag(ll) OVER (PARTITION BY participant ORDER BY n_event) AS gain FROM l)
+SELECT n_event, round(avg(gain), 4) + 0.0 AS mean, count(*) AS n, count(*) FILTER (gain > 0) AS positive, round(avg(gain) / (stddev_samp(gain) / sqrt(count(*))), 6) + 0.0 AS t FROM d WHERE gain IS NOT NULL GROUP BY ALL""")
+def loo_t(spark, sf):
+    return results.loo_tests(_loo_table(spark, sf)).select("n_event", (F.round("mean", 4) + 0.0).alias("mean"), "n", "positive", r6("t").alias("t"))
+
+
 @query()
 def loo_tests(spark, sf):
     return results.loo_tests(_loo_table(spark, sf))
@@ -636,7 +747,7 @@ def transform_events(spark, sf):
 def fit_grouped(spark, sf):
     data = data1(spark, sf, keep=True, metadata=True)
     try:
-        model = EventModel(PATTERN, 2, max_iteration=30).fit(data, by={"condition": [0, 1]}, channel_map=[[0, 0], [0, 1]], time_map=[[0, 0, 0], [0, 1, 0]])
+        model = EventModel(PATTERN, 2).fit(data, by={"condition": [0, 1]}, channel_map=[[0, 0], [0, 1]], time_map=[[0, 0, 0], [0, 1, 0]])
     finally:
         data.frame.unpersist()
     return model.time_pars(spark)
@@ -646,7 +757,7 @@ def fit_grouped(spark, sf):
 def fit_multistart(spark, sf):
     data = data1(spark, sf, keep=True)
     try:
-        return EventModel(PATTERN, 2, starting_points=4, max_scale=45, max_iteration=20).fit(data).channel_pars(spark)
+        return EventModel(PATTERN, 2, starting_points=4, max_scale=45).fit(data).channel_pars(spark)
     finally:
         data.frame.unpersist()
 
@@ -675,7 +786,7 @@ def cumulative(spark, sf):
 def loocv(spark, sf):
     data = data1(spark, sf, keep=True)
     try:
-        models = [EventModel(PATTERN, n, max_iteration=10).fit(data) for n in (1, 2)]
+        models = [EventModel(PATTERN, n).fit(data) for n in (1, 2)]
         return crossval.loocv(data, models)
     finally:
         data.frame.unpersist()
@@ -716,6 +827,6 @@ def simulate_trials(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Trials of users, z-scored and matched with the template; two events; their times."""
     data = data1(spark, sf, keep=True)
-    model = EventModel(PATTERN, 2, max_iteration=25).fit(data)
+    model = EventModel(PATTERN, 2).fit(data)
     probs = model.transform(data)
     return results.event_times(event_model.exploded(probs), durations=probs.select(*TRIAL, "duration"), add_rt=True, sfreq=100.0)
