@@ -153,3 +153,22 @@ def test_left_out_tests_are_exact(spark):
     assert r["t"] == pytest.approx(t) and r["p_t"] == pytest.approx(np.trapezoid(density, u), abs=1e-6)
     k = int(min((gains > 0).sum(), (gains < 0).sum()))
     assert r["p_sign"] == pytest.approx(min(1, 2 * sum(comb(9, i) for i in range(k + 1)) / 512))
+
+
+def test_bootstrap_intervals(spark):
+    """As wide as theory says for a normal sample, shifted to the long tail for a skewed one, alike after repartitioning."""
+    rng = np.random.default_rng(7)
+    normal, skewed = rng.normal(10, 2, 900), rng.exponential(1.0, 60) ** 2
+    rows = [("n", i, float(v)) for i, v in enumerate(normal)] + [("s", i, float(v)) for i, v in enumerate(skewed)] + [("c", i, 3.0) for i in range(5)] + [("n", -1, None)]
+    df = spark.createDataFrame(rows, "channel string, epoch long, value double")
+    got = {r["channel"]: r for r in results.bootstrap_mean(df.repartition(3), ["channel"], draws=2_000).collect()}
+    n, s = got["n"], got["s"]
+    assert n["mean"] == pytest.approx(normal.mean()) and n["high"] - n["low"] == pytest.approx(2 * 1.96 * normal.std() / 30, rel=0.1)
+    assert s["high"] - s["mean"] > s["mean"] - s["low"] > 0
+    assert (got["c"]["low"], got["c"]["high"]) == (3.0, 3.0)
+    again = {r["channel"]: r["low"] for r in results.bootstrap_mean(df.repartition(1), ["channel"], draws=2_000).collect()}
+    assert again == pytest.approx({k: r["low"] for k, r in got.items()})
+    assert results.bootstrap_mean(df.limit(0), ["channel"]).count() == 0
+    means = np.array([rng.choice(skewed, 60).mean() for _ in range(4_000)])
+    low, high = results.bca_limits(skewed.mean(), float(((skewed - skewed.mean()) ** 3).mean() / skewed.std() ** 3), 60, means, 0.95)
+    assert low > np.quantile(means, 0.025) and high > np.quantile(means, 0.975)

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,25 +156,72 @@ def erp_segments(samples: DataFrame, times: DataFrame) -> DataFrame:
     return samples.join(spans, TRIAL).where("sample >= start and sample < stop").select(*TRIAL, "stage", "channel", (F.col("sample") - F.col("start")).alias("rel_sample"), "value")
 
 
+def erp_means(segments: DataFrame) -> DataFrame:
+    """Mean over trials of each stage's samples, channel by channel, and how many trials reach them."""
+    return segments.groupBy("stage", "channel", "rel_sample").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
+
+
 def grand_average(samples: DataFrame) -> DataFrame:
     return samples.groupBy("sample", "channel").agg(F.avg("value").alias("value"), F.count("value").alias("n"))
 
 
+def bca_limits(mean: float, skewness: float, n: int, draws: np.ndarray, level: float) -> tuple[float, float]:
+    """Bias-corrected and accelerated interval (Efron, 1987) of a mean from its bootstrap draws; the mean
+    itself where the draws have no spread."""
+    draws = draws[np.isfinite(draws)]
+    if not len(draws) or draws.min() == draws.max():
+        return mean, mean
+    normal = NormalDist()
+    share = ((draws < mean).sum() + (draws <= mean).sum()) / (2 * len(draws))
+    bias = normal.inv_cdf(min(max(share, 0.5 / len(draws)), 1 - 0.5 / len(draws)))
+    speed = skewness / (6 * n**0.5)
+    at = []
+    for tail in ((1 - level) / 2, (1 + level) / 2):
+        z = bias + normal.inv_cdf(tail)
+        at.append(normal.cdf(bias + z / (1 - speed * z)))
+    low, high = np.quantile(draws, at)
+    return float(low), float(high)
+
+
 def bootstrap_mean(samples: DataFrame, keys: list[str], *, draws: int = 200, level: float = 0.95, seed: int = 0) -> DataFrame:
-    """Mean of ``value`` per keys with a percentile interval; resampling weights are Poisson(1),
-    drawn from hashes of the row, so a recomputed task draws the same."""
-    row = F.xxhash64(*samples.columns, F.lit(seed))
-    u = (F.pmod(F.xxhash64(row, F.col("draw")), F.lit(1 << 40)) + 0.5) / float(1 << 40)  # uniform
-    weight = F.lit(0)
-    total, p = 0.0, 0.36787944117144233
-    for k in range(1, 8):
-        total += p
-        p /= k
-        weight = weight + (u > total).cast("int")
-    draws_of = samples.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight)
-    means = draws_of.groupBy(*keys, "draw").agg(F.try_divide(F.sum(F.col("value") * F.col("_w")), F.sum("_w")).alias("m"))
-    ends = means.groupBy(*keys).agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", (1 + level) / 2).alias("high"))
-    return samples.groupBy(*keys).agg(F.avg("value").alias("mean")).join(ends, keys)
+    """Mean of ``value`` per keys with a bias-corrected and accelerated bootstrap interval.
+
+    Resampling weights are Poisson(1), drawn from a hash of the row, so a recomputed task draws the same.
+    Each batch adds up its own rows for all draws at once; only sums per key and draw are shuffled."""
+    kinds = ", ".join(f"`{k}` {dict(samples.dtypes)[k]}" for k in keys)
+    rows = samples.where(F.col("value").isNotNull()).select(*keys, F.col("value").cast("double").alias("_v"), F.xxhash64(*samples.columns, F.lit(seed)).alias("_h"))
+    steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    marks = (np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 4096):
+                part = b.iloc[i : i + 4096]
+                group = part.groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+                order = np.argsort(group, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(group[order]) > 0))
+                x = part["_h"].to_numpy().view(np.uint64)[order][:, None] + marks
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                weight = np.searchsorted(steps, (x >> np.uint64(11)) / float(1 << 53), "right").astype(float)
+                out = part.iloc[order[starts]][keys].reset_index(drop=True)
+                out["s"] = list(np.add.reduceat(weight * part["_v"].to_numpy()[order][:, None], starts))
+                out["w"] = list(np.add.reduceat(weight, starts))
+                yield out
+
+    sums = rows.mapInPandas(run, f"{kinds}, s array<double>, w array<double>").select(*keys, F.posexplode(F.arrays_zip("s", "w")).alias("draw", "x"))
+    means = sums.groupBy(*keys, "draw").agg(F.try_divide(F.sum("x.s"), F.sum("x.w")).alias("m"))
+    each = means.groupBy(*keys).agg(F.collect_list("m").alias("draws"))
+    whole = samples.groupBy(*keys).agg(F.avg("value").alias("mean"), F.skewness("value").alias("skewness"), F.count("value").alias("n"))
+    on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+    both = whole.alias("l").join(each.alias("r"), on).select(*(F.col(f"l.{k}").alias(k) for k in keys), "mean", "skewness", "n", "draws")
+
+    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            limits = [bca_limits(m, 0.0 if s is None or math.isnan(s) else s, n, np.asarray(d, float), level) for m, s, n, d in zip(b["mean"], b["skewness"], b["n"], b["draws"], strict=True)]
+            yield b[[*keys, "mean"]].assign(low=[x[0] for x in limits], high=[x[1] for x in limits])
+
+    return both.mapInPandas(ends, f"{kinds}, mean double, low double, high double")
 
 
 def loo_differences(loo: DataFrame) -> DataFrame:

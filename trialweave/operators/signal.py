@@ -13,21 +13,27 @@ from trialweave.schema import TRIAL
 
 
 def fir_taps(sfreq: float, low: float | None, high: float | None, seconds: float | None = None) -> np.ndarray:
-    """Odd windowed-sinc (Hamming) taps; ``low``, ``high``: edges of the pass band, either may be missing."""
-    edges = [f for f in (low, high) if f]
-    if not edges:
-        raise ValueError("a filter needs an edge")
-    seconds = seconds or 3.3 / min(max(0.25 * edges[0], 2.0) if low else 2.0, max(0.25 * edges[-1], 2.0) if high else 2.0)
-    n = int(np.ceil(seconds * sfreq)) | 1
-    k = np.arange(n) - n // 2
-
-    def lowpass(cut: float) -> np.ndarray:
-        h = 2 * cut / sfreq * np.sinc(2 * cut / sfreq * k) * np.hamming(n)
-        return h / h.sum()
+    """Odd windowed-sinc (Hamming) taps; ``low``, ``high``: edges of the pass band, either may be missing.
 
-    delta = (k == 0).astype(float)
-    out = lowpass(high) if high else delta
-    return out - (lowpass(low) if low else 0 * delta) if high else delta - lowpass(low)
+    Beyond an edge the transition is a quarter of its frequency wide, 2 Hz at least, but not past 0 or
+    half the rate; half power is in its middle, and 3.3 periods of its width make the taps of that edge."""
+    if not low and not high:
+        raise ValueError("a filter needs an edge")
+    if high and high >= sfreq / 2:
+        raise ValueError("the upper edge must lie under half the sampling rate")
+    below = min(max(0.25 * low, 2.0), low) if low else 0.0
+    above = min(max(0.25 * high, 2.0), sfreq / 2 - high) if high else 0.0
+    size = {width: int(np.ceil((seconds or 3.3 / width) * sfreq)) | 1 for width in (below, above) if width}
+    n = max(size.values())
+
+    def lowpass(cut: float, width: float) -> np.ndarray:
+        m = size[width]
+        k = np.arange(m) - m // 2
+        h = 2 * cut / sfreq * np.sinc(2 * cut / sfreq * k) * np.hamming(m)
+        return np.pad(h / h.sum(), (n - m) // 2)
+
+    out = lowpass(high + above / 2, above) if high else (np.arange(n) == n // 2).astype(float)
+    return out - lowpass(low - below / 2, below) if low else out
 
 
 def filtered(x: np.ndarray, taps: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from trialweave import sinks
 from trialweave.functions import kernels
 from trialweave.functions.distributions import FAMILIES
-from trialweave.functions.patterns import half_sine
+from trialweave.functions.patterns import arbitrary, half_sine
 from trialweave.operators import epoching, preprocess, reduction, results, signal
 from trialweave.plans import crossval, event_model, simulate
 from trialweave.plans.event_model import EventModel, Grouping, Params, TrialData
@@ -66,34 +66,41 @@ dur AS (SELECT participant, epoch, count(*) AS T FROM cc GROUP BY ALL),
 dmax AS (SELECT max(T) AS D FROM dur)"""
 
 
-def _estep(p: str, b: list[list], scales: list, location: int) -> str:
-    """CTEs of one E-step: {p}g gains, {p}f0.. forward, {p}b0.. backward, {p}p probabilities, {p}ll."""
+def _estep(p: str, b: list[list], scales: list, location: int, of: str = "") -> str:
+    """CTEs of one E-step: {p}g gains, {p}f0.. forward, {p}b0.. backward, {p}p probabilities, {p}ll.
+
+    ``of``: ending of the names of the trials' tables cc, dur and dmax."""
     out, n = [], len(b)
     for e in range(n):
-        out.append(f"{p}g{e} AS (SELECT participant, epoch, t, exp({b[e][0]} * c0 - {b[e][0]} * {b[e][0]} / 2 + {b[e][1]} * c1 - {b[e][1]} * {b[e][1]} / 2) AS g FROM cc)")
+        out.append(f"{p}g{e} AS (SELECT participant, epoch, t, exp({b[e][0]} * c0 - {b[e][0]} * {b[e][0]} / 2 + {b[e][1]} * c1 - {b[e][1]} * {b[e][1]} / 2) AS g FROM cc{of})")
     for s in range(n + 1):
-        out.append(f"{p}r{s} AS (SELECT t, t * exp(-t / ({scales[s]})) AS p FROM (SELECT unnest(range(D)) AS t FROM dmax))")
+        out.append(f"{p}r{s} AS (SELECT t, t * exp(-t / ({scales[s]})) AS p FROM (SELECT unnest(range(D)) AS t FROM dmax{of}))")
         value = f"CASE WHEN t < {location} THEN 1e-15 ELSE p / (SELECT sum(p) FROM {p}r{s}) END" if 0 < s < n and location else f"p / (SELECT sum(p) FROM {p}r{s})"
         out.append(f"{p}m{s} AS (SELECT t, {value} AS p FROM {p}r{s})")
     out.append(f"{p}f0 AS (SELECT participant, epoch, t, p * g AS f FROM {p}g0 JOIN {p}m0 USING (t))")
     for e in range(1, n):
         out.append(f"{p}f{e} AS (SELECT g.participant, g.epoch, g.t, any_value(g.g) * sum(a.f * m.p) AS f FROM {p}f{e - 1} a JOIN {p}g{e} g ON g.participant = a.participant AND g.epoch = a.epoch AND g.t >= a.t JOIN {p}m{e} m ON m.t = g.t - a.t GROUP BY ALL)")
-    out.append(f"{p}b{n - 1} AS (SELECT c.participant, c.epoch, c.t, m.p AS b FROM cc c JOIN dur d USING (participant, epoch) JOIN {p}m{n} m ON m.t = d.T - 1 - c.t)")
+    out.append(f"{p}b{n - 1} AS (SELECT c.participant, c.epoch, c.t, m.p AS b FROM cc{of} c JOIN dur{of} d USING (participant, epoch) JOIN {p}m{n} m ON m.t = d.T - 1 - c.t)")
     for e in range(n - 2, -1, -1):
-        out.append(f"{p}b{e} AS (SELECT c.participant, c.epoch, c.t, sum(n.b * g.g * m.p) AS b FROM cc c JOIN {p}b{e + 1} n ON n.participant = c.participant AND n.epoch = c.epoch AND n.t >= c.t JOIN {p}g{e + 1} g ON g.participant = n.participant AND g.epoch = n.epoch AND g.t = n.t JOIN {p}m{e + 1} m ON m.t = n.t - c.t GROUP BY ALL)")
+        out.append(f"{p}b{e} AS (SELECT c.participant, c.epoch, c.t, sum(n.b * g.g * m.p) AS b FROM cc{of} c JOIN {p}b{e + 1} n ON n.participant = c.participant AND n.epoch = c.epoch AND n.t >= c.t JOIN {p}g{e + 1} g ON g.participant = n.participant AND g.epoch = n.epoch AND g.t = n.t JOIN {p}m{e + 1} m ON m.t = n.t - c.t GROUP BY ALL)")
     out.append(f"{p}j AS ({' UNION ALL '.join(f'SELECT participant, epoch, {e} AS event, t, greatest(f * b, 0) AS v FROM {p}f{e} JOIN {p}b{e} USING (participant, epoch, t)' for e in range(n))})")
     out.append(f"{p}p AS (SELECT participant, epoch, event, t, v / sum(v) OVER (PARTITION BY participant, epoch, event) AS p FROM {p}j)")
     out.append(f"{p}ll AS (SELECT participant, epoch, ln(sum(v)) AS ll FROM {p}j WHERE event = 0 GROUP BY ALL)")
     return ",\n".join(out)
 
 
-def _mstep(q: str, p: str, n: int) -> str:
+def _mstep(q: str, p: str, n: int, of: str = "") -> str:
     """CTEs {q}b (event, c0, c1) and {q}s (stage, scale) from the probabilities of E-step ``p``."""
-    return f"""{q}b AS (SELECT event, avg(x0) AS c0, avg(x1) AS c1 FROM (SELECT participant, epoch, event, sum(p * c0) AS x0, sum(p * c1) AS x1 FROM {p}p JOIN cc USING (participant, epoch, t) GROUP BY ALL) GROUP BY event),
-{q}a AS (SELECT event, avg(x) AS pos FROM (SELECT participant, epoch, event, sum(p * t) AS x FROM {p}p GROUP BY ALL) GROUP BY event UNION ALL SELECT {n}, avg(T) - 1 FROM dur),
+    return f"""{q}b AS (SELECT event, avg(x0) AS c0, avg(x1) AS c1 FROM (SELECT participant, epoch, event, sum(p * c0) AS x0, sum(p * c1) AS x1 FROM {p}p JOIN cc{of} USING (participant, epoch, t) GROUP BY ALL) GROUP BY event),
+{q}a AS (SELECT event, avg(x) AS pos FROM (SELECT participant, epoch, event, sum(p * t) AS x FROM {p}p GROUP BY ALL) GROUP BY event UNION ALL SELECT {n}, avg(T) - 1 FROM dur{of}),
 {q}s AS (SELECT event AS stage, (pos - coalesce(lag(pos) OVER (ORDER BY event), 0)) / 2 AS scale FROM {q}a)"""
 
 
+def _some(name: str, where: str) -> str:
+    """CTEs cc{name}, dur{name} and dmax{name} of some of the trials."""
+    return f"""cc{name} AS (SELECT * FROM cc WHERE {where}), dur{name} AS (SELECT * FROM dur WHERE {where}), dmax{name} AS (SELECT max(T) AS D FROM dur{name})"""
+
+
 F1 = X1 + ",\n" + _estep("x", B, SCALES, PATTERN.location)
 F0 = X1 + ",\n" + _estep("x", B, SCALES, 0)
 T0 = F0 + """,
@@ -185,6 +192,36 @@ def trigger_edges(spark, sf):
     return readers.detect_triggers(_triggers(spark, sf))
 
 
+def _place(spark, name: str) -> str:
+    return f"{spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT p AS participant, CAST(e AS BIGINT) AS epoch, CAST(s AS INTEGER) AS sample, c AS channel, CAST(((i * 3 + e) * 2 + j) * 5 + s AS DOUBLE) AS value FROM (SELECT unnest([0, 1]) AS i, unnest(['a', 'b']) AS p), (SELECT unnest(range(3)) AS e), (SELECT unnest([0, 1]) AS j, unnest(['x', 'y']) AS c), (SELECT unnest(range(5)) AS s) WHERE ((i * 3 + e) * 2 + j) * 5 + s <> 17")
+def array_samples(spark, sf):
+    data = np.arange(60.0).reshape(2, 3, 2, 5)
+    data[data == 17] = np.nan
+    return readers.from_array(spark, data, participants=["a", "b"], channels=["x", "y"])
+
+
+@query(f"WITH {L1} SELECT CAST(participant AS VARCHAR) AS participant, epoch, sample, channel, round(value, 6) + 0.0 AS value FROM l1 WHERE value > 50")
+def stored_samples(spark, sf):
+    """Samples stored with gaps, and loaded without them."""
+    gaps = l1(spark, sf).select(F.col("participant").cast("string").alias("participant"), "epoch", F.col("sample").cast("int").alias("sample"), "channel", F.when(F.col("value") > 50, F.col("value")).alias("value"))
+    path = _place(spark, "samples")
+    sinks.write_samples(gaps, path)
+    return signal_rows(readers.load_samples(spark, path))
+
+
+@query(f"WITH {L1}, t AS (SELECT DISTINCT CAST(participant AS VARCHAR) AS participant, epoch, (epoch % 40 + 10) / 100.0 AS rt FROM l1 WHERE epoch % 3 <> 0) SELECT t.participant, t.epoch, sample, channel, round(value, 6) + 0.0 AS value FROM t JOIN l1 ON l1.epoch = t.epoch AND CAST(l1.participant AS VARCHAR) = t.participant WHERE sample < t.epoch % 40 + 10 + 3")
+def stored_epochs(spark, sf):
+    """Epochs stored with the estimates' writer, read with response times of their own."""
+    samples = l1(spark, sf).select(F.col("participant").cast("string").alias("participant"), "epoch", F.col("sample").cast("int").alias("sample"), "channel", "value")
+    path = _place(spark, "epochs")
+    sinks.write_table(samples, path)
+    meta = samples.select(*TRIAL).distinct().where("epoch % 3 <> 0").withColumn("ms", (F.col("epoch") % 40 + 10) * 10.0)
+    return signal_rows(readers.read_epochs(spark, path, metadata=meta, rt_col="ms", scale=1000.0, sfreq=100.0, offset_after_resp=0.03)[0])
+
+
 @query("SELECT conv_id AS participant, turn AS sample, role AS channel, CAST(length(text) AS DOUBLE) AS value FROM conversations")
 def conversation_samples(spark, sf):
     return spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("participant"), F.col("turn").alias("sample"), F.col("role").alias("channel"), F.length("text").cast("double").alias("value"))
@@ -405,6 +442,48 @@ def preprocess_standard(spark, sf):
     return signal_rows(preprocess.preprocess(l1(spark, sf), method=None, apply_standard=True, apply_zscore="participant").samples)
 
 
+@query(f"WITH {L1} SELECT participant, epoch, sample, channel, round(0.5 * coalesce(lag(value, 1) OVER o, 0) - value + 2 * coalesce(lead(value, 1) OVER o, 0), 6) + 0.0 AS value FROM l1 WINDOW o AS (PARTITION BY participant, epoch, channel ORDER BY sample)")
+def cross_correlation_arbitrary(spark, sf):
+    return signal_rows(preprocess.cross_correlate(l1(spark, sf), arbitrary(100.0, [0.5, -1.0, 2.0]).template))
+
+
+@query(f"""WITH {L1}, c AS (SELECT participant, epoch, a.channel AS a, b.channel AS b, covar_samp(a.value, b.value) AS cov FROM l1 a JOIN l1 b USING (participant, epoch, sample) GROUP BY ALL),
+p AS (SELECT participant, a, b, avg(cov) AS cov FROM c GROUP BY ALL), m AS (SELECT a, b, avg(cov) AS cov FROM p GROUP BY ALL),
+d AS (SELECT b AS channel, max(cov) FILTER (a = 'k') - max(cov) FILTER (a = 'value') AS d FROM m GROUP BY ALL),
+n AS (SELECT sqrt(sum(d * d)) * sign(arg_max(d, abs(d))) AS n FROM d)
+SELECT channel, '0' AS component, round(d / n, 6) + 0.0 AS w FROM d, n""")
+def pca_two_channels(spark, sf):
+    """Rows of a two-channel covariance, centred, span one direction: their difference."""
+    return reduction.pca(preprocess.center(l1(spark, sf)), 1)[0].select("channel", "component", r6("w").alias("w"))
+
+
+_FIR = """h AS (SELECT k, 0.675 * CASE WHEN k = 0 THEN 1 ELSE sin(pi() * 0.675 * k) / (pi() * 0.675 * k) END * (0.54 + 0.46 * cos(2 * pi() * k / 44)) AS h FROM (SELECT unnest(range(-22, 23)) AS k)),
+taps AS (SELECT k, h / (SELECT sum(h) FROM h) AS h FROM h),
+len AS (SELECT participant, epoch, channel, max(sample) AS z, arg_min(value, sample) AS x0, arg_max(value, sample) AS xz FROM l1 GROUP BY ALL),
+spot AS (SELECT l.participant, l.epoch, l.channel, i, k, h, i - k AS j, z, x0, xz FROM (SELECT *, unnest(range(0, z + 1)) AS i FROM len) l, taps),
+fl AS (SELECT a.participant, a.epoch, CAST(a.i AS INTEGER) AS sample, a.channel, sum(h * CASE WHEN j < 0 THEN 2 * x0 - v.value WHEN j > z THEN 2 * xz - v.value ELSE v.value END) AS value
+  FROM spot a JOIN l1 v ON v.participant = a.participant AND v.epoch = a.epoch AND v.channel = a.channel AND v.sample = CASE WHEN j < 0 THEN -j WHEN j > z THEN 2 * z - j ELSE j END GROUP BY ALL)"""
+
+
+@query(f"WITH {L1}, {_FIR} SELECT {SIG} FROM fl")
+def filter_low_pass(spark, sf):
+    return signal_rows(signal.filter_trials(l1(spark, sf), 100.0, None, 30.0))
+
+
+@query(f"WITH {L1}, {_FIR} SELECT epoch AS participant, sample, channel, round(value, 6) + 0.0 AS value FROM fl")
+def filter_raw_low_pass(spark, sf):
+    raw = l1(spark, sf).select(F.col("epoch").alias("participant"), F.col("sample").cast("long").alias("sample"), "channel", "value")
+    return signal.filter_raw(raw, 100.0, None, 30.0, block=1).select("participant", F.col("sample").cast("int").alias("sample"), "channel", r6("value").alias("value"))
+
+
+@query(f"""WITH {L1}, n AS (SELECT participant, epoch, channel, count(*) AS n, greatest(1, CAST(round_even(count(*) / 2.0, 0) AS BIGINT)) AS m FROM l1 GROUP BY ALL),
+y AS (SELECT *, unnest(range(0, m)) AS j FROM n), k AS (SELECT *, unnest(range(0, m // 2 + 1)) AS k FROM y)
+SELECT k.participant, k.epoch, CAST(j AS INTEGER) AS sample, k.channel, round(sum(value * CASE WHEN k = 0 OR (m % 2 = 0 AND 2 * k = m) THEN 1 ELSE 2 END * cos(2 * pi() * k * (j * 1.0 / m - sample * 1.0 / n))) / any_value(n), 6) + 0.0 AS value
+FROM k JOIN l1 x ON x.participant = k.participant AND x.epoch = k.epoch AND x.channel = k.channel GROUP BY ALL""")
+def resample(spark, sf):
+    return signal_rows(signal.resample_trials(l1(spark, sf), 100.0, 50.0))
+
+
 @query(f"WITH {X1} SELECT {SIG} FROM x1")
 def cross_correlation(spark, sf):
     return signal_rows(preprocess.cross_correlate(preprocess.zscore(l1(spark, sf), "trial"), W))
@@ -543,7 +622,7 @@ def em_two_iterations(spark, sf):
 @query(_PROBS)
 def event_probs_csv(spark, sf):
     """The estimates written as CSV and read again."""
-    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/event-probabilities-{uuid.uuid4().hex}.csv"
+    path = _place(spark, "event-probabilities") + ".csv"
     sinks.write_event_probabilities_csv(long1(spark, sf), path)
     back = spark.read.csv(path, header=True, schema="participant long, epoch long, grp int, event int, sample int, prob double")
     return back.select(*TRIAL, "event", "sample", r6("prob").alias("prob"))
@@ -560,6 +639,78 @@ def grouping_codes(spark, sf):
     return Grouping.make(1, {"half": [0, 1], "condition": [0, 1]}).code(trials).select(*TRIAL, "grp")
 
 
+_FIXED = f"WITH {F1},\n{_mstep('q', 'x', 2)}"
+
+
+def _fixed_em(spark, sf) -> EventModel:
+    model = EventModel(PATTERN, 2, fixed_time_pars=(1,), fixed_channel_pars=(0,), max_iteration=1, tolerance=-1e9)
+    data = data1(spark, sf, keep=True)
+    try:
+        return model.fit(data, candidates=[Params(np.array([SCALES]), np.array([B]))])
+    finally:
+        data.frame.unpersist()
+
+
+@query(f"{_FIXED} SELECT CAST(stage AS INTEGER) AS stage, round(CASE WHEN stage = 1 THEN {SCALES[1]} ELSE scale END, 6) + 0.0 AS scale FROM qs")
+def fixed_time_pars(spark, sf):
+    return _fixed_em(spark, sf).time_pars(spark).select("stage", r6("scale").alias("scale"))
+
+
+@query(f"{_FIXED} SELECT CAST(event AS INTEGER) AS event, CAST(c AS INTEGER) AS component, round(v, 6) + 0.0 AS value FROM (SELECT event, 0 AS c, CASE event WHEN 0 THEN {B[0][0]} ELSE c0 END AS v FROM qb UNION ALL SELECT event, 1, CASE event WHEN 0 THEN {B[0][1]} ELSE c1 END FROM qb)")
+def fixed_channel_pars(spark, sf):
+    return _fixed_em(spark, sf).channel_pars(spark).select("event", "component", r6("value").alias("value"))
+
+
+#: Two groups by condition: the first and last stage and the first event are shared.
+_GROUPS = {"by": {"condition": [0, 1]}, "channel_map": [[0, 0], [0, 1]], "time_map": [[0, 0, 0], [0, 1, 0]]}
+_OF = "epoch % 2 = {}"  # the condition of E1's trials
+_GROUPED = "WITH " + ",\n".join([X1, *(x for g in (0, 1) for x in (_some(f"_{g}", _OF.format(g)), _estep(f"g{g}", B, SCALES, PATTERN.location, f"_{g}"), _mstep(f"m{g}", f"g{g}", 2, f"_{g}")))])
+
+
+def _grouped_em(spark, sf) -> EventModel:
+    data = data1(spark, sf, keep=True, metadata=True)
+    try:
+        return EventModel(PATTERN, 2, max_iteration=1, tolerance=-1e9).fit(data, candidates=[Params(np.array([SCALES] * 2), np.array([B] * 2))], **_GROUPS)
+    finally:
+        data.frame.unpersist()
+
+
+@query(f"{_GROUPED}, s AS (SELECT 0 AS grp, * FROM m0s UNION ALL SELECT 1, * FROM m1s) SELECT CAST(grp AS INTEGER) AS grp, CAST(stage AS INTEGER) AS stage, round(CASE WHEN stage = 1 THEN scale ELSE avg(scale) OVER (PARTITION BY stage) END, 6) + 0.0 AS scale FROM s")
+def shared_time_pars(spark, sf):
+    return _grouped_em(spark, sf).time_pars(spark).select("grp", "stage", r6("scale").alias("scale"))
+
+
+@query(f"""{_GROUPED}, b AS (SELECT 0 AS grp, * FROM m0b UNION ALL SELECT 1, * FROM m1b), l AS (SELECT grp, event, 0 AS c, c0 AS v FROM b UNION ALL SELECT grp, event, 1, c1 FROM b)
+SELECT CAST(grp AS INTEGER) AS grp, CAST(event AS INTEGER) AS event, CAST(c AS INTEGER) AS component, round(CASE WHEN event = 1 THEN v ELSE avg(v) OVER (PARTITION BY event, c) END, 6) + 0.0 AS value FROM l""")
+def shared_channel_pars(spark, sf):
+    return _grouped_em(spark, sf).channel_pars(spark).select("grp", "event", "component", r6("value").alias("value"))
+
+
+@query(f"{_GROUPED} SELECT CAST(0 AS INTEGER) AS iteration, CAST(0 AS INTEGER) AS grp, round(sum(ll), 4) + 0.0 AS loglik FROM g0ll UNION ALL SELECT 0, 1, round(sum(ll), 4) + 0.0 FROM g1ll")
+def grouped_loglik(spark, sf):
+    return _grouped_em(spark, sf).trace(spark).where("iteration = 0").select("iteration", "grp", (F.round("loglik", 4) + 0.0).alias("loglik"))
+
+
+def _left_out_sql() -> str:
+    parts, ends = [X1], []
+    for p in range(8):
+        ratio = f"((SELECT avg(T) FROM dur_{p}) / (SELECT avg(T) FROM dur WHERE participant <> {p}))"
+        parts += [_some(f"_{p}", f"participant = {p}"), _estep(f"l{p}", B, [f"({s} * {ratio})" for s in SCALES], PATTERN.location, f"_{p}")]
+        ends.append(f"SELECT CAST(2 AS INTEGER) AS n_event, CAST({p} AS BIGINT) AS participant, round(sum(ll), 4) + 0.0 AS loglik FROM l{p}ll")
+    return "WITH " + ",\n".join(parts) + " " + " UNION ALL ".join(ends)
+
+
+@query(_left_out_sql())
+def left_out(spark, sf):
+    model = EventModel(PATTERN, 2)
+    model.params, model.grouping = Params(np.array([SCALES]), np.array([B])), Grouping.make(2)
+    data = data1(spark, sf, keep=True)
+    try:
+        return crossval.loocv_func(data, lambda others: model).select("n_event", "participant", (F.round("loglik", 4) + 0.0).alias("loglik"))
+    finally:
+        data.frame.unpersist()
+
+
 # -- interpretation
 
 @query(f"WITH {T0} SELECT participant, epoch, CAST(event AS INTEGER) AS event, time FROM tm")
@@ -663,6 +814,25 @@ def erp_segments(spark, sf):
     return results.erp_segments(l1(spark, sf), given(spark, sf)).select(*TRIAL, "stage", "channel", "rel_sample", r6("value").alias("value"))
 
 
+@query(f"""WITH {L1}, {_GIVEN}, s AS (SELECT participant, epoch, event, coalesce(lag(time) OVER (PARTITION BY participant, epoch ORDER BY event), 0) AS a, time AS b FROM gt)
+SELECT CAST(event AS INTEGER) AS stage, channel, CAST(sample - a AS INTEGER) AS rel_sample, round(avg(value), 9) + 0.0 AS value, count(*) AS n FROM s JOIN l1 USING (participant, epoch) WHERE b - a > 1 AND sample >= a AND sample < b GROUP BY ALL""")
+def erp_means(spark, sf):
+    return results.erp_means(results.erp_segments(l1(spark, sf), given(spark, sf))).select("stage", "channel", "rel_sample", (F.round("value", 9) + 0.0).alias("value"), "n")
+
+
+@query(f"WITH {T0} SELECT CAST(event AS INTEGER) AS event, channel, round(avg(value), 6) + 0.0 AS value FROM tm JOIN l1 USING (participant, epoch) WHERE sample = time GROUP BY ALL")
+def topography_values(spark, sf):
+    p = probs1(spark, sf)
+    return results.topography_timecourse(event_model.exploded(p), l1(spark, sf), p.select(*TRIAL, "duration"))[0].select("event", "channel", r6("value").alias("value"))
+
+
+@query(f"WITH {_STAGES} SELECT CAST(event AS INTEGER) AS event, round(avg(time) * 10, 5) + 0.0 AS mean, round(stddev_pop(time) * 10, 5) + 0.0 AS std, count(*) AS n FROM st GROUP BY ALL")
+def topography_times(spark, sf):
+    p = probs1(spark, sf)
+    times = results.topography_timecourse(event_model.exploded(p), l1(spark, sf), p.select(*TRIAL, "duration"), sfreq=100.0)[1]
+    return times.select("event", (F.round("mean", 5) + 0.0).alias("mean"), (F.round("std", 5) + 0.0).alias("std"), "n")
+
+
 @query(f"WITH {L1} SELECT sample, channel, round(avg(value), 9) + 0.0 AS value, count(*) AS n FROM l1 GROUP BY ALL")
 def grand_average(spark, sf):
     return results.grand_average(l1(spark, sf)).select("sample", "channel", (F.round("value", 9) + 0.0).alias("value"), "n")
@@ -809,11 +979,6 @@ def filter_band(spark, sf):
     return signal.filter_trials(l1(spark, sf), 100.0, 1.0, 30.0)
 
 
-@query()
-def resample(spark, sf):
-    return signal.resample_trials(l1(spark, sf), 100.0, 50.0)
-
-
 @query()
 def bootstrap_erp(spark, sf):
     return results.bootstrap_mean(l1(spark, sf).select("sample", "channel", "epoch", "value"), ["sample", "channel"])
