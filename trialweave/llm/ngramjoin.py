@@ -3,11 +3,14 @@
 A document is the set of its word n-grams.  Equal sets form one class from the start, and
 all further work is on classes.
 
-1. One pass over the texts writes, per document, its set's hash and size and a fixed number
-   of routing keys: bands of min-hashes.  The number of bands follows from the threshold so
-   that two sets at exactly the threshold share none with a chance of at most ``MISS``
-   (1e-9; less for closer sets).  Sets that share a key are tied together as a star around
-   the bucket's least class, in a streaming pass over sorted keys; connected stars are clusters.
+1. One pass over the texts writes, per document, its set's hash and size, a fixed number of
+   routing keys (bands of min-hashes) and a sketch of short min-hash codes.  The number of bands
+   follows from the threshold so that two sets at exactly the threshold share none with a chance
+   of at most ``MISS`` (1e-9; less for closer sets).  Sets that share a key are tied if their
+   sizes allow a link and their sketches differ by no more than linked sets' do (but for a
+   chance of at most ``MISS``), so texts that merely share a passage stay apart.  Only a key
+   with more than ``BUCKET`` sets, most of which are copies of each other, ties all of its sets
+   to its least one without a look.  Connected ties are clusters.
 2. Each cluster is joined by a signature tree: nodes hold OR-combined token bitmaps,
    size ranges and the largest excess of tokens over bits; a traversal of node pairs drops
    those whose greatest possible overlap is too small, or whose members are already
@@ -17,12 +20,15 @@ all further work is on classes.
    text are connected across blocks.  What is not in the cluster's largest component then is
    compared, again by trees, with all of the cluster, block pair by block pair.
 
-A group of near copies costs its size: stars have one edge per member, connected members are
-not compared again, and no task gathers more than two blocks.  Only sets outside a cluster's
-largest component meet all its blocks.
+A group of near copies costs its size: ties are a forest, connected members are not compared
+again, a key's rows are counted by partial aggregates and gathered only up to ``BUCKET``, and
+no task gathers more than two blocks.  Only sets outside a cluster's largest component meet
+all its blocks.
 
 Defined results: null texts and texts without words have an empty set, linked with nothing;
-repeated rows are equal sets; an empty table gives an empty table; other columns are not read.
+repeated rows are equal sets; rows without an id have links like others, and where no row of a
+component has an id its component_id is null; an empty table gives an empty table; other columns
+are not read.  Ids are read as long.
 """
 
 from __future__ import annotations
@@ -35,11 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.shared import connected_components, written
-from trialweave.llm.text import U64, Words, byte_table, encoded, mix, slices
+from trialweave.llm.shared import Scratch, apart, connected_components
+from trialweave.llm.text import U64, Words, byte_table, encoded, hidden, mix, shown, slices
 
 MISS = 1e-9
 ROWS = 4
+#: Rows of one routing key that are compared with each other.
+BUCKET = 4096
+#: Most min-hashes of a sketch, and the bits kept of each.
+SKETCH, PLANES = 128, 3
 #: About the most sets, and n-grams, of a block of a large cluster; pivots of such a cluster.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 4_000_000
 PIVOTS = 64
@@ -51,6 +61,16 @@ def bands_for(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
 
 
+def most_apart(threshold: float, hashes: int, miss: float = MISS) -> int:
+    """Codes in which sketches of sets at the threshold differ at most, but for a chance of ``miss``."""
+    p = (1 - threshold) * (1 - 0.5**PLANES)
+    tail, k = 1.0, -1
+    while tail > miss and k < hashes:
+        k += 1
+        tail -= math.comb(hashes, k) * p**k * (1 - p) ** (hashes - k)
+    return k
+
+
 def shingle_sets(texts: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's n-grams; a shorter text is one n-gram."""
     w = Words(texts, _TABLE)
@@ -74,8 +94,9 @@ def set_hashes(sets: list[np.ndarray]) -> np.ndarray:
     return mix(sums + np.array([len(s) for s in sets], U64) * U64(0xD6E8FEB86659FD93))
 
 
-def routing_keys(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.ndarray:
-    """Keys of non-empty sets: one row of ``bands`` 64-bit values per set."""
+def routing_keys(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Of non-empty sets: ``bands`` 64-bit keys per set, and its sketch: a bit plane after the
+    other of its first ``SKETCH`` min-hashes' codes."""
     flat = np.concatenate(sets)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
     x = (flat ^ (flat >> U64(32))).astype(np.uint32)
@@ -83,10 +104,21 @@ def routing_keys(sets: list[np.ndarray], bands: int, rows: int = ROWS) -> np.nda
     rng = np.random.default_rng(20240229)
     odd = rng.integers(0, 1 << 31, (2, bands * rows), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
     keys = np.zeros((len(sets), bands), U64)
+    sketch = np.zeros((len(sets), PLANES, SKETCH // 64), U64)
     for j in range(bands * rows):
-        value = x * odd[0, j] + y * odd[1, j]
-        keys[:, j // rows] = mix(keys[:, j // rows] + np.minimum.reduceat(value, starts).astype(U64) + U64(((j + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
-    return keys
+        least = np.minimum.reduceat(x * odd[0, j] + y * odd[1, j], starts).astype(U64)
+        keys[:, j // rows] = mix(keys[:, j // rows] + least + U64(((j + 1) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF))
+        if j < SKETCH:
+            code = mix(least + U64(j))
+            for plane in range(PLANES):
+                sketch[:, plane, j // 64] |= (code >> U64(plane) & U64(1)) << U64(j % 64)
+    return keys, sketch.reshape(len(sets), -1)
+
+
+def apart_codes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Codes in which sketches (rows of ``a`` and of ``b``) differ."""
+    x = (a ^ b).reshape(len(a), PLANES, -1)
+    return np.bitwise_count(np.bitwise_or.reduce(x, axis=1)).sum(axis=1)
 
 
 class SignatureTree:
@@ -209,12 +241,8 @@ class SignatureTree:
                     self.parent[max(rx, ry)] = min(rx, ry)
 
 
-def _as_long(column: np.ndarray) -> pa.Array:
-    return pa.array(column.view(np.int64))
-
-
 def sign(docs: DataFrame, n: int, bands: int) -> DataFrame:
-    """doc_id, text_key, n_shingles, set_hash (null for empty sets), keys (null where this task has met the set)."""
+    """doc_id, text_key, n_shingles, set_hash (null for empty sets), keys and sketch (null where this task has met the set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -230,9 +258,11 @@ def sign(docs: DataFrame, n: int, bands: int) -> DataFrame:
                         met.add(h)
                         new.append(i)
                 keys: list = [None] * len(sets)
+                sketches: list = [None] * len(sets)
                 if new:
-                    for i, row in zip(new, routing_keys([sets[i] for i in new], bands).view(np.int64), strict=True):
-                        keys[i] = row
+                    found, codes = routing_keys([sets[i] for i in new], bands)
+                    for i, row, code in zip(new, found.view(np.int64), codes, strict=True):
+                        keys[i], sketches[i] = row, code.tobytes()
                 empty = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -241,28 +271,82 @@ def sign(docs: DataFrame, n: int, bands: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(hashes.view(np.int64), mask=empty),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(sketches, pa.binary()),
                     ],
-                    ["doc_id", "text_key", "n_shingles", "set_hash", "keys"],
+                    ["doc_id", "text_key", "n_shingles", "set_hash", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long, keys array<long>, sketch binary")
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges to the least class of each bucket, from rows sorted by (key, set_hash)."""
-    last_key, centre = None, None
-    for batch in batches:
-        key, value = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(key):
+def close_forest(names: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, num: int, den: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs of sets that may be linked connect."""
+    names, first = np.unique(names, return_index=True)
+    sizes, sketches = sizes[first], sketches[first]
+    edges, left = [], np.arange(1, len(names))
+    near = [0]
+    while len(left):
+        if not near:
+            near, left = [int(left[0])], left[1:]
             continue
-        opens = np.concatenate([[last_key is None or key[0] != last_key], key[1:] != key[:-1]])
-        at = np.maximum.accumulate(np.where(opens, np.arange(len(key)), -1))
-        mid = np.where(at >= 0, value[np.maximum(at, 0)], centre if centre is not None else 0)
-        last_key, centre = key[-1], mid[-1]
-        far = mid != value
-        # The same two classes often meet in many buckets.
-        pairs = np.unique(np.stack([mid[far], value[far]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        i = near.pop()
+        fits = (den * np.minimum(sizes[left], sizes[i]) >= num * np.maximum(sizes[left], sizes[i])) & (apart_codes(sketches[left], sketches[i : i + 1]) <= most)
+        edges.extend((int(names[i]), int(x)) for x in names[left[fits]])
+        near.extend(left[fits].tolist())
+        left = left[~fits]
+    return edges
+
+
+def _ties(most: int, num: int, den: int):
+    """Edges (a, b) of the buckets in rows (key, set_hash, n, sketch) sorted by key; a bucket has ``BUCKET`` rows at most."""
+
+    def settle(key: np.ndarray, name: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        opens = np.concatenate([[True], key[1:] != key[:-1]])
+        starts = np.flatnonzero(opens)
+        bucket = np.cumsum(opens) - 1
+        head = starts[bucket]
+        # Most buckets are copies of their first set; the others are compared pair by pair.
+        fits = (den * np.minimum(size, size[head]) >= num * np.maximum(size, size[head])) & (apart_codes(sketch, sketch[head]) <= most)
+        plain = np.logical_and.reduceat(fits, starts)
+        at = plain[bucket] & (name != name[head])
+        pairs = [np.stack([name[head][at], name[at]], axis=1)]
+        ends = np.append(starts[1:], len(key))
+        for k in np.flatnonzero(~plain):
+            own = slice(starts[k], ends[k])
+            if edges := close_forest(name[own], size[own], sketch[own], most, num, den):
+                pairs.append(np.array(edges, np.int64))
+        both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0)  # the same two sets often meet in many buckets
+        return pa.RecordBatch.from_arrays([pa.array(both[:, 1]), pa.array(both[:, 0])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # rows of the last key so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = SKETCH // 64 * PLANES
+            now = [batch.column(c).to_numpy() for c in ("key", "set_hash", "n")]
+            now.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64).reshape(-1, words))
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+            cut = int(np.flatnonzero(now[0] == now[0][-1])[0])
+            if cut:
+                yield settle(*(x[:cut] for x in now))
+            held = [x[cut:] for x in now]
+        if held is not None:
+            yield settle(*held)
+
+    return run
+
+
+def tied(signed: DataFrame, scratch: Scratch, num: int, den: int, bands: int) -> DataFrame:
+    """Edges (a, b) between sets that share a routing key and may be linked."""
+    keys = signed.where("keys is not null").select(F.explode("keys").alias("key"), "set_hash")
+    counts = keys.groupBy("key", apart("key")).agg(F.count("*").alias("rows"), F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).where("least <> most").select("key", "rows", "least")
+    met = scratch.table(keys.join(counts.hint("merge"), "key"), "met")
+    sketches = signed.where("keys is not null").groupBy("set_hash").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    few = met.where(F.col("rows") <= BUCKET).select("key", "set_hash").join(sketches.hint("merge"), "set_hash").select("key", "set_hash", "n", "sketch")
+    checked = few.repartition("key").sortWithinPartitions("key").mapInArrow(_ties(most_apart(num / den, min(SKETCH, bands * ROWS)), num, den), "a long, b long")
+    return checked.unionByName(met.where(F.col("rows") > BUCKET).select(F.col("set_hash").alias("a"), F.col("least").alias("b")))
 
 
 def _join_clusters(n: int, num: int, den: int):
@@ -312,26 +396,25 @@ def _join_clusters(n: int, num: int, den: int):
     return run
 
 
-def _joined(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _joined(texts: DataFrame, scratch: Scratch, name: str, n: int, num: int, den: int) -> DataFrame:
     """Written (a, b, text) of ``_join_clusters``."""
     rows = texts.select("task", "set_hash", "known", "home", "text")
-    return written(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_join_clusters(n, num, den), "a long, b long, text string"), "links")[0]
+    return scratch.table(rows.repartition("task").sortWithinPartitions("task").mapInArrow(_join_clusters(n, num, den), "a long, b long, text string"), name)
 
 
-def _across_blocks(placed: DataFrame, found: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def _across_blocks(placed: DataFrame, found: DataFrame, scratch: Scratch, n: int, num: int, den: int) -> DataFrame:
     """Links of large clusters beyond those ``found`` inside their blocks.
 
     Sets of a cluster's largest component (main) are connected already; the others (rest)
     are cut into blocks of their own and meet every block of main and of the rest.
     """
-    known = connected_components(found.where("b is not null").select("a", "b"))
+    known = connected_components(found.where("b is not null").select("a", "b"), scratch, "inside")
     state = placed.where("blocks > 1").join(known, placed["set_hash"] == known["node"], "left").select("cluster", "set_hash", "n", "block", "blocks", F.coalesce("root", "set_hash").alias("known"))
-    state, _ = written(state, "state")
+    state = scratch.table(state, "state")
     parts = state.groupBy("cluster", "known").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     mains = parts.groupBy("cluster").agg(F.max(F.struct("sets", "known"))["known"].alias("main"), F.count("*").alias("parts"), F.sum("sets").alias("all_sets"), F.sum("grams").alias("all_grams"), F.max(F.struct("sets", "known", "grams")).alias("most"))
     rest = F.greatest(F.ceil((F.col("all_sets") - F.col("most.sets")) / BLOCK_SETS), F.ceil((F.col("all_grams") - F.col("most.grams")) / BLOCK_GRAMS)).cast("int")
-    open_ones = mains.where("parts > 1").select("cluster", "main", rest.alias("rests"))
-    open_ones, _ = written(open_ones, "open")
+    open_ones = scratch.table(mains.where("parts > 1").select("cluster", "main", rest.alias("rests")), "open")
     dealt = state.join(open_ones.hint("merge"), "cluster").withColumn("own", F.when(F.col("known") != F.col("main"), F.pmod(F.xxhash64("set_hash"), F.col("rests")).cast("int")))
     meets = F.expr(
         "case when own is null then transform(sequence(0, rests - 1), r -> struct('main' as kind, block as x, r as y)) "
@@ -340,25 +423,29 @@ def _across_blocks(placed: DataFrame, found: DataFrame, n: int, num: int, den: i
     )
     tasks = dealt.withColumn("meet", F.explode(meets)).select("set_hash", "known", F.xxhash64("cluster", "meet").alias("task"), F.lit(False).alias("home"))
     texts = found.where("text is not null").select(F.col("a").alias("set_hash"), "text")
-    return _joined(texts.join(tasks.hint("merge"), "set_hash"), n, num, den).select("a", "b")
+    return _joined(texts.join(tasks.hint("merge"), "set_hash"), scratch, "across", n, num, den).select("a", "b")
 
 
-def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs(doc_id, text)`` to doc_id, n_shingles, component_id: links are den * overlap >= num * union."""
+def component_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs(doc_id, text)`` to doc_id, text_key (hash of the text), n_shingles, component_id and
+    is_first: whether the row's id and text are those of its component's first row (least id,
+    rows without an id last, then least text_key).  Links are den * overlap >= num * union."""
     spark = docs.sparkSession
+    scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    signed, _ = written(sign(rows, n, bands_for(num / den)), "sets")
+    bands = bands_for(num / den)
+    signed = scratch.table(sign(rows, n, bands), "sets")
+    clusters = connected_components(tied(signed, scratch, num, den, bands), scratch, "clusters")  # node, root
+    scratch.drop("met")
 
-    keys = signed.where("keys is not null").select(F.explode("keys").alias("key"), "set_hash")
-    stars = keys.repartition("key").sortWithinPartitions("key", "set_hash").mapInArrow(_stars, "a long, b long")
-    clusters, _ = written(connected_components(stars), "clusters")  # node, root
-
-    classes = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min(F.struct("doc_id", "text_key")).alias("own"), F.first("n_shingles").alias("n"), F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    classes = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min(place).alias("own"), F.first("n_shingles").alias("n"))
     near = classes.join(clusters, classes["set_hash"] == clusters["node"]).select("set_hash", "n", "own.doc_id", "own.text_key", F.col("root").alias("cluster"))
-    near, _ = written(near, "near")
+    near = scratch.table(near, "near")
+    scratch.drop("clusters")
     sizes = near.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("grams"))
     blocks = sizes.select("cluster", "sets", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    blocks, _ = written(blocks, "blocks")  # with a shuffle of its own Spark may split a hot cluster in the join
+    blocks = scratch.table(blocks, "blocks")  # with a shuffle of its own Spark may split a hot cluster in the join
     placed = near.join(blocks.hint("merge"), "cluster").withColumn("block", F.pmod(F.xxhash64("set_hash"), F.col("blocks")).cast("int"))
     # Pivots together are no larger than about one block.
     pivot = F.pmod(F.xxhash64("set_hash", F.lit("pivot")), F.col("sets")) < F.least(F.lit(PIVOTS), F.ceil(F.col("sets") / F.col("blocks")))
@@ -367,14 +454,51 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int =
         "doc_id", "text_key", "set_hash", F.xxhash64("cluster", "part").alias("task"), F.lit(None).cast("long").alias("known"), ((F.col("blocks") > 1) & (F.col("part") == F.col("block"))).alias("home")
     )
     texts = rows.join(tasks.hint("merge"), rows["doc_id"].eqNullSafe(tasks["doc_id"]) & (rows["text_key"] == tasks["text_key"]))
-    found = _joined(texts, n, num, den)
+    found = _joined(texts, scratch, "links", n, num, den)
     links = found.where("b is not null").select("a", "b")
     if blocks.where("blocks > 1").head(1):
-        roots = connected_components(links.unionByName(_across_blocks(placed, found, n, num, den)))
+        roots = connected_components(links.unionByName(_across_blocks(placed, found, scratch, n, num, den)), scratch, "roots")
     else:  # each cluster was one task, whose links are stars
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
-    named = classes.select("set_hash", "least").join(roots, classes["set_hash"] == roots["node"], "left").select("set_hash", "least", F.coalesce("root", "set_hash").alias("class"))
-    lowest = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    labels = named.join(lowest, "class").select("set_hash", "component_id")
-    return signed.join(labels, "set_hash", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = classes.select("set_hash", "own").join(roots, classes["set_hash"] == roots["node"], "left").select("set_hash", "own", F.coalesce("root", "set_hash").alias("class"))
+    first = named.groupBy("class", apart("class")).agg(F.min("own").alias("first")).select("class", "first")
+    labels = scratch.table(named.join(first, "class").select("set_hash", "first"), "labels")
+    scratch.drop("near", "blocks", "links", "inside", "state", "open", "across", "roots")
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
+    return signed.join(labels.hint("merge"), "set_hash", "left").select(
+        "doc_id", "text_key", "n_shingles", F.when(F.col("first").isNotNull(), F.col("first.doc_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(F.col("first").isNotNull(), same).otherwise(F.lit(True)).alias("is_first")
+    )
+
+
+def jaccard_components(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles and component_id of ``component_rows``."""
+    return component_rows(docs, n=n, num=num, den=den).select("doc_id", "n_shingles", "component_id")
+
+
+def first_of_each(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """All columns of the rows of ``docs`` that stay when of each component one row does: the first
+    by id, rows without an id last, then by text.  Rows without words all stay.  Ids need not be
+    unique: rows of one id with unlike texts are told apart by their text; of several rows with the
+    first id and text the one whose columns come first as JSON stays."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "first")
+    found = scratch.table(component_rows(docs, n=n, num=num, den=den), "rows")
+    several = found.where("is_first and n_shingles > 0").groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    gone = found.where("not is_first").select("doc_id", "text_key").distinct()
+
+    def parts(df: DataFrame) -> DataFrame:
+        return df.select(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("text_key").alias("_text"))
+
+    own, inner = hidden(docs, "doc_id", "text")
+    id_ = own["doc_id"].cast("long")
+    marked = own.withColumns({"_none": id_.isNull(), "_id": F.coalesce(id_, F.lit(0)), "_text": F.xxhash64("text")})
+    on = ["_none", "_id", "_text"]
+    if not several.head(1):  # no row is there twice
+        kept = marked.join(parts(gone).hint("merge"), on, "left_anti")
+    else:
+        once = parts(several)
+        kept = marked.join(parts(gone.unionByName(several)).hint("merge"), on, "left_anti")
+        alike = marked.join(once.hint("merge"), on, "left_semi").groupBy(*on).agg(F.min_by(F.struct(*inner), F.to_json(F.struct(*inner))).alias("_row"))
+        kept = kept.select(*inner).unionByName(alike.select(*(F.col(f"_row.{c}").alias(c) for c in inner)))
+    return shown(kept, inner, docs.columns)
