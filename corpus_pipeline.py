@@ -15,9 +15,9 @@ from trialweave.llm import queries
 from trialweave.llm.decontaminate import remove_contaminated
 from trialweave.llm.fertility import quality_rules
 from trialweave.llm.linededup import dedup_lines
-from trialweave.llm.ngramjoin import jaccard_components
+from trialweave.llm.ngramjoin import first_of_each
 from trialweave.llm.packing import pack_documents
-from trialweave.llm.shared import written
+from trialweave.llm.shared import Scratch
 from trialweave.llm.text import hidden, shown
 
 
@@ -37,15 +37,10 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8): the least id.
-    Documents without an id stay."""
-    found, _ = written(jaccard_components(docs, n=5, num=80, den=100), "components")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_gone"], "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").head(1):
-        alone = kept.where("doc_id is null")
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(alone)
-    return kept
+    """One document of each group of near copies (five words, similarity 0.8): the first by id
+    (without an id: last) and text.  Rows that share an id but not a text are documents of their
+    own; of rows with the same id and text one stays, unless they have no words."""
+    return first_of_each(docs, n=5, num=80, den=100)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,6 +67,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    scratch, last = Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+        if last:
+            scratch.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
