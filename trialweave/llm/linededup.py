@@ -6,10 +6,11 @@ ends before others and then by hash, among ``REACH`` gaps on either side.  So a
 hold three whole pieces.  Blank lines are skipped.  Each window of three consecutive lines
 has a 96-bit hash; of a window that occurs more than once anywhere, the first occurrence
 (least document id, then place) stays and the lines of all later ones are removed,
-overlapping windows together.  A run of removed pieces of fewer than ``LEAST_WORDS`` words
-that is not three whole lines is a turn of phrase and stays.  Grouping is by partial
-aggregates and the way back by a join in which Spark may split hot keys; no group of rows
-is ever gathered.
+overlapping windows together.
+
+Texts are hashed once, into a written table of narrow rows.  Hashes that occur again are found
+by partial aggregates; only their rows are looked at further.  The ways back, to the rows and
+to the texts, are joins in which Spark may split hot keys; no group of rows is ever gathered.
 
 Defined results: null texts stay null, texts of fewer than three lines stay as they are;
 rows that repeat both id and text count as one occurrence and are treated alike; an empty
@@ -26,11 +27,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.shared import Scratch, apart
 from trialweave.llm.text import U64, hidden, mix, slices
 
 LINES = 3
 FOLD_WORDS = 12
-LEAST_WORDS = 20
 #: A piece of a long line has more words than this.
 REACH = 4
 
@@ -102,26 +103,10 @@ def window_hashes(text: str, spans: list[tuple[int, int]]) -> list[int]:
     return [xxhash.xxh3_128_intdigest("\n".join(lines[i : i + LINES]).encode("utf-8", "surrogatepass")) for i in range(len(lines) - LINES + 1)]
 
 
-def _goes(text: str, run: list[tuple[int, int]]) -> bool:
-    """Whether a run of covered pieces is long enough to be a repeated passage."""
-    a, b = run[0][0], run[-1][1]
-    if len(text[a:b].split()) >= LEAST_WORDS:
-        return True
-    return sum((x == 0 or text[x - 1] == "\n") and (y == len(text) or text[y] == "\n") for x, y in run) >= LINES
-
-
 def without(text: str, places: list[int], spans: list[tuple[int, int]] | None = None) -> tuple[str, int, int]:
     """Text without the windows that begin at ``places``; its lines; lines removed."""
     spans = units(text) if spans is None else spans
-    covered = sorted({i for p in places for i in range(p, min(p + LINES, len(spans)))})
-    gone: list[int] = []
-    run: list[int] = []
-    for i in covered + [-1]:
-        if run and i != run[-1] + 1:
-            if _goes(text, [spans[x] for x in run]):
-                gone += run
-            run = []
-        run.append(i)
+    gone = sorted({i for p in places for i in range(p, min(p + LINES, len(spans)))})
     parts, at = [], 0
     for i in gone:
         a, b = spans[i]
@@ -168,11 +153,16 @@ def dedup_lines(docs: DataFrame, *, fold_words: int = FOLD_WORDS) -> DataFrame:
                     ["h1", "h2", "_id", "_key", "place"],
                 )
 
-    windows = keyed.where("_text is not null").mapInArrow(hashes, f"h1 long, h2 int, _id {id_kind}, _key long, place int")
+    scratch = Scratch(docs.sparkSession, "lines")
+    windows = scratch.table(keyed.where("_text is not null").mapInArrow(hashes, f"h1 long, h2 int, _id {id_kind}, _key long, place int"), "windows")
+    again = windows.groupBy("h1", apart("h1")).agg(F.count("*").alias("n")).where("n > 1").select("h1")
+    met = scratch.table(windows.join(again.hint("merge"), "h1"), "met")
+    scratch.drop("windows")
     where = F.struct("_id", "_key", "place")
-    first = windows.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first != last").select("h1", "h2", "first")
-    later = windows.join(first, ["h1", "h2"]).where(where != F.col("first"))
-    places = later.groupBy("_id", "_key").agg(F.collect_set("place").alias("_places"))
+    first = met.groupBy("h1", "h2", apart("h1")).agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first != last").select("h1", "h2", "first")
+    later = met.join(first.hint("merge"), ["h1", "h2"]).where(where != F.col("first"))
+    places = scratch.table(later.groupBy("_id", "_key").agg(F.collect_set("place").alias("_places")), "places")
+    scratch.drop("met")
 
     names = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
