@@ -9,11 +9,12 @@ take their domain's, suffix's or the whole table's posterior.
 
 Counting is by partial aggregates, so one host may hold any share of all rows; the
 tables that are joined back have a row per host, domain or suffix, and Spark may split hot
-hosts in those joins.
+hosts in those joins.  Counts and each level's posterior are written once and read again.
 
-Defined results: a url that is null or has no "://" has empty host and path and takes the
-verdict of the whole table's posterior; equal rows get equal verdicts; without labelled
-outcomes the prior is uniform and nothing is blocked by it; no rows give no rows.
+Defined results: a url that is null or has no "://" has empty host and path, takes the
+verdict of the whole table's posterior, and its outcome counts for no host; equal rows get
+equal verdicts; without labelled outcomes the prior is uniform and nothing is blocked by it;
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.shared import Scratch
+
 #: (host and path, verdict) of the fixed rules.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Suffixes of two labels; all others are the last label.
@@ -74,21 +77,27 @@ def _strength(counts: DataFrame) -> Column:
 def reputation(outcomes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """From ``outcomes(host, good)``: tables of host, domain, suffix and the whole, each
     with its key(s), mean and strength of the posterior."""
-    hosts = with_levels(outcomes.where("good is not null and host is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good")))
+    scratch = Scratch(outcomes.sparkSession, "hosts")
+    counted = outcomes.where("good is not null and host is not null and host <> ''").groupBy("host").agg(F.count("*").alias("n"), F.sum("good").alias("good"))
+    hosts = scratch.table(with_levels(counted), "counts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    top = whole.select(((F.col("good") + 1.0) / (F.col("n") + 2.0)).alias("mean"), (F.col("n") + 2.0).alias("strength"))
+    top = scratch.table(whole.select(((F.col("good") + 1.0) / (F.col("n") + 2.0)).alias("mean"), (F.col("n") + 2.0).alias("strength")), "whole")
 
-    def shrunk(counts: DataFrame, parent: DataFrame, on: str | None) -> DataFrame:
+    def shrunk(counts: DataFrame, parent: DataFrame, on: str | None, name: str) -> DataFrame:
         m = parent.select(*([on] if on else []), F.col("mean").alias("m"))
-        joined = counts.join(m, on) if on else counts.crossJoin(F.broadcast(m))  # a single row
+        joined = scratch.table(counts.join(m, on) if on else counts.crossJoin(F.broadcast(m)), f"{name}-prior")  # a single row
         k = joined.agg(F.coalesce(_strength(joined), F.lit(2.0)).alias("k"))
-        return joined.crossJoin(F.broadcast(k)).withColumns({"mean": (F.col("good") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k")), "strength": F.col("n") + F.col("k")}).drop("n", "good", "m", "k")
-
-    s = shrunk(suffixes, top, None)
-    d = shrunk(domains, s, "suffix").drop("suffix")
-    h = shrunk(hosts.drop("suffix"), d, "domain").drop("domain")
+        posterior = joined.crossJoin(F.broadcast(k)).withColumns({"mean": (F.col("good") + F.col("k") * F.col("m")) / (F.col("n") + F.col("k")), "strength": F.col("n") + F.col("k")})  # a single row
+        out = scratch.table(posterior.drop("n", "good", "m", "k"), name)
+        scratch.drop(f"{name}-prior")
+        return out
+
+    s = shrunk(suffixes, top, None, "suffixes")
+    d = shrunk(domains, s, "suffix", "domains").drop("suffix")
+    h = shrunk(hosts.drop("suffix"), d, "domain", "hosts").drop("domain")
+    scratch.drop("counts")
     return h, d, s, top
 
 

@@ -118,7 +118,7 @@ bare AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS b FROM parts),
 pieces AS (SELECT *, string_split(b, '.') AS l FROM bare),
 two AS (SELECT *, array_to_string(l[-2:], '.') AS t FROM pieces),
 lev AS (SELECT page_id, host, path, CASE WHEN t IN ({_DOUBLE}) THEN t ELSE l[-1] END AS suffix, CASE WHEN t IN ({_DOUBLE}) THEN array_to_string(l[-3:], '.') ELSE t END AS domain FROM two),
-o AS (SELECT v.host, v.domain, v.suffix, l.quality AS good FROM lev v JOIN labels l ON l.doc_id = v.page_id WHERE l.quality IS NOT NULL),
+o AS (SELECT v.host, v.domain, v.suffix, l.quality AS good FROM lev v JOIN labels l ON l.doc_id = v.page_id WHERE l.quality IS NOT NULL AND v.host <> ''),
 hc AS (SELECT host, domain, suffix, CAST(count(*) AS DOUBLE) AS n, CAST(sum(good) AS DOUBLE) AS good FROM o GROUP BY ALL),
 dc AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hc GROUP BY ALL),
 sc AS (SELECT suffix, sum(n) AS n, sum(good) AS good FROM dc GROUP BY ALL),
