@@ -54,12 +54,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight arrivals, compacted; the live shard of every document."""
+    """Eight arrivals, compacted until no tier has a run to merge; the live shard of every document."""
     store = ShardStore(spark, f"{shared_folder(spark)}/trialweave-shards-{uuid.uuid4().hex}")
     docs = _read(spark, sf_dir, "documents")
     store.append_each(docs, F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(8)), F.lit(0)).cast("int"))
-    store.compact()
-    store.compact(final=True)
+    store.settle()
     store.vacuum()
     return store.load().select("doc_id", "n_chars", F.col("_shard").alias("shard"), F.col("_rows").alias("shard_rows"), F.col("_generation").alias("generation"), F.col("_version").alias("version"))
 

@@ -1,30 +1,41 @@
 """Sharding by size-tiered compaction over immutable files and a versioned manifest.
 
 A store is a folder with ``data/`` (Parquet files that are never changed) and
-``manifests/`` (one JSON file per version: the live shards with rows, bytes and
-generation).  Arrivals are appended as small shards.  Compaction groups shards of a similar
-size into tiers and rewrites runs of at least ``fan_in`` of a tier as files of about
-``target_bytes``; shards at target size rest.  A version becomes visible only by the rename
-of its manifest to a name that must not exist yet, so readers see all of a change or nothing
-of it and of two writers one loses and may try again.  Files of an aborted write are never
-named by a manifest; ``vacuum`` removes what no kept version names.
+``manifests/`` (one JSON file per version: the schema, and the live shards with rows, bytes
+and generation).  Arrivals are appended as small shards.  Compaction groups shards of a
+similar size into tiers and rewrites runs of at least ``fan_in`` of a tier as files of about
+``target_bytes``; shards at target size rest.  A version becomes visible only when its whole
+manifest gets a name that nobody had: by a hard link on a local file system, by rename where
+rename never replaces (HDFS), elsewhere by a create that must not replace.  So readers see all
+of a change or nothing of it, and of two writers one loses and may try again.
+
+``vacuum`` removes files that only older versions name, and files that no version ever named
+once they are older than a grace period: until then they may belong to a write that is about
+to be committed.
 
 Only file names and counts are on the driver.  All file access is through Hadoop's file
 system interface, so the store may lie anywhere Spark can write.
 
-Defined results: an empty arrival adds no shard but a version; rows are kept as they are,
-with nulls, repeats and all columns.
+Defined results: an empty arrival (or an empty table of arrivals) adds no shard but a version;
+a store without shards loads as no rows with the columns of the arrivals; rows are kept as they
+are, with nulls, repeats and all columns.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Columns that ``load`` adds.
+LOADED = ("_shard", "_rows", "_bytes", "_generation", "_version")
 
 
 class Conflict(RuntimeError):
@@ -43,6 +54,7 @@ class Shard:
 class Manifest:
     version: int
     shards: tuple[Shard, ...]
+    schema: str = ""  # of the rows, as JSON
 
 
 class ShardStore:
@@ -57,11 +69,14 @@ class ShardStore:
     def _name(self, version: int) -> str:
         return f"{self.root}/manifests/{version:012d}.json"
 
-    def latest(self) -> Manifest:
+    def versions(self) -> list[int]:
         folder = self._path(f"{self.root}/manifests")
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)] if self._fs.exists(folder) else []
-        versions = [int(n[:-5]) for n in names if n.endswith(".json")]
-        return self.read(max(versions)) if versions else Manifest(0, ())
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("."))
+
+    def latest(self) -> Manifest:
+        versions = self.versions()
+        return self.read(versions[-1]) if versions else Manifest(0, ())
 
     def read(self, version: int) -> Manifest:
         stream = self._fs.open(self._path(self._name(version)))
@@ -70,21 +85,44 @@ class ShardStore:
         finally:
             stream.close()
         found = json.loads(text)
-        return Manifest(found["version"], tuple(Shard(**s) for s in found["shards"]))
+        return Manifest(found["version"], tuple(Shard(**s) for s in found["shards"]), found["schema"])
 
-    def commit(self, base: Manifest, shards: tuple[Shard, ...]) -> Manifest:
-        """Makes ``shards`` the version after ``base``, or raises Conflict."""
-        new = Manifest(base.version + 1, shards)
-        draft = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
-        out = self._fs.create(draft, True)
+    def _create(self, path: str, body: bytes) -> None:
+        out = self._fs.create(self._path(path), False)
         try:
-            out.write(bytearray(json.dumps({"version": new.version, "shards": [asdict(s) for s in shards]}).encode()))
+            out.write(bytearray(body))
         finally:
             out.close()
-        final = self._path(self._name(new.version))
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise Conflict(f"version {new.version} exists")
+
+    def _publish(self, name: str, body: bytes) -> None:
+        """A whole file under a name that must be new, or Py4JJavaError or FileExistsError."""
+        draft = f"{self.root}/manifests/.{uuid.uuid4().hex}"
+        folder = self._path(f"{self.root}/manifests")
+        self._fs.mkdirs(folder)
+        place = self._fs.resolvePath(folder).toUri()
+        if place.getScheme() not in ("file", "hdfs"):
+            self._create(name, body)
+            return
+        self._create(draft, body)
+        try:
+            if place.getScheme() == "file":
+                at = lambda p: self.spark._jvm.java.io.File(place.getPath(), p.rpartition("/")[2]).toPath()
+                self.spark._jvm.java.nio.file.Files.createLink(at(name), at(draft))
+            elif not self._fs.rename(self._path(draft), self._path(name)):
+                raise FileExistsError(name)
+        finally:
+            self._fs.delete(self._path(draft), False)
+
+    def commit(self, base: Manifest, shards: tuple[Shard, ...], schema: str = "") -> Manifest:
+        """Makes ``shards`` the version after ``base``, or raises Conflict."""
+        new = Manifest(base.version + 1, shards, schema or base.schema)
+        body = json.dumps({"version": new.version, "schema": new.schema, "shards": [asdict(s) for s in shards]}).encode()
+        try:
+            self._publish(self._name(new.version), body)
+        except (FileExistsError, Py4JJavaError) as e:
+            if not self._fs.exists(self._path(self._name(new.version))):
+                raise
+            raise Conflict(f"version {new.version} exists") from e
         return new
 
     # -- writing
@@ -117,17 +155,18 @@ class ShardStore:
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
         base = self.latest()
-        return self.commit(base, base.shards + tuple(s for x in self._written(folder, 0).values() for s in x))
+        return self.commit(base, base.shards + tuple(s for x in self._written(folder, 0).values() for s in x), df.schema.json())
 
     def append_each(self, df: DataFrame, arrival: Column) -> list[Manifest]:
         """Several arrivals in one pass over ``df``: a version for each value of ``arrival`` in order."""
         folder = f"data/{uuid.uuid4().hex}"
-        df.withColumn("_arrival", arrival).write.partitionBy("_arrival").parquet(f"{self.root}/{folder}")
-        out = []
+        number = next(f"_arrival{i}" for i in range(len(df.columns) + 1) if f"_arrival{i}" not in {c.lower() for c in df.columns})
+        df.withColumn(number, arrival).write.partitionBy(number).parquet(f"{self.root}/{folder}")
         found = self._written(folder, 0)
-        for name in sorted(found, key=lambda x: (len(x), x)):
+        out = []
+        for shards in [found[name] for name in sorted(found, key=lambda x: (len(x), x))] or [[]]:
             base = self.latest()
-            out.append(self.commit(base, base.shards + tuple(found[name])))
+            out.append(self.commit(base, base.shards + tuple(shards), df.schema.json()))
         return out
 
     # -- compaction
@@ -144,21 +183,17 @@ class ShardStore:
                 tiers.setdefault(t, []).append(s)
         return [sorted(x, key=lambda s: s.path) for t, x in sorted(tiers.items(), reverse=True) if len(x) >= self.fan_in]
 
-    def compact(self, *, final: bool = False) -> Manifest:
-        """Merges all runs of the latest version in one commit; ``final`` also merges what is
-        left under half the target, whatever the tier."""
+    def compact(self) -> Manifest:
+        """Merges all runs of the latest version in one commit."""
         base = self.latest()
         runs = self.runs(base.shards)
-        if final:
-            small = [s for s in base.shards if self.tier(s) > 0]
-            runs = [sorted(small, key=lambda s: s.path)] if len(small) > 1 else []
         gone, new = set(), []
         for run in runs:
             files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
             if files >= len(run):
                 continue
             folder = f"data/{uuid.uuid4().hex}"
-            self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in run)).coalesce(files).write.parquet(f"{self.root}/{folder}")
+            self._rows(base, run).coalesce(files).write.parquet(f"{self.root}/{folder}")
             made = [s for x in self._written(folder, max(s.generation for s in run) + 1).values() for s in x]
             if sum(s.rows for s in made) != sum(s.rows for s in run):
                 raise RuntimeError("a merge changed the number of rows")
@@ -168,28 +203,50 @@ class ShardStore:
             return base
         return self.commit(base, tuple(s for s in base.shards if s not in gone) + tuple(new))
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Removes files that none of the last ``keep`` versions names, and older manifests."""
-        latest = self.latest().version
-        named = {s.path for v in range(max(1, latest - keep + 1), latest + 1) for s in self.read(v).shards}
-        files = self._fs.listFiles(self._path(f"{self.root}/data"), True)
-        old = []
-        while files.hasNext():
-            name = files.next().getPath().toString()
-            if name[name.rindex("/data/") + 1 :] not in named:
-                old.append(name)
-        for name in old:
+    def settle(self) -> Manifest:
+        """Compacts until no tier has a run worth merging: what a merge makes may fill the next tier."""
+        now = self.latest()
+        while (new := self.compact()).version != now.version:
+            now = new
+        return now
+
+    def vacuum(self, keep: int = 1, *, grace_s: float = 86_400.0) -> None:
+        """Removes files that only versions before the last ``keep`` name, those manifests, and files
+        over ``grace_s`` seconds old that no version names."""
+        versions = self.versions()
+        old, kept = versions[:-keep], versions[-keep:]
+        named = {s.path for v in kept for s in self.read(v).shards}
+        past = {s.path for v in old for s in self.read(v).shards} - named
+        limit = (time.time() - grace_s) * 1000
+        folder = self._path(f"{self.root}/data")
+        files = self._fs.listFiles(folder, True) if self._fs.exists(folder) else None
+        gone = []
+        while files is not None and files.hasNext():
+            status = files.next()
+            name = status.getPath().toString()
+            path = name[name.rindex("/data/") + 1 :]
+            if path in past or path not in named and status.getModificationTime() < limit:
+                gone.append(name)
+        for name in gone:
             self._fs.delete(self._path(name), False)
-        for v in range(1, latest - keep + 1):
+        for v in old:
             self._fs.delete(self._path(self._name(v)), False)
 
     # -- reading
 
+    def _rows(self, manifest: Manifest, shards: tuple[Shard, ...] | list[Shard]) -> DataFrame:
+        schema = StructType.fromJson(json.loads(manifest.schema))
+        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in shards))
+
     def load(self, manifest: Manifest | None = None) -> DataFrame:
-        """Rows of a version, with the columns ``_shard``, ``_generation`` and ``_version``."""
+        """Rows of a version, with the columns ``LOADED``; columns of the rows that are called so stay in
+        the files but are left out here."""
         m = manifest or self.latest()
-        if not m.shards:
-            raise ValueError("the store is empty")
-        df = self.spark.read.parquet(*(f"{self.root}/{s.path}" for s in m.shards)).withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "/(data/[^?]*)$", 1))
+        if not m.schema:
+            raise ValueError("the store has no version yet")
         table = self.spark.createDataFrame([(s.path, s.rows, s.bytes, s.generation) for s in m.shards], "_shard string, _rows long, _bytes long, _generation int")
+        if m.shards:
+            df = self._rows(m, m.shards).drop(*LOADED).withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "/(data/[^?]*)$", 1))
+        else:
+            df = self.spark.createDataFrame([], StructType.fromJson(json.loads(m.schema))).drop(*LOADED).withColumn("_shard", F.lit(""))
         return df.join(table, "_shard").withColumn("_version", F.lit(m.version))
