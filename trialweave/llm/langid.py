@@ -2,8 +2,8 @@
 
 Subwords are the 3- and 4-byte grams of lower-cased words with their borders.  A text's
 vector is the mean of its subwords' embeddings; a linear softmax gives the languages.
-Training is plain stochastic gradient descent in numpy over a bounded, hash-chosen sample
-of labelled texts; a part of the sample is kept out to fit a temperature, so that scores
+Training is plain stochastic gradient descent in numpy, in one task, over a bounded,
+hash-chosen sample of labelled texts; a part of the sample is kept out to fit a temperature, so that scores
 are calibrated, and the score under which a prediction is rejected.
 
 Scoring multiplies embeddings and softmax once into a table of logits per subword; a text
@@ -25,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.grams import Grams
-from trialweave.llm.text import bounded_sample, slices
+from trialweave.llm.text import slices
+from trialweave.llm.training import bounded_sample, fitted
 
-#: Most labelled texts used for training.
+#: Most labelled texts used for training (and ``training.TRAIN_BYTES`` of text).
 TRAIN_BOUND = 6_000
 BITS, DIM, EPOCHS, LEAST_STEPS = 16, 16, 4, 6_000
 _TABLE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
@@ -101,11 +102,15 @@ def fit(texts: list[str], languages: list[str], *, dim: int = DIM, epochs: int =
     return LanguageModel(names, (logits / temperature).astype(np.float32), bias / temperature, float(np.quantile(top, 0.01)))
 
 
+def _fit_lettered(texts: list[str], languages: list[str]) -> LanguageModel | None:
+    rows = [(t, x) for t, x in zip(texts, languages, strict=True) if has_letter(t)]
+    return fit([t for t, _ in rows], [x for _, x in rows]) if rows else None
+
+
 def fit_on(docs: DataFrame, *, bound: int = TRAIN_BOUND) -> LanguageModel | None:
     """Model from ``docs(doc_id, text, lang)``, rows with both text and lang."""
-    rows = bounded_sample(docs.where("text is not null and lang is not null").select("doc_id", "text", "lang"), "doc_id", bound).collect()
-    rows = sorted((r for r in rows if has_letter(r["text"])), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    rows = docs.where("text is not null and lang is not null").select("doc_id", F.col("lang").alias("label"), "text")
+    return fitted(bounded_sample(rows, "doc_id", bound), _fit_lettered, bound=bound)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:

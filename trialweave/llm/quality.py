@@ -3,7 +3,7 @@
 One weight vector over hashed text features is shared by all grades; ordered thresholds
 cut its score: P(grade <= j) = logistic(theta_j - w.x).  Features are byte trigrams, n-grams
 of the text's shape (letters by case, digits, punctuation as it is) and immediate word
-repeats.  Fitted in numpy by AdaGrad over a bounded, hash-chosen sample of rated texts.
+repeats.  Fitted in numpy by AdaGrad over a bounded, hash-chosen sample of rated texts, in one task.
 
 Defined results: a null or empty text has the score of an empty vector; equal rows get
 equal results; without ratings the grade is null and nothing is selected against; an empty
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.grams import Grams
-from trialweave.llm.text import bounded_sample, byte_table, encoded, slices
+from trialweave.llm.text import byte_table, encoded, slices
+from trialweave.llm.training import fitted, labelled
 
-#: Most rated texts used for training.
+#: Most rated texts used for training (and ``training.TRAIN_BYTES`` of text).
 TRAIN_BOUND = 8_000
 BITS, EPOCHS = 14, 6
 _SPACE = byte_table("space")
@@ -106,10 +108,8 @@ def fit(texts: list[str], grades: list[int], n_grades: int, *, epochs: int = EPO
 
 def fit_on(docs: DataFrame, ratings: DataFrame, n_grades: int, *, bound: int = TRAIN_BOUND) -> OrdinalModel | None:
     """Model from ``docs(doc_id, text)`` and ``ratings(doc_id, grade)``."""
-    some = bounded_sample(ratings.where("doc_id is not null and grade is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade")), "doc_id", bound)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").collect()  # ids of a bounded sample
-    rows.sort(key=lambda r: (r["doc_id"], r["grade"], r["text"]))
-    return fit([r["text"] for r in rows], [r["grade"] for r in rows], n_grades) if rows else None
+    some = ratings.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("label"))
+    return fitted(labelled(docs, some, bound), partial(fit, n_grades=n_grades), bound=bound)
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None, *, tail_from: int = 1, least_tail: float = 0.5) -> DataFrame:

@@ -7,7 +7,8 @@ and kept, so a word costs a few table lookups and most words leave after three l
 
 Each hit weighs by its term and edits and by its context: between quotation marks or after
 a word of reporting it counts less.  Sums over the text and over sliding windows of words
-go into a logistic regression that gives the score.
+go into a logistic regression that gives the score.  The model is fitted in one task on a
+bounded, hash-chosen sample.
 
 Defined results: null and empty texts score as texts without hits; equal rows get equal
 scores; without both labels in the training rows the score is 0 for all; an empty table
@@ -27,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.text import bounded_sample, slices
+from trialweave.llm.text import slices
+from trialweave.llm.training import fitted, labelled
 
-#: Most labelled texts used for training.
+#: Most labelled texts used for training (and ``training.TRAIN_BYTES`` of text).
 TRAIN_BOUND = 8_000
 TOKEN = re.compile(r"[^\W_]+(?:[*@$!|+'’][^\W_]+)*")
 #: Digits and signs that stand for letters inside a word.
@@ -323,10 +325,8 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel | None:
 
 def fit_on(docs: DataFrame, labels: DataFrame, *, bound: int = TRAIN_BOUND) -> ToxicityModel | None:
     """Model from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``."""
-    some = bounded_sample(labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")), "doc_id", bound)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").collect()  # ids of a bounded sample
-    rows.sort(key=lambda r: (r["doc_id"], r["toxic"], r["text"]))
-    return fit([r["text"] for r in rows], [int(r["toxic"] > 0) for r in rows])
+    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("label"))
+    return fitted(labelled(docs, some, bound), fit, bound=bound)
 
 
 def score(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
