@@ -86,11 +86,3 @@ def scales_from_positions(distribution, positions: np.ndarray, mean_duration: fl
     """Stage scales from mean event positions; the last stage ends at the mean duration less one."""
     at = np.concatenate([positions, [mean_duration - 1.0]])
     return np.asarray(distribution.mean_to_scale(np.diff(at, prepend=0.0)))
-
-
-def padded(cc: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    durations = np.array([len(x) for x in cc])
-    out = np.zeros((len(cc), durations.max(), cc[0].shape[1]))
-    for i, x in enumerate(cc):
-        out[i, : len(x)] = x
-    return out, durations

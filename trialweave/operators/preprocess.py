@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from trialweave.operators import reduction, signal
-from trialweave.schema import TRIAL
+from trialweave.schema import TRIAL, by_trial
 
 
 class ZScore(Enum):
@@ -116,10 +116,14 @@ def unstacked(samples: DataFrame, channels: list[str]) -> DataFrame:
 def gathered(samples: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """One row per trial: duration and x, an array over samples of arrays over channels (by name).
 
-    Order inside a trial comes from sorting, never from arrival."""
-    per_sample = samples.groupBy(*TRIAL, *(extra or []), "sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "value"))), lambda s: s["value"]).alias("x"))
-    rows = per_sample.groupBy(*TRIAL, *(extra or [])).agg(F.array_sort(F.collect_list(F.struct("sample", "x"))).alias("_rows"))
-    return rows.select(*TRIAL, *(extra or []), F.size("_rows").alias("duration"), F.transform("_rows", lambda r: r["x"]).alias("x"))
+    Order inside a trial comes from sorting, never from arrival.  Every sample of a trial must have all
+    its channels."""
+    keys = [*TRIAL, *(extra or [])]
+    rows = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", "channel", "value"))).alias("_rows"))
+    rows = rows.withColumn("duration", F.size(F.array_distinct(F.transform("_rows", lambda r: r["sample"]))))
+    width = (F.size("_rows") / F.col("duration")).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.col("duration") - 1), lambda i: F.transform(F.slice("_rows", i * width + 1, width), lambda r: r["value"]))
+    return rows.select(*keys, "duration", F.when(width * F.col("duration") == F.size("_rows"), cut).otherwise(F.raise_error(F.lit("a sample of a trial lacks a channel"))).alias("x"))
 
 
 def cross_correlate(samples: DataFrame, template: tuple[float, ...] | list[float]) -> DataFrame:
@@ -159,6 +163,7 @@ def preprocess(
     missing = empty_channels(samples).take(1)
     if missing:
         raise ValueError(f"channel {missing[0]['channel']} of participant {missing[0]['participant']} has no values")
+    samples = by_trial(samples)
     if bandfilter is not None:
         if sfreq is None:
             raise ValueError("a filter needs sfreq")

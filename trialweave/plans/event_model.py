@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructType
@@ -142,35 +142,53 @@ class Params:
         return kernels.GroupParams(self.magnitudes[g][events], self.scales[g][stages], tuple(events.tolist()), tuple(stages.tolist()))
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame, np.ndarray, np.ndarray]]:
-    for b in batches:
-        for g, part in b.groupby("grp", sort=True):
-            part = part.sort_values("duration")  # trials of a length stand together: little padding
-            for i in range(0, len(part), BLOCK):
-                rows = part.iloc[i : i + BLOCK]
-                cc, durations = kernels.padded([np.stack([np.asarray(s, float) for s in x]) for x in rows["cc"]])
-                yield int(g), rows, cc, durations
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(group, rows of the batch, padded cc, durations) of blocks of trials of a group; trials of a length
+    stand together, so there is little padding."""
+    cc = batch.column("cc")
+    ends = cc.offsets.to_numpy()
+    inner = cc.values[ends[0] : ends[-1]] if len(ends) else cc.values
+    widths = np.diff(inner.offsets.to_numpy())
+    if len(widths) and (widths != widths[0]).any():
+        raise ValueError("trials differ in their number of components")
+    flat = inner.flatten().to_numpy(zero_copy_only=False)
+    ends = ends - ends[0]
+    samples = flat.reshape(len(inner), widths[0] if len(widths) else 0)
+    durations = np.diff(ends).astype(np.int64)
+    groups = batch.column("grp").to_numpy(zero_copy_only=False)
+    for g in np.unique(groups):
+        own = np.flatnonzero(groups == g)
+        own = own[np.argsort(durations[own], kind="stable")]
+        for i in range(0, len(own), BLOCK):
+            rows = own[i : i + BLOCK]
+            length = durations[rows]
+            inside = np.arange(length[-1])[None, :] < length[:, None]
+            out = np.zeros((*inside.shape, samples.shape[1]))
+            out[inside] = samples[(ends[rows][:, None] + np.arange(length[-1])[None, :])[inside]]
+            yield int(g), rows, out, length
 
 
 def e_step_sums(frame: DataFrame, candidates: list[Params], distribution: Distribution, longest: dict[int, int], location: int) -> dict[tuple[int, int], dict]:
     """For every candidate and group: n, sum of log-likelihoods, magnitudes, positions, durations."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pmfs = {}
         out: dict[tuple[int, int], np.ndarray] = {}
-        for g, _, cc, durations in _blocks(batches):
-            for k, params in enumerate(candidates):
-                p = params.of(g)
-                if (k, g) not in pmfs:
-                    pmfs[k, g] = kernels.stage_pmfs(distribution, p.scales, longest[g], location)
-                probs, loglik = kernels.forward_backward(cc, durations, p.magnitudes, pmfs[k, g])
-                b, pos, total = kernels.m_step_sums(probs, cc, durations)
-                v = np.concatenate([[len(durations), loglik.sum(), total], pos, b.ravel()])
-                out[k, g] = out.get((k, g), 0) + v
+        for batch in batches:
+            for g, _, cc, durations in _blocks(batch):
+                for k, params in enumerate(candidates):
+                    p = params.of(g)
+                    if (k, g) not in pmfs:
+                        pmfs[k, g] = kernels.stage_pmfs(distribution, p.scales, longest[g], location)
+                    probs, loglik = kernels.forward_backward(cc, durations, p.magnitudes, pmfs[k, g])
+                    b, pos, total = kernels.m_step_sums(probs, cc, durations)
+                    v = np.concatenate([[len(durations), loglik.sum(), total], pos, b.ravel()])
+                    out[k, g] = out.get((k, g), 0) + v
         for (k, g), v in out.items():
-            yield pd.DataFrame({"k": k, "g": g, "i": np.arange(len(v)), "v": v})
+            n = len(v)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, k, np.int32)), pa.array(np.full(n, g, np.int32)), pa.array(np.arange(n, dtype=np.int32)), pa.array(v)], ["k", "g", "i", "v"])
 
-    rows = frame.select("grp", "duration", "cc").mapInPandas(run, "k int, g int, i int, v double").groupBy("k", "g", "i").agg(F.sum("v").alias("v")).collect()
+    rows = frame.select("grp", "cc").mapInArrow(run, "k int, g int, i int, v double").groupBy("k", "g", "i").agg(F.sum("v").alias("v")).collect()
     found: dict[tuple[int, int], dict[int, float]] = {}
     for r in rows:
         found.setdefault((r["k"], r["g"]), {})[r["i"]] = r["v"]
@@ -187,38 +205,40 @@ def probabilities(frame: DataFrame, params: Params, distribution: Distribution,
     keep = [c for c in frame.columns if c != "cc"]
     schema = StructType([frame.schema[c] for c in keep]).add("events", ArrayType(IntegerType())).add("probs", ArrayType(ArrayType(DoubleType()))).add("loglik", DoubleType())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pmfs = {}
-        for g, rows, cc, durations in _blocks(batches):
-            p = params.of(g)
-            if g not in pmfs:
-                pmfs[g] = kernels.stage_pmfs(distribution, p.scales, longest[g], location)
-            probs, loglik = kernels.forward_backward(cc, durations, p.magnitudes, pmfs[g])
-            out = rows[keep].copy()
-            out["events"] = [list(p.events)] * len(rows)
-            out["probs"] = [[probs[i, : durations[i], e].tolist() for e in range(probs.shape[2])] for i in range(len(rows))]
-            out["loglik"] = [float(x) if np.isfinite(x) else None for x in loglik]
-            yield out
+        for batch in batches:
+            for g, rows, cc, durations in _blocks(batch):
+                p = params.of(g)
+                if g not in pmfs:
+                    pmfs[g] = kernels.stage_pmfs(distribution, p.scales, longest[g], location)
+                probs, loglik = kernels.forward_backward(cc, durations, p.magnitudes, pmfs[g])
+                n, _, e = probs.shape
+                flat = np.moveaxis(probs, 2, 1)[np.broadcast_to(np.arange(probs.shape[1]) < durations[:, None, None], (n, e, probs.shape[1]))]
+                inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.repeat(durations, e))), pa.int32()), pa.array(flat))
+                outer = pa.array(np.arange(n + 1) * e, pa.int32())
+                events = pa.ListArray.from_arrays(outer, pa.array(np.tile(np.array(p.events, np.int32), n), pa.int32()))
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in keep), events, pa.ListArray.from_arrays(outer, inner), pa.array(loglik, mask=~np.isfinite(loglik))], [*keep, "events", "probs", "loglik"])
 
-    return frame.mapInPandas(run, schema)
+    return frame.mapInArrow(run, schema)
 
 
 def gains(frame: DataFrame, magnitudes: np.ndarray) -> DataFrame:
     """participant, epoch, sample, event, gain: the factor by which an event at a sample raises the likelihood."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for i in range(0, len(b), BLOCK):
-                rows = b.iloc[i : i + BLOCK]
-                cc, durations = kernels.padded([np.stack([np.asarray(s, float) for s in x]) for x in rows["cc"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, cc, durations in _blocks(batch):
                 gain = np.exp(kernels.log_gains(cc, magnitudes))
                 trial, sample, event = (x.ravel() for x in np.indices(gain.shape))
                 real = sample < durations[trial]
                 trial, sample, event = trial[real], sample[real], event[real]
-                yield pd.DataFrame({**{c: rows[c].to_numpy()[trial] for c in TRIAL}, "sample": sample.astype("int32"), "event": event.astype("int32"), "gain": gain[trial, sample, event]})
+                at = pa.array(rows[trial])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in TRIAL), pa.array(sample, pa.int32()), pa.array(event, pa.int32()), pa.array(gain[trial, sample, event])], [*TRIAL, "sample", "event", "gain"])
 
     kinds = dict(frame.dtypes)
-    return frame.select(*TRIAL, "cc").mapInPandas(run, f"participant {kinds['participant']}, epoch {kinds['epoch']}, sample int, event int, gain double")
+    return frame.select(*TRIAL, F.lit(0).alias("grp"), "cc").mapInArrow(run, f"participant {kinds['participant']}, epoch {kinds['epoch']}, sample int, event int, gain double")
 
 
 def exploded(probs: DataFrame) -> DataFrame:

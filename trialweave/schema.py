@@ -12,9 +12,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+
 TRIAL = ["participant", "epoch"]
 
 
+def by_trial(samples: DataFrame) -> DataFrame:
+    """The rows of a trial stand together: all that follows per trial (windows over its channels, sums
+    over its samples, gathering) needs no shuffle of its own."""
+    return samples.repartition(*TRIAL)
+
+
 @dataclass(frozen=True)
 class SignalMeta:
     """Facts about a recording that are not rows."""
