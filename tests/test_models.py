@@ -163,6 +163,42 @@ def test_topographies_are_told_apart(spark, recording):
     assert scales.count() == 4 and values.count() == 18
 
 
+def test_simulated_stages_and_proportions(spark):
+    from trialweave.functions.distributions import FAMILIES
+
+    shapes = {"gamma": 2.0, "lognorm": 0.5, "wald": 1.5, "weibull": 2.0}
+    sources = [simulate.Source(n, mean_ms=400.0, distribution=FAMILIES[n](k), proportion=0.5 if n == "wald" else 1.0) for n, k in shapes.items()] + [simulate.Source("response", mean_ms=50.0)]
+    samples, times = simulate.simulate(spark, sources, 600, channels=2, seed=4)
+    rows = times.toPandas().pivot(index="epoch", columns="event", values="time")
+    assert 240 < rows[2].isna().sum() < 360 and not rows[[0, 1, 3, 4]].isna().any().any()
+    whole = rows.dropna()
+    stages = whole[[0, 1, 2, 3]].diff(axis=1)
+    stages[0] = whole[0]
+    assert np.allclose(stages.mean(), 40, rtol=0.15)  # samples of 10 ms
+    assert (rows[rows[2].isna()][3] > rows[rows[2].isna()][1]).all()
+    triggers = simulate.trigger_table(times, 2_000)
+    assert triggers.where("code = 4").count() == len(whole) and triggers.where("code = 1").count() == 600
+    assert {r["since"] for r in simulate.trigger_intervals(triggers).where("code = 1 and number > 0").collect()} != {0}
+
+
+def test_streaming_scorer_reports_a_trial_that_is_too_long(spark, tmp_path, model, monkeypatch):
+    from trialweave.streaming import scorer
+
+    monkeypatch.setattr(scorer, "MOST_SAMPLES", 50)
+    schema = "participant string, epoch long, ts timestamp, sample int, x array<double>, response boolean"
+    each = spark.range(80).select(F.lit("p").alias("participant"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("epoch"), F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("id") * 10).alias("ts"), F.col("id").cast("int").alias("sample"), F.array(*(F.sin(F.col("id") / (k + 2)) for k in range(3))).alias("x"), F.lit(False).alias("response"))
+    each = each.where("epoch = 0 or sample < 40").withColumn("response", (F.col("epoch") == 1) & (F.col("sample") == 39) | (F.col("sample") == 79))
+    each.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = scorer.score_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), model, longest=100).writeStream.outputMode("append").format("memory").queryName("long_trials").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.sql("select * from long_trials").collect()
+    assert [(r["event"], r["loglik"], r["error"]) for r in got if r["epoch"] == 0] == [(None, None, "more than 50 samples")]
+    assert sorted(r["event"] for r in got if r["epoch"] == 1) == [0, 1, 2] and all(r["error"] is None for r in got if r["epoch"] == 1)
+
+
 def test_streaming_scorer(spark, tmp_path, data, model, recording):
     from trialweave.streaming.scorer import OUT, score_stream
 

@@ -24,6 +24,10 @@ class Distribution:
     def mean_to_scale(self, mean):
         raise NotImplementedError
 
+    def draw(self, rng: np.random.Generator, mean: float) -> float:
+        """A random duration of this mean."""
+        raise NotImplementedError
+
     def pmf(self, scale: float, length: int) -> np.ndarray:
         """Density at 0 .. length - 1 over its sum."""
         p = np.nan_to_num(self.density(np.arange(length, dtype=float), scale), nan=0.0, posinf=0.0)
@@ -42,6 +46,9 @@ class Gamma(Distribution):
     def density(self, t, scale):
         return t ** (self.shape - 1) * np.exp(-t / scale)
 
+    def draw(self, rng, mean):
+        return rng.gamma(self.shape, self.mean_to_scale(mean))
+
     def scale_to_mean(self, scale):
         return scale * self.shape
 
@@ -60,6 +67,9 @@ class Lognorm(Distribution):
         with np.errstate(divide="ignore", invalid="ignore"):
             return np.where(t > 0, np.exp(-(np.log(t / scale) ** 2) / (2 * self.shape**2)) / t, 0.0)
 
+    def draw(self, rng, mean):
+        return rng.lognormal(np.log(self.mean_to_scale(mean)), self.shape)
+
     def scale_to_mean(self, scale):
         return np.exp(scale + self.shape**2 / 2)
 
@@ -76,6 +86,9 @@ class Wald(Distribution):
             y = t / scale
             return np.where(t > 0, y**-1.5 * np.exp(-((y - self.shape) ** 2) / (2 * y * self.shape**2)), 0.0)
 
+    def draw(self, rng, mean):
+        return rng.wald(mean, self.mean_to_scale(mean))
+
     def scale_to_mean(self, scale):
         return scale * self.shape
 
@@ -94,6 +107,9 @@ class Weibull(Distribution):
     def density(self, t, scale):
         return (t / scale) ** (self.shape - 1) * np.exp(-((t / scale) ** self.shape))
 
+    def draw(self, rng, mean):
+        return self.mean_to_scale(mean) * rng.weibull(self.shape)
+
     def scale_to_mean(self, scale):
         return scale * math.gamma(1 + 1 / self.shape)
 

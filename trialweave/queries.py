@@ -22,7 +22,7 @@ from trialweave.operators import epoching, preprocess, reduction, results, signa
 from trialweave.plans import crossval, event_model, simulate
 from trialweave.plans.event_model import EventModel, Grouping, Params, TrialData
 from trialweave.plans.search import CumulativeMethod, EliminativeMethod
-from trialweave.schema import TRIAL
+from trialweave.schema import TRIAL, by_trial
 from trialweave.sources import adapters, readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,7 +141,7 @@ def l4(spark: SparkSession, sf: str) -> DataFrame:
 
 def data1(spark: SparkSession, sf: str, keep: bool = False, metadata: bool = False) -> TrialData:
     meta = e1(spark, sf).select(*TRIAL, "condition").distinct() if metadata else None
-    return TrialData.from_samples(preprocess.zscore(l1(spark, sf), "trial"), PATTERN, meta, keep=keep)
+    return TrialData.from_samples(preprocess.zscore(by_trial(l1(spark, sf)), "trial"), PATTERN, meta, keep=keep)
 
 
 def probs1(spark: SparkSession, sf: str, location: bool = False) -> DataFrame:
@@ -775,6 +775,20 @@ def given(spark, sf) -> DataFrame:
     return g.select(*TRIAL, F.lit(0).alias("grp"), F.posexplode(F.array(F.least("a", "b").cast("double"), F.greatest("a", "b").cast("double"))).alias("event", "time"))
 
 
+_MARKS = f"""WITH {E1}, {_GIVEN}, t AS (SELECT DISTINCT participant, epoch * 200 + 50 AS sample, 1 AS code FROM gt UNION ALL SELECT participant, CAST(epoch * 200 + 50 + time AS BIGINT), event + 2 FROM gt),
+m AS (SELECT participant, CAST(row_number() OVER w - 1 AS INTEGER) AS number, sample, CAST(0 AS INTEGER) AS prev, CAST(code AS INTEGER) AS code, sample - coalesce(lag(sample) OVER w, 0) AS since FROM t WINDOW w AS (PARTITION BY participant ORDER BY sample, code))"""
+
+
+@query(f"{_MARKS} SELECT participant, number, sample, prev, code FROM m")
+def trigger_table(spark, sf):
+    return simulate.trigger_table(given(spark, sf), 200, 50)
+
+
+@query(f"{_MARKS} SELECT participant, number, since FROM m")
+def trigger_intervals(spark, sf):
+    return simulate.trigger_intervals(simulate.trigger_table(given(spark, sf), 200, 50)).select("participant", "number", "since")
+
+
 @query(f"WITH {L1}, {_GIVEN} SELECT participant, epoch, CAST(event AS INTEGER) AS event, channel, round(value, 6) + 0.0 AS value FROM gt JOIN l1 USING (participant, epoch) WHERE sample = time")
 def event_channels(spark, sf):
     return results.event_channels(l1(spark, sf), given(spark, sf)).select(*TRIAL, "event", "channel", r6("value").alias("value"))
