@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame
 
 from trialweave.llm.text import byte_table, encoded, slices
 
-#: Distinct words whose ids a worker keeps; beyond it the table starts anew.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a table of a worker holds.  A worker has two tables: when the newer one is
+#: full the older one goes, so words that come often stay known.
+CACHE_WORDS = 600_000
 _SPACE = byte_table("space", lower=False)
 _LOWER = byte_table("space")
 #: Lower-case Latin letters (one code point each, lower case of themselves), then ASCII punctuation.
@@ -56,6 +57,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.table: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}  # runs of letters, runs of punctuation
         size = self.tokenizer.get_vocab_size()
         self.last = np.fromiter(((self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)), bool, size)
@@ -103,17 +105,30 @@ class WordTokenizer:
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.table) > CACHE_WORDS:
-            self.table.clear()
-        get = self.table.get
+            self.table, self.older = {}, self.table
+        table, older = self.table, self.older
         split = [t.translate(_SPACE if b"<|" in t or b"\xcc" in t or b"\xcd" in t else _LOWER).split() for t in texts]
-        found = [list(map(get, words)) for words in split]
-        new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-        if new:
-            self._learn(list(new))
-            found = [list(map(get, words)) if None in ids else ids for words, ids in zip(split, found, strict=True)]
+        found = [list(map(table.get, words)) for words in split]
+        holes = [(ids, words, [i for i, x in enumerate(ids) if x is None]) for words, ids in zip(split, found, strict=True) if None in ids]
+        new = {words[i] for _, words, at in holes for i in at}
+        table.update((w, older[w]) for w in new if w in older)
+        self._learn([w for w in new if w not in table])
+        for ids, words, at in holes:
+            for i in at:
+                ids[i] = table[words[i]]
         return list(map(b"".join, found))
 
 
+_tokenizers: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The worker's own one: its tables serve all tasks that the worker runs."""
+    if path not in _tokenizers:
+        _tokenizers[path] = WordTokenizer(path)
+    return _tokenizers[path]
+
+
 def difference(sizes: list[int], k: int) -> tuple[int, list[list[int]]]:
     """Multiway differencing of ``sizes`` over k bins: largest load, and the items of each bin.
 
@@ -194,7 +209,7 @@ def pack_documents(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(vocabulary)
+        words = tokenizer_of(vocabulary)
         task = TaskContext.get()
         sequence = (task.partitionId() if task else 0) << 36
         rows: list[tuple] = []
