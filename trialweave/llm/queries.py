@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +14,9 @@ from trialweave.llm.sharding import ShardStore
 from trialweave.llm.shared import shared_folder
 from trialweave.llm.text import crc_mod
 
-#: Folder of the public tokenizers' files; operators take paths as parameters.
-TOKENIZERS = os.environ.get("TRIALWEAVE_TOKENIZERS", "/opt/tokenizers")
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+#: Files of public tokenizers; operators take paths as parameters.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

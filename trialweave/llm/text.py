@@ -31,13 +31,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int, name: str) -> np.ndarray:
-    """base ** 0 .. n-1 modulo 2**64, kept between calls."""
+    """base ** 0 .. n-1 modulo 2**64; as many as a step needs are kept between calls."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + (1 << 16))
-        out = np.full(size, base, U64)
+        out = np.full(max(n, SLICE_BYTES + (1 << 16)), base, U64)
         out[0] = 1
-        have = _powers[name] = np.cumprod(out, dtype=U64)
+        have = np.cumprod(out, dtype=U64)
+        if n <= SLICE_BYTES + (1 << 16):
+            _powers[name] = have
     return have[:n]
 
 
@@ -60,6 +61,22 @@ def encoded(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def _hashed(data: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of ``data``, which stands at ``at`` of the buffer.
+
+    A word's hash does not depend on where it stands."""
+    inside = np.empty(len(data) + 1, np.int8)
+    inside[0] = 0
+    np.not_equal(data, 32, out=inside[1:].view(bool))
+    edge = np.diff(inside)
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total = np.empty(len(data) + 1, U64)
+    total[0] = 0
+    np.cumsum((data.astype(U64) + U64(1)) * powers(_P, len(data), "up"), out=total[1:])
+    span = (total[end] - total[start]) * powers(_P_INV, len(data) + 1, "down")[start]
+    return start + at, end + at, mix(span + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
 class Words:
     """Words of the texts of one slice, as 64-bit hashes.
 
@@ -71,18 +88,13 @@ class Words:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         self.text_at = np.concatenate([[0], np.cumsum(lengths + 1)])
         self.buffer = (b" ".join(texts) + b" ").translate(table)
-        data = np.frombuffer(self.buffer, np.uint8)
-        inside = np.empty(len(data) + 1, np.int8)
-        inside[0] = 0
-        np.not_equal(data, 32, out=inside[1:].view(bool))
-        edge = np.diff(inside)
-        self.start = np.flatnonzero(edge == 1)
-        self.end = np.flatnonzero(edge == -1)
-        total = np.empty(len(data) + 1, U64)
-        total[0] = 0
-        np.cumsum((data.astype(U64) + U64(1)) * powers(_P, len(data), "up"), out=total[1:])
-        span = (total[self.end] - total[self.start]) * powers(_P_INV, len(data) + 1, "down")[self.start]
-        self.hash = mix(span + (self.end - self.start).astype(U64) * U64(0xD6E8FEB86659FD93))
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        at = 0
+        while at < len(self.buffer):  # a very long text is hashed in steps that end at a space
+            stop = len(self.buffer) if len(self.buffer) - at <= SLICE_BYTES else self.buffer.find(b" ", at + SLICE_BYTES - 1) + 1
+            found.append(_hashed(np.frombuffer(self.buffer, np.uint8, stop - at, at), at))
+            at = stop
+        self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*found, strict=True))
         self.first = np.searchsorted(self.start, self.text_at)
 
     def grams(self, n: int) -> np.ndarray:
@@ -114,18 +126,6 @@ def crc_mod(column: str | Column, divisor: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string") if isinstance(column, str) else column.cast("string")), F.lit(divisor))
 
 
-def bounded_sample(rows: DataFrame, key: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, the same ones each time: those whose key hashes low.
-
-    ``rows`` should be narrow (ids and labels): it is counted once.
-    """
-    n = rows.count()
-    if n <= bound:
-        return rows
-    share = int(bound / n * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) < share)
-
-
 def hidden(docs: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
     """``docs`` with all columns but the ``needed`` ones under names that clash with nothing,
     and the column names in the order of ``docs``."""
