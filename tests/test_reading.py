@@ -172,3 +172,23 @@ def test_bootstrap_intervals(spark):
     means = np.array([rng.choice(skewed, 60).mean() for _ in range(4_000)])
     low, high = results.bca_limits(skewed.mean(), float(((skewed - skewed.mean()) ** 3).mean() / skewed.std() ** 3), 60, means, 0.95)
     assert low > np.quantile(means, 0.025) and high > np.quantile(means, 0.975)
+
+
+@pytest.mark.parametrize(("length", "n"), [(40, 100), (98, 50), (250, 100), (7, 7), (1, 12)])
+def test_polyphase_resampling(length, n):
+    """What zeros in between, one long filter and dropping give."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=length).cumsum()
+    wide = np.concatenate([x[:1], x, x[-1:]])
+    common = np.gcd(n, len(wide))
+    up, down = n // common, len(wide) // common
+    half = 10 * max(up, down)
+    t = np.arange(2 * half + 1) - half
+    h = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 5.0)
+    h *= up / h.sum()
+    spread = np.zeros(len(wide) * up)
+    spread[::up] = wide - np.median(wide)
+    want = np.convolve(spread, h)[half::down][:n] + np.median(wide)
+    assert np.allclose(signal.poly_resampled(x, n), want if up != down else wide, atol=1e-9)
+    slow = np.sin(np.arange(200) / 30)
+    assert np.allclose(signal.poly_resampled(slow, 101)[10:-10], np.sin(np.arange(101) * 2 / 30 - 1 / 30)[10:-10], atol=0.01)

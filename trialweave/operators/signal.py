@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -127,6 +128,23 @@ def resample_trials(samples: DataFrame, sfreq: float, new_sfreq: float) -> DataF
     return _per_channel(samples, lambda x: resampled(x, max(1, round(len(x) * new_sfreq / sfreq))))
 
 
-def resample_to(samples: DataFrame, n: int) -> DataFrame:
-    """Every trial and channel to ``n`` samples by linear interpolation (ends kept)."""
-    return _per_channel(samples, lambda x: np.interp(np.linspace(0, len(x) - 1, n), np.arange(len(x)), x))
+def poly_resampled(x: np.ndarray, n: int, pad: int = 1) -> np.ndarray:
+    """To ``n`` samples by a polyphase filter (windowed sinc, Kaiser 5); ``pad`` samples at either end
+    repeat the outer values, and beyond them stands the median."""
+    x = np.pad(np.asarray(x, float), pad, mode="edge")
+    common = math.gcd(n, len(x))
+    up, down = n // common, len(x) // common
+    if up == down:
+        return x
+    most = max(up, down)
+    k = np.arange(-10 * most, 10 * most + 1)
+    h = np.sinc(k / most) * np.kaiser(len(k), 5.0)
+    h *= up / h.sum()
+    middle = np.median(x)
+    at = np.arange(n)[:, None] * down - np.arange(len(x))[None, :] * up + 10 * most
+    return np.where((at >= 0) & (at < len(h)), h[np.clip(at, 0, len(h) - 1)], 0.0) @ (x - middle) + middle
+
+
+def resample_to(samples: DataFrame, n: int, *, pad: int = 1) -> DataFrame:
+    """Every trial and channel to ``n`` samples by ``poly_resampled``."""
+    return _per_channel(samples, lambda x: poly_resampled(x, n, pad))
