@@ -1,8 +1,11 @@
 """Sharding by size-tiered compaction over immutable files and a versioned manifest.
 
-A store is a folder with ``data/`` (Parquet files that are never changed) and
-``manifests/`` (one JSON file per version: the schema, and the live shards with rows, bytes
-and generation).  Arrivals are appended as small shards.  Compaction groups shards of a
+A store is a folder with ``data/`` (Parquet files that are never changed), ``lists/`` (files
+of JSON lines, never changed either: shards with rows, bytes and generation) and
+``manifests/`` (one JSON file per version: the schema and the names of its lists).  A commit
+writes lists of what it adds; a merge writes anew only those that name what it replaced, and
+lists of shards at target size are read by readers alone.  So a version costs its changes, not
+the store.  Arrivals are appended as small shards.  Compaction groups shards of a
 similar size into tiers and rewrites runs of at least ``fan_in`` of a tier as files of about
 ``target_bytes``; shards at target size rest.  A version becomes visible only when its whole
 manifest gets a name that nobody had: by a hard link on a local file system, by rename where
@@ -13,7 +16,7 @@ of a change or nothing of it, and of two writers one loses and may try again.
 once they are older than a grace period: until then they may belong to a write that is about
 to be committed.
 
-Only file names and counts are on the driver.  All file access is through Hadoop's file
+Only file names and counts are on the driver: a merge's own, or all that a reader asks for.  All file access is through Hadoop's file
 system interface, so the store may lie anywhere Spark can write.
 
 Defined results: an empty arrival (or an empty table of arrivals) adds no shard but a version;
@@ -34,6 +37,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Most shards of a list.
+LIST_SHARDS = 10_000
 #: Columns that ``load`` adds.
 LOADED = ("_shard", "_rows", "_bytes", "_generation", "_version")
 
@@ -50,10 +55,17 @@ class Shard:
     generation: int
 
 
+@dataclass(frozen=True)
+class ShardList:
+    name: str
+    shards: int
+    small: int  # of them under half the target size
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int
-    shards: tuple[Shard, ...]
+    lists: tuple[ShardList, ...]
     schema: str = ""  # of the rows, as JSON
 
 
@@ -78,14 +90,35 @@ class ShardStore:
         versions = self.versions()
         return self.read(versions[-1]) if versions else Manifest(0, ())
 
-    def read(self, version: int) -> Manifest:
-        stream = self._fs.open(self._path(self._name(version)))
+    def _text(self, path: str) -> str:
+        stream = self._fs.open(self._path(path))
         try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        found = json.loads(text)
-        return Manifest(found["version"], tuple(Shard(**s) for s in found["shards"]), found["schema"])
+
+    def read(self, version: int) -> Manifest:
+        found = json.loads(self._text(self._name(version)))
+        return Manifest(found["version"], tuple(ShardList(**x) for x in found["lists"]), found["schema"])
+
+    def shards(self, manifest: Manifest | None = None, *, small: bool = False) -> list[Shard]:
+        """Live shards of a version; ``small``: only lists with shards under half the target are read."""
+        lists = (manifest or self.latest()).lists
+        return [s for x in lists if x.small or not small for s in self._read_list(x)]
+
+    def _read_list(self, one: ShardList) -> list[Shard]:
+        return [Shard(**json.loads(line)) for line in self._text(f"{self.root}/lists/{one.name}").splitlines()]
+
+    def _write_lists(self, shards: list[Shard]) -> tuple[ShardList, ...]:
+        """Small shards and those at target size stand in lists of their own, ``LIST_SHARDS`` at most."""
+        out = []
+        for some in ([s for s in shards if self.tier(s) > 0], [s for s in shards if self.tier(s) == 0]):
+            for i in range(0, len(some), LIST_SHARDS):
+                part = some[i : i + LIST_SHARDS]
+                name = f"{uuid.uuid4().hex}.jsonl"
+                self._create(f"{self.root}/lists/{name}", "\n".join(json.dumps(asdict(s)) for s in part).encode())
+                out.append(ShardList(name, len(part), sum(self.tier(s) > 0 for s in part)))
+        return tuple(out)
 
     def _create(self, path: str, body: bytes) -> None:
         out = self._fs.create(self._path(path), False)
@@ -113,10 +146,18 @@ class ShardStore:
         finally:
             self._fs.delete(self._path(draft), False)
 
-    def commit(self, base: Manifest, shards: tuple[Shard, ...], schema: str = "") -> Manifest:
-        """Makes ``shards`` the version after ``base``, or raises Conflict."""
-        new = Manifest(base.version + 1, shards, schema or base.schema)
-        body = json.dumps({"version": new.version, "schema": new.schema, "shards": [asdict(s) for s in shards]}).encode()
+    def commit(self, base: Manifest, added: list[Shard], *, removed: frozenset[str] = frozenset(), schema: str = "") -> Manifest:
+        """Makes ``base`` with the shards ``added`` and without the paths ``removed`` the version after it,
+        or raises Conflict."""
+        kept, again = [], []
+        for one in base.lists:
+            own = self._read_list(one) if removed and one.small else []  # only small shards are ever replaced
+            if any(s.path in removed for s in own):
+                again += [s for s in own if s.path not in removed]
+            else:
+                kept.append(one)
+        new = Manifest(base.version + 1, (*kept, *self._write_lists(again + added)), schema or base.schema)
+        body = json.dumps({"version": new.version, "schema": new.schema, "lists": [asdict(x) for x in new.lists]}).encode()
         try:
             self._publish(self._name(new.version), body)
         except (FileExistsError, Py4JJavaError) as e:
@@ -154,8 +195,7 @@ class ShardStore:
         """One arrival as new shards of generation 0."""
         folder = f"data/{uuid.uuid4().hex}"
         df.write.parquet(f"{self.root}/{folder}")
-        base = self.latest()
-        return self.commit(base, base.shards + tuple(s for x in self._written(folder, 0).values() for s in x), df.schema.json())
+        return self.commit(self.latest(), [s for x in self._written(folder, 0).values() for s in x], schema=df.schema.json())
 
     def append_each(self, df: DataFrame, arrival: Column) -> list[Manifest]:
         """Several arrivals in one pass over ``df``: a version for each value of ``arrival`` in order."""
@@ -165,8 +205,7 @@ class ShardStore:
         found = self._written(folder, 0)
         out = []
         for shards in [found[name] for name in sorted(found, key=lambda x: (len(x), x))] or [[]]:
-            base = self.latest()
-            out.append(self.commit(base, base.shards + tuple(shards), df.schema.json()))
+            out.append(self.commit(self.latest(), shards, schema=df.schema.json()))
         return out
 
     # -- compaction
@@ -175,7 +214,7 @@ class ShardStore:
         """0 for shards of at least half the target; each further tier is ``tier_base`` times smaller."""
         return max(0, math.ceil(math.log(self.target_bytes / 2 / max(1, shard.bytes), self.tier_base)))
 
-    def runs(self, shards: tuple[Shard, ...]) -> list[list[Shard]]:
+    def runs(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs of similarly sized shards that are worth merging now, smallest tier first."""
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
@@ -186,7 +225,7 @@ class ShardStore:
     def compact(self) -> Manifest:
         """Merges all runs of the latest version in one commit."""
         base = self.latest()
-        runs = self.runs(base.shards)
+        runs = self.runs(self.shards(base, small=True))
         gone, new = set(), []
         for run in runs:
             files = max(1, round(sum(s.bytes for s in run) / self.target_bytes))
@@ -201,7 +240,7 @@ class ShardStore:
             new += made
         if not gone:
             return base
-        return self.commit(base, tuple(s for s in base.shards if s not in gone) + tuple(new))
+        return self.commit(base, new, removed=frozenset(s.path for s in gone))
 
     def settle(self) -> Manifest:
         """Compacts until no tier has a run worth merging: what a merge makes may fill the next tier."""
@@ -214,27 +253,30 @@ class ShardStore:
         """Removes files that only versions before the last ``keep`` name, those manifests, and files
         over ``grace_s`` seconds old that no version names."""
         versions = self.versions()
-        old, kept = versions[:-keep], versions[-keep:]
-        named = {s.path for v in kept for s in self.read(v).shards}
-        past = {s.path for v in old for s in self.read(v).shards} - named
+        old, kept = [self.read(v) for v in versions[:-keep]], [self.read(v) for v in versions[-keep:]]
+        lists = {x.name for m in kept for x in m.lists}
+        dropped = {x.name: x for m in old for x in m.lists if x.name not in lists}
+        named = {s.path for m in kept for s in self.shards(m)}
+        past = {s.path for x in dropped.values() for s in self._read_list(x)} - named
         limit = (time.time() - grace_s) * 1000
-        folder = self._path(f"{self.root}/data")
-        files = self._fs.listFiles(folder, True) if self._fs.exists(folder) else None
         gone = []
-        while files is not None and files.hasNext():
-            status = files.next()
-            name = status.getPath().toString()
-            path = name[name.rindex("/data/") + 1 :]
-            if path in past or path not in named and status.getModificationTime() < limit:
-                gone.append(name)
-        for name in gone:
-            self._fs.delete(self._path(name), False)
-        for v in old:
-            self._fs.delete(self._path(self._name(v)), False)
+        for part, now, before in (("data", named, past), ("lists", lists, set(dropped))):
+            folder = self._path(f"{self.root}/{part}")
+            files = self._fs.listFiles(folder, True) if self._fs.exists(folder) else None
+            while files is not None and files.hasNext():
+                status = files.next()
+                path = status.getPath().toString()
+                name = path[path.rindex(f"/{part}/") + 1 :].removeprefix("lists/")
+                if name in before or name not in now and status.getModificationTime() < limit:
+                    gone.append(path)
+        for path in gone:
+            self._fs.delete(self._path(path), False)
+        for m in old:
+            self._fs.delete(self._path(self._name(m.version)), False)
 
     # -- reading
 
-    def _rows(self, manifest: Manifest, shards: tuple[Shard, ...] | list[Shard]) -> DataFrame:
+    def _rows(self, manifest: Manifest, shards: list[Shard]) -> DataFrame:
         schema = StructType.fromJson(json.loads(manifest.schema))
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s.path}" for s in shards))
 
@@ -244,9 +286,10 @@ class ShardStore:
         m = manifest or self.latest()
         if not m.schema:
             raise ValueError("the store has no version yet")
-        table = self.spark.createDataFrame([(s.path, s.rows, s.bytes, s.generation) for s in m.shards], "_shard string, _rows long, _bytes long, _generation int")
-        if m.shards:
-            df = self._rows(m, m.shards).drop(*LOADED).withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "/(data/[^?]*)$", 1))
+        shards = self.shards(m)
+        table = self.spark.createDataFrame([(s.path, s.rows, s.bytes, s.generation) for s in shards], "_shard string, _rows long, _bytes long, _generation int")
+        if shards:
+            df = self._rows(m, shards).drop(*LOADED).withColumn("_shard", F.regexp_extract(F.col("_metadata.file_path"), "/(data/[^?]*)$", 1))
         else:
             df = self.spark.createDataFrame([], StructType.fromJson(json.loads(m.schema))).drop(*LOADED).withColumn("_shard", F.lit(""))
         return df.join(table, "_shard").withColumn("_version", F.lit(m.version))
