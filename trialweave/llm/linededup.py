@@ -2,8 +2,9 @@
 
 A line is a stretch between line breaks; one of more than ``fold_words`` words is
 folded at places that its own words choose: a gap between words that comes first, sentence
-ends before others and then by hash, among ``REACH`` gaps on either side.  So a passage is folded alike wherever it stands, and about fifty words
-hold three whole pieces.  Blank lines are skipped.  Each window of three consecutive lines
+ends before others and then by hash, among ``REACH`` gaps on either side.  So a passage is
+folded alike wherever it stands, and about fifty words hold three whole pieces.  Stretches of
+over ``MOST_PIECE`` words without such a gap (one word over and over) are folded by counting.  Blank lines are skipped.  Each window of three consecutive lines
 has a 96-bit hash; of a window that occurs more than once anywhere, the first occurrence
 (least document id, then place) stays and the lines of all later ones are removed,
 overlapping windows together.
@@ -34,6 +35,8 @@ LINES = 3
 FOLD_WORDS = 12
 #: A piece of a long line has more words than this.
 REACH = 4
+#: Words from which on a piece without a place to fold is folded by counting.
+MOST_PIECE = 64
 
 
 def _folds(text: str, line_at: np.ndarray, fold_words: int) -> np.ndarray:
@@ -60,7 +63,14 @@ def _folds(text: str, line_at: np.ndarray, fold_words: int) -> np.ndarray:
     for j in range(1, min(REACH, n - 1) + 1):
         least[j:] &= value[j:] < value[:-j]
         least[:-j] &= value[:-j] < value[j:]
-    return end[least]
+    # Words that repeat over and over offer no such place: what is still long is folded by counting.
+    here = np.arange(n)
+    opens, closes = np.append(True, line[1:] != line[:-1]), np.append(line[1:] != line[:-1], True)
+    before = np.append(-1, np.where(least, here, -1)[:-1])
+    before = np.maximum.accumulate(np.where(opens, here - 1, before))
+    after = np.minimum.accumulate(np.where(least, here, np.where(closes, here + 1, n))[::-1])[::-1]
+    run = here - before
+    return end[least | (after - before > MOST_PIECE) & (run > 0) & (run % (2 * REACH) == 0) & (after - here >= 2 * REACH)]
 
 
 def units_of(texts: list[str], fold_words: int = FOLD_WORDS) -> list[list[tuple[int, int]]]:
