@@ -152,7 +152,8 @@ def test_ngram_join_with_blocks_of_few_grams(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0} and len(got) == 14
 
 
-def test_ngram_join_keeps_texts_of_a_shared_passage_apart(spark, monkeypatch):
+@pytest.mark.parametrize("most", [4096, 12])
+def test_ngram_join_keeps_texts_of_a_shared_passage_apart(spark, monkeypatch, most):
     """Unlinked texts that share half of their words: rows sent to trees do not grow faster than the documents."""
     sent = []
     joined = ngramjoin._joined
@@ -163,6 +164,7 @@ def test_ngram_join_keeps_texts_of_a_shared_passage_apart(spark, monkeypatch):
 
     monkeypatch.setattr(ngramjoin, "_joined", counted)
     monkeypatch.setattr(ngramjoin, "BLOCK_SETS", 20)
+    monkeypatch.setattr(ngramjoin, "BUCKET", most)  # 12: texts meet again under finer keys
     rng = random.Random(8)
     passage = " ".join(f"p{k}" for k in range(60))
     at = []
@@ -176,21 +178,30 @@ def test_ngram_join_keeps_texts_of_a_shared_passage_apart(spark, monkeypatch):
     assert at[0] >= 30 and at[1] <= 5 * at[0] and at[1] <= 600
 
 
-def test_ngram_join_ties_of_full_buckets(spark, monkeypatch):
-    """A key with more rows than are compared ties all its sets to one; nothing is lost."""
+@pytest.mark.parametrize(("most", "levels"), [(5, 1), (5, 2), (5, 4), (20, 4), (4096, 4)])
+def test_ngram_join_of_full_buckets(spark, monkeypatch, most, levels):
+    """Keys with more rows than are compared: finer keys, and ties without a look at the end, lose nothing."""
     rng = random.Random(9)
-    words = [f"w{k}" for k in range(200)]
     rows = []
-    for i in range(80):
-        w = list(words)
-        for _ in range(rng.randrange(0, 9)):
-            w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
-        rows.append((i, " ".join(w)))
+    for family in range(2):
+        words = [f"w{k}" for k in range(150)] + [f"f{family}-{k}" for k in range(50)]
+        for i in range(60):
+            w = list(words)
+            for _ in range(rng.randrange(0, 12)):
+                w[rng.randrange(200)] = f"e{rng.randrange(10**6)}"
+            rows.append((100 * family + i, " ".join(w)))
     want = brute_components({i: word_set(t, 4) for i, t in rows}, 85, 100)
-    for most in (5, 4096):
-        monkeypatch.setattr(ngramjoin, "BUCKET", most)
-        got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85, den=100).collect()
-        assert {r["doc_id"]: r["component_id"] for r in got} == want
+    monkeypatch.setattr(ngramjoin, "BUCKET", most)
+    monkeypatch.setattr(ngramjoin, "LEVELS", levels)
+    got = ngramjoin.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), n=4, num=85, den=100).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want and 2 < len(set(want.values())) < 80
+
+
+def test_sketch_expression(spark):
+    rng = np.random.default_rng(2)
+    x = rng.integers(-(1 << 63), 1 << 63, (50, 2, ngramjoin.SKETCH // 64 * ngramjoin.PLANES), dtype=np.int64)
+    got = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in x], "a array<long>, b array<long>").select(ngramjoin._apart_column(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == ngramjoin.apart_codes(x[:, 0].view(np.uint64), x[:, 1].view(np.uint64)).tolist()
 
 
 def test_sketches_of_linked_sets_are_close():
@@ -367,6 +378,18 @@ def test_line_dedup_folds_alike_anywhere():
     assert linededup.units_of(many) == [linededup.units(t) for t in many]
 
 
+def test_line_dedup_folds_what_repeats_over_and_over(spark):
+    words = lambda a, b: " ".join(f"w{k}" for k in range(a, b))
+    rows = [(1, f"{words(0, 40)} {'the ' * 90}{words(40, 60)}"), (2, f"{words(100, 133)} {'the ' * 70}{words(133, 170)}"), (3, f"{words(200, 230)} {'a b ' * 100}")]
+    for _, t in rows:
+        pieces = [len(t[a:b].split()) for a, b in linededup.units(t)]
+        assert 5 <= min(pieces[:-1]) and max(pieces) <= linededup.MOST_PIECE
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2].split().count("the") < 24 and set(words(100, 133).split()[:25]) < set(got[2].split())
+    assert got[1].split().count("the") < 60 and got[3].split().count("a") < 60  # all but the first windows of the stretch
+    assert linededup.units_of([t for _, t in rows]) == [linededup.units(t) for _, t in rows]
+
+
 def test_line_dedup_removes_every_repeated_window(spark):
     """Three lines that were there before go, however few words they have; two do not."""
     rows = [(1, "a b\nc\nd e f\nfirst"), (2, "x\na b\nc\nd e f\ny"), (3, "a b\nc\nz"), (4, "q\nc\n\nd e f\na b"), (4, "a b\nc\nd e f\nfirst")]
@@ -393,20 +416,41 @@ def test_sharding(spark, odd, tmp_path):
     for _ in range(4):
         store.append(odd)
     first = store.latest()
-    assert first.version == 4 and sum(s.rows for s in first.shards) == 4 * len(ODD)
+    before = store.shards(first)
+    assert first.version == 4 and len(first.lists) >= 4 and sum(s.rows for s in before) == 4 * len(ODD)
     merged = store.compact()
-    assert merged.version == 5 and len(merged.shards) < len(first.shards)
-    assert sum(s.rows for s in merged.shards) == 4 * len(ODD)
+    assert merged.version == 5 and len(store.shards(merged)) < len(before)
+    assert sum(s.rows for s in store.shards(merged)) == 4 * len(ODD)
     old = store.load(first)
     assert old.count() == 4 * len(ODD)  # earlier versions stay readable
     with pytest.raises(Conflict):
-        store.commit(first, first.shards)
+        store.commit(first, [])
     store.vacuum()
     columns = odd.columns
     want, got = Counter(map(tuple, odd.collect() * 4)), Counter(map(tuple, store.load().select(*columns).collect()))
     assert got == want
     assert store.append(odd.limit(0)).version == 6
-    assert store.settle().version >= 6 and not store.runs(store.latest().shards)
+    assert store.settle().version >= 6 and not store.runs(store.shards())
+
+
+def test_sharding_lists(spark, tmp_path, monkeypatch):
+    """A merge writes anew only the lists of what it replaced; lists of whole shards are not read for it."""
+    from trialweave.llm import sharding
+
+    monkeypatch.setattr(sharding, "LIST_SHARDS", 2)
+    store = ShardStore(spark, f"file://{tmp_path}/store", target_bytes=1_500, fan_in=3)
+    store.append(spark.range(6_000).toDF("doc_id").coalesce(1))  # at target size at once
+    whole = store.latest().lists[0]
+    assert whole.small == 0
+    store.append(spark.range(6).toDF("doc_id").repartition(5))
+    assert sum(x.shards for x in store.latest().lists) == 1 + len(store.shards(small=True)) and len(store.latest().lists) > 2
+    read = []
+    monkeypatch.setattr(store, "_read_list", lambda one, f=store._read_list: read.append(one.name) or f(one))
+    merged = store.compact()
+    assert whole in merged.lists and whole.name not in read and len(store.shards(merged)) == 2
+    store.vacuum()
+    assert {p.name for p in (tmp_path / "store/lists").iterdir() if not p.name.endswith(".crc")} == {x.name for x in merged.lists}
+    assert store.load().count() == 6_006
 
 
 def test_sharding_two_writers(spark, tmp_path):
@@ -418,7 +462,7 @@ def test_sharding_two_writers(spark, tmp_path):
 
     def write(k):
         try:
-            return store.commit(base, base.shards * (k + 1))
+            return store.commit(base, store.shards(base) * k)
         except Conflict:
             return None
 
@@ -433,13 +477,13 @@ def test_sharding_vacuum_spares_what_is_being_written(spark, tmp_path):
     rows = spark.range(6).toDF("doc_id").coalesce(1)
     store.append(rows)
     store.append(rows)
-    replaced = {s.path for s in store.latest().shards}
+    replaced = {s.path for s in store.shards()}
     rows.write.parquet(f"{store.root}/data/coming")  # another writer before its commit
     store.compact()
     store.vacuum()
     left = {str(p.relative_to(tmp_path / "store")) for p in (tmp_path / "store/data").rglob("*.parquet")}
     assert not left & replaced and any(p.startswith("data/coming") for p in left)
-    store.commit(store.latest(), store.latest().shards + tuple(store._written("data/coming", 0)["data/coming"]))
+    store.commit(store.latest(), store._written("data/coming", 0)["data/coming"])
     assert store.load().count() == 18
     store.vacuum(grace_s=-60)
     assert store.load().count() == 18
@@ -460,7 +504,7 @@ def test_sharding_odd_tables(spark, odd, empty, tmp_path):
     store.settle()
     out = store.load()
     assert out.count() == len(ODD) and {r["_arrival0"] for r in out.collect()} == {"z"}
-    assert {tuple(r) for r in store._rows(store.latest(), store.latest().shards).select("_shard", "_rows").collect()} == {("x", "y")}
+    assert {tuple(r) for r in store._rows(store.latest(), store.shards()).select("_shard", "_rows").collect()} == {("x", "y")}
 
 
 def test_sharding_query_without_rows(spark, docs, tmp_path):

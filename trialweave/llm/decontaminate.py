@@ -13,7 +13,8 @@ found spans are united per document.
 
 Defined results: null or empty texts have no words and are clean; items without
 words or id are ignored; repeated items count once by id; repeated documents are judged
-each for itself; an empty benchmark leaves all clean.
+each for itself; an empty benchmark leaves all clean.  Ids of documents and items are read as
+long; texts that are no numbers fail, as in any cast.
 """
 
 from __future__ import annotations

@@ -10,8 +10,8 @@ Scoring multiplies embeddings and softmax once into a table of logits per subwor
 costs one lookup per subword, whatever its length.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; equal rows
-get equal results; without any labelled text all are ``und``; an empty table gives an
-empty one.
+get equal results; of equally likely languages the first by name is taken; without any
+labelled text all are ``und``; an empty table gives an empty one.  Ids are read as long.
 """
 
 from __future__ import annotations

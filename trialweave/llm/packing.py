@@ -12,7 +12,7 @@ recomputed task gives the same rows, since window ids come from the partition's
 and a counter.
 
 Defined results: a null or empty text is the end id alone; equal rows are packed each
-for itself; no rows give no rows; other columns are not read.
+for itself; no rows give no rows; other columns are not read.  Ids are read as long.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ repeats.  Fitted in numpy by AdaGrad over a bounded, hash-chosen sample of rated
 
 Defined results: a null or empty text has the score of an empty vector; equal rows get
 equal results; without ratings the grade is null and nothing is selected against; an empty
-table gives an empty one.
+table gives an empty one.  Ids are read as long.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ bounded, hash-chosen sample.
 
 Defined results: null and empty texts score as texts without hits; equal rows get equal
 scores; without both labels in the training rows the score is 0 for all; an empty table
-gives an empty one.
+gives an empty one.  Of terms that fit a word equally well the first learned counts.  Ids are
+read as long.
 """
 
 from __future__ import annotations
