@@ -622,15 +622,16 @@ def test_hosts_rules(spark):
     assert got[7] == got[8] == ("allow", 401 / 402)
 
 
-def test_hosts_oracle(spark, sf):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_oracles(spark, sf, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
-    want = sorted(map(repr, con.sql(queries.ORACLE["op8_url_filter"]).fetchall()))
-    got = sorted(repr(tuple(r)) for r in queries.op8_url_filter(spark, sf).collect())
-    assert got == want
+    want = con.sql(queries.ORACLE[name])
+    got = queries.QUERIES[name](spark, sf)
+    assert got.columns == want.columns and sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want.fetchall()))
 
 
 # -- op9

@@ -8,9 +8,12 @@ all further work is on classes.
    follows from the threshold so that two sets at exactly the threshold share none with a chance
    of at most ``MISS`` (1e-9; less for closer sets).  Sets that share a key are tied if their
    sizes allow a link and their sketches differ by no more than linked sets' do (but for a
-   chance of at most ``MISS``), so texts that merely share a passage stay apart.  Only a key
-   with more than ``BUCKET`` sets, most of which are copies of each other, ties all of its sets
-   to its least one without a look.  Connected ties are clusters.
+   chance of at most ``MISS``), so texts that merely share a passage stay apart.  A key with more
+   than ``BUCKET`` rows is not compared pair by pair: sets close to its least one are tied to it,
+   and the others meet again under finer keys, of that band and each other one together (two
+   sets exactly at the threshold share no second band with a chance of 2e-8).  Only keys of
+   ``LEVELS`` bands that are still overfull tie all of their sets to the least one without a
+   look.  Connected ties are clusters.
 2. Each cluster is joined by a signature tree: nodes hold OR-combined token bitmaps,
    size ranges and the largest excess of tokens over bits; a traversal of node pairs drops
    those whose greatest possible overlap is too small, or whose members are already
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialweave.llm.shared import Scratch, apart, connected_components
@@ -48,6 +51,8 @@ MISS = 1e-9
 ROWS = 4
 #: Rows of one routing key that are compared with each other.
 BUCKET = 4096
+#: Bands of the finest keys.
+LEVELS = 4
 #: Most min-hashes of a sketch, and the bits kept of each.
 SKETCH, PLANES = 128, 3
 #: About the most sets, and n-grams, of a block of a large cluster; pivots of such a cluster.
@@ -261,8 +266,8 @@ def sign(docs: DataFrame, n: int, bands: int) -> DataFrame:
                 sketches: list = [None] * len(sets)
                 if new:
                     found, codes = routing_keys([sets[i] for i in new], bands)
-                    for i, row, code in zip(new, found.view(np.int64), codes, strict=True):
-                        keys[i], sketches[i] = row, code.tobytes()
+                    for i, row, code in zip(new, found.view(np.int64), codes.view(np.int64), strict=True):
+                        keys[i], sketches[i] = row, code
                 empty = np.array([not len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -271,12 +276,12 @@ def sign(docs: DataFrame, n: int, bands: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(hashes.view(np.int64), mask=empty),
                         pa.array(keys, pa.list_(pa.int64())),
-                        pa.array(sketches, pa.binary()),
+                        pa.array(sketches, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "text_key", "n_shingles", "set_hash", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, text_key long, n_shingles long, set_hash long, keys array<long>, sketch array<long>")
 
 
 def close_forest(names: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, most: int, num: int, den: int) -> list[tuple[int, int]]:
@@ -323,9 +328,8 @@ def _ties(most: int, num: int, den: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words = SKETCH // 64 * PLANES
             now = [batch.column(c).to_numpy() for c in ("key", "set_hash", "n")]
-            now.append(np.frombuffer(b"".join(batch.column("sketch").to_pylist()), U64).reshape(-1, words))
+            now.append(batch.column("sketch").flatten().to_numpy().view(U64).reshape(-1, SKETCH // 64 * PLANES))
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now, strict=True)]
             cut = int(np.flatnonzero(now[0] == now[0][-1])[0])
@@ -338,15 +342,53 @@ def _ties(most: int, num: int, den: int):
     return run
 
 
+def _apart_column(a: Column, b: Column) -> Column:
+    """``apart_codes`` as an expression."""
+    out = F.lit(0)
+    for word in range(SKETCH // 64):
+        x = F.lit(0).cast("long")
+        for plane in range(PLANES):
+            at = plane * (SKETCH // 64) + word
+            x = x.bitwiseOR(a[at].bitwiseXOR(b[at]))
+        out = out + F.bit_count(x)
+    return out
+
+
 def tied(signed: DataFrame, scratch: Scratch, num: int, den: int, bands: int) -> DataFrame:
     """Edges (a, b) between sets that share a routing key and may be linked."""
-    keys = signed.where("keys is not null").select(F.explode("keys").alias("key"), "set_hash")
-    counts = keys.groupBy("key", apart("key")).agg(F.count("*").alias("rows"), F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).where("least <> most").select("key", "rows", "least")
-    met = scratch.table(keys.join(counts.hint("merge"), "key"), "met")
-    sketches = signed.where("keys is not null").groupBy("set_hash").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    few = met.where(F.col("rows") <= BUCKET).select("key", "set_hash").join(sketches.hint("merge"), "set_hash").select("key", "set_hash", "n", "sketch")
-    checked = few.repartition("key").sortWithinPartitions("key").mapInArrow(_ties(most_apart(num / den, min(SKETCH, bands * ROWS)), num, den), "a long, b long")
-    return checked.unionByName(met.where(F.col("rows") > BUCKET).select(F.col("set_hash").alias("a"), F.col("least").alias("b")))
+    own = signed.where("keys is not null")
+    most = most_apart(num / den, min(SKETCH, bands * ROWS))
+    near = most // 4
+    sketches = own.groupBy("set_hash", apart("set_hash")).agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).drop("_apart")
+    rows = own.select(F.explode("keys").alias("key"), "set_hash", F.lit(None).cast("array<int>").alias("used"))
+    ties = []
+    for level in range(1, LEVELS + 1):
+        counts = rows.groupBy("key", apart("key")).agg(F.count("*").alias("rows"), F.min("set_hash").alias("least"), F.max("set_hash").alias("most")).where("least <> most").select("key", "rows", "least")
+        met = scratch.table(rows.join(counts.hint("merge"), "key"), f"met-{level}")
+        few = met.where(F.col("rows") <= BUCKET).select("key", "set_hash").join(sketches.hint("merge"), "set_hash").select("key", "set_hash", "n", "sketch")
+        ties.append(few.repartition("key").sortWithinPartitions("key").mapInArrow(_ties(most, num, den), "a long, b long"))
+        many = met.where(F.col("rows") > BUCKET)
+        if not many.head(1):
+            break
+        if level == LEVELS:
+            ties.append(many.select(F.col("set_hash").alias("a"), F.col("least").alias("b")))
+            break
+        # Whatever is linked with a set near the least one lies within ``most + near`` of the least one.
+        centres = sketches.select(F.col("set_hash").alias("least"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
+        seen = many.join(sketches.hint("merge"), "set_hash").join(centres.hint("merge"), "least").withColumn("_apart", _apart_column(F.col("sketch"), F.col("_sketch")))
+        low, high = F.least("n", "_n"), F.greatest("n", "_n")
+        seen = scratch.table(seen.select("key", "set_hash", "used", "least", ((F.col("_apart") <= near) & (den * low >= num * high)).alias("close"), ((F.col("_apart") <= most + near) & (den * den * low >= num * num * high)).alias("tie")), f"seen-{level}")
+        ties.append(seen.where("tie").select(F.col("set_hash").alias("a"), F.col("least").alias("b")))
+        others = seen.where("not close").join(own.select("set_hash", "keys").hint("merge"), "set_hash")
+        used = F.coalesce("used", F.array((F.array_position("keys", F.col("key")) - 1).cast("int")))
+        finer = others.withColumn("used", used).withColumn("band", F.explode(F.filter(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: ~F.array_contains("used", j))))
+        finer = finer.withColumn("used", F.array_sort(F.array_append("used", F.col("band"))))
+        key = F.xxhash64(F.transform("used", lambda j: F.struct(j, F.get("keys", j))))
+        rows = scratch.table(finer.select(key.alias("key"), "set_hash", "used").distinct(), f"finer-{level}")
+    out = ties[0]
+    for more in ties[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def _join_clusters(n: int, num: int, den: int):
@@ -436,7 +478,7 @@ def component_rows(docs: DataFrame, *, n: int = 5, num: int = 80, den: int = 100
     bands = bands_for(num / den)
     signed = scratch.table(sign(rows, n, bands), "sets")
     clusters = connected_components(tied(signed, scratch, num, den, bands), scratch, "clusters")  # node, root
-    scratch.drop("met")
+    scratch.drop(*(f"{name}-{k}" for name in ("met", "seen", "finer") for k in range(1, LEVELS + 1)))
 
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     classes = signed.where("set_hash is not null").groupBy("set_hash").agg(F.min(place).alias("own"), F.first("n_shingles").alias("n"))

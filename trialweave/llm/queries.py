@@ -109,6 +109,27 @@ def _shrink(name: str, counts: str, parent: str, on: str) -> str:
 
 
 ORACLE: dict[str, str] = {
+    # All pairs that share a shingle are counted, and components found by walking the links.
+    "op3_ngram_jaccard": f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(4, len(w)) - 1], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 2))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT b, root FROM reach JOIN ways ON a = doc_id)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(root) AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id""",
+    # Every window of every document is looked up among the items' windows of its size.
+    "op4_decontaminate": f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+items AS (SELECT item_id, w, least(13, len(w)) AS size FROM (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_ABC}), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark) WHERE len(w) > 0),
+asked AS (SELECT DISTINCT item_id, size, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - size + 2)) AS i FROM items)),
+given AS (SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(1, greatest(1, len(w) - size + 2))) AS i FROM words, (SELECT DISTINCT size FROM asked))),
+hits AS (SELECT doc_id, i, size, item_id FROM given JOIN asked USING (size, g)),
+hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS k FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
     "op8_url_filter": f"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(coalesce(after, ''), '^([^/?#]*)', 1), {_ABC}) AS host, regexp_extract(coalesce(after, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),

@@ -28,11 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 class Scratch:
     """Tables of one call of an operator, in a folder of their own.
 
@@ -41,6 +36,8 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.path = f"{shared_folder(spark)}/trialweave-{name}-{uuid.uuid4().hex}"
+        self._place = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._place(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         atexit.register(self.close)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -50,11 +47,11 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            delete(self.spark, f"{self.path}/{name}")
+            self._fs.delete(self._place(f"{self.path}/{name}"), True)
 
     def close(self) -> None:
-        with contextlib.suppress(Exception):  # the session may be gone
-            delete(self.spark, self.path)
+        with contextlib.suppress(Exception):  # the virtual machine may be gone
+            self._fs.delete(self._place(self.path), True)
 
 
 def apart(key: str) -> Column:
