@@ -89,6 +89,31 @@ def test_leave_one_out(data, model):
     assert all(r["p_t"] is None or 0 <= r["p_t"] <= 1 for r in results.loo_tests(loo).collect())
 
 
+def test_estimates_to_leave_one_out(data):
+    from trialweave.plans.base import Estimator
+
+    simple = crossval.loocv_func(data, crossval.fit_n(PATTERN, 1))
+    both = crossval.loocv_func(data, crossval.fit_eliminated_then_grouped(PATTERN, 2, 1))
+    want = {r["participant"]: r["loglik"] for r in simple.collect()}
+    assert len(want) == 2
+    got = both.collect()  # an eliminated model of one event, and one fitted from it
+    assert {r["participant"] for r in got} == set(want) and {r["n_event"] for r in got} == {1}
+    assert len(got) == 4 and all(np.isfinite(r["loglik"]) for r in got)
+    for kind in (EventModel, EliminativeMethod, CumulativeMethod):
+        assert issubclass(kind, Estimator)
+    model = EventModel(PATTERN, 1, max_iteration=2, tolerance=-1e9)
+    with pytest.warns(UserWarning):
+        assert model.fit_transform(data).count() == data.frame.count() and model.location == PATTERN.location and model.sfreq == PATTERN.sfreq
+
+
+def test_bids_folders(spark, tmp_path):
+    for name, value in (("01", 1.0), ("02", 2.0)):
+        spark.createDataFrame([("?", 0, 0, "x", value)], readers.SAMPLES).write.parquet(str(tmp_path / f"sub-{name}/eeg/run1"))
+    got = readers.read_bids(spark, str(tmp_path))
+    assert sorted((r["participant"], r["value"]) for r in got.collect()) == [("01", 1.0), ("02", 2.0)]
+    assert {r["participant"] for r in readers.bids_participants(spark, str(tmp_path)).collect()} == {"01", "02"}
+
+
 def test_reading_chain(spark):
     rng = np.random.default_rng(0)
     raw = spark.createDataFrame([("p", s, c, float(rng.normal())) for s in range(600) for c in ("x", "y")], readers.RAW)
@@ -144,6 +169,9 @@ def test_mcca(spark):
             assert (np.abs(r) > 0.9).all(), options
     with pytest.raises(ValueError):
         reduction.fit_mcca(samples.where("participant = 'a'"), 2)
+    only = reduction.fit_mcca(samples, 2, n_pcs=3, pca_only=True)
+    assert only.matrix("a").shape == (5, 3) and np.allclose(only.matrix("a"), only.first["a"])
+    assert only.transform(samples).select("channel").distinct().count() == 3
 
 
 def test_options():

@@ -116,6 +116,11 @@ def pca(samples: DataFrame, n_comp: int | None) -> tuple[DataFrame, list[float]]
     return weights_frame(samples.sparkSession, names, load), share.tolist()
 
 
+def explained(spark: SparkSession, share: list[float]) -> DataFrame:
+    """component, ratio, cumulative: what a scree plot shows."""
+    return spark.createDataFrame([(str(k), float(x), float(sum(share[: k + 1]))) for k, x in enumerate(share)], "component string, ratio double, cumulative double")
+
+
 @dataclass(frozen=True)
 class MCCA:
     """Per participant: mean, first reduction over its deviations, canonical weights."""
@@ -164,9 +169,10 @@ def canonical_weights(cross: np.ndarray, n_sets: int, n_pcs: int, n_ccs: int, ri
     return h / np.linalg.norm(h, axis=(1, 2), keepdims=True)
 
 
-def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: bool = True, ridge: float = 0.0, averaged: bool = False, shared_weights: bool = False) -> MCCA:
+def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: bool = True, ridge: float = 0.0, averaged: bool = False, shared_weights: bool = False, pca_only: bool = False) -> MCCA:
     """``cov``: first reduction on each participant's mean covariance (no mean, no scaling),
-    else on its samples (centred, whitened).  ``averaged``: canonical weights from trial averages."""
+    else on its samples (centred, whitened).  ``averaged``: canonical weights from trial averages.
+    ``pca_only``: no canonical weights; each participant's own first components are given."""
     names = channel_names(samples)
     people = sorted(r[0] for r in samples.select("participant").distinct().collect())
     if len(people) < 2:
@@ -196,6 +202,8 @@ def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: b
             load = load * np.sign(load[np.abs(load).argmax(axis=0), np.arange(n_pcs)])
             first[p] = load / np.sqrt(np.maximum(values[::-1][:n_pcs], 1e-300))
             mu[p] = np.array([means.get((p, n), 0.0) for n in names])
+    if pca_only:
+        return MCCA(names, mu, first, {p: np.eye(n_pcs) for p in people}, shared_weights)
     base = samples
     if averaged:
         base = samples.groupBy("participant", "sample", "channel").agg(F.avg("value").alias("value")).withColumn("epoch", F.lit(0).cast("long"))

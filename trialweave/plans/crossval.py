@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.functions.patterns import Pattern
 from trialweave.plans.event_model import EventModel, Params, TrialData, e_step_sums
 from trialweave.plans.search import CumulativeMethod, EliminativeMethod
 
@@ -89,6 +90,29 @@ def loocv_fit_backward(data: TrialData, search: CumulativeMethod) -> DataFrame:
     return loocv_func(data, both)
 
 
+def fit_n(pattern: Pattern, n_events: int, **options) -> Callable[[TrialData], EventModel]:
+    """For ``loocv_func``: a model of ``n_events``, with parameters to start from if given.
+
+    >>> loocv_func(data, fit_n(half_sine(100.0), 2))
+    """
+    return lambda others: EventModel(pattern, n_events).fit(others, **options)
+
+
+def fit_eliminated_then_grouped(pattern: Pattern, max_events: int, n_events: int, **grouping) -> Callable[[TrialData], list[EventModel]]:
+    """For ``loocv_func``: eliminates from ``max_events`` events, then fits groups (``by``, ``channel_map``,
+    ``time_map``) from the model of ``n_events`` that was found; both are scored.
+
+    >>> loocv_func(data, fit_eliminated_then_grouped(half_sine(100.0), 5, 2, by={"condition": [0, 1]}, time_map=[[0, 0, 0], [0, 1, 0]]))
+    """
+
+    def both(others: TrialData) -> list[EventModel]:
+        found = EliminativeMethod(pattern, max_events=max_events, min_events=n_events - 1).fit(others).submodels[n_events]
+        grouped = EventModel(pattern, n_events).fit(others, time_pars=found.params.scales[0], channel_pars=found.params.magnitudes[0], **grouping)
+        return [found, grouped]
+
+    return both
+
+
 def mean_and_error(loo: DataFrame) -> DataFrame:
     """Per n_event: mean log-likelihood, its standard error, participants."""
     return loo.groupBy("n_event").agg(F.avg("loglik").alias("mean"), (F.stddev_samp("loglik") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n"))

@@ -22,6 +22,7 @@ from trialweave.functions import kernels
 from trialweave.functions.distributions import Distribution, Gamma
 from trialweave.functions.patterns import Pattern
 from trialweave.operators import preprocess, reduction
+from trialweave.plans.base import Estimator
 from trialweave.schema import TRIAL
 
 #: Trials of one padded block.
@@ -248,7 +249,7 @@ def exploded(probs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class EventModel:
+class EventModel(Estimator):
     """A given number of events; ``fit`` and ``transform`` over TrialData."""
 
     pattern: Pattern
@@ -403,9 +404,6 @@ class EventModel:
         frame, longest, _ = self.prepare(data, self.grouping)
         return probabilities(frame, params, self.distribution, longest, self.pattern.location if location else 0)
 
-    def fit_transform(self, data: TrialData, **options) -> DataFrame:
-        return self.fit(data, **options).transform(data)
-
     # -- results as rows
 
     def time_pars(self, spark) -> DataFrame:

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from trialweave.functions.distributions import Distribution, Gamma, Lognorm
 from trialweave.functions.patterns import Pattern
+from trialweave.plans.base import Estimator
 from trialweave.plans.event_model import EventModel, Params, TrialData
 
 
 @dataclass
-class EliminativeMethod:
+class EliminativeMethod(Estimator):
     """Fits the largest model, then drops the event whose loss costs least, down to one more than ``min_events``."""
 
     pattern: Pattern
@@ -55,7 +56,7 @@ class EliminativeMethod:
 
 
 @dataclass
-class CumulativeMethod:
+class CumulativeMethod(Estimator):
     """Adds events from the start of the trial on while the likelihood rises.
 
     With ``by_sample`` each sample of the trial is proposed once, also between events already found."""

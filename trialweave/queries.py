@@ -457,6 +457,22 @@ def pca_two_channels(spark, sf):
     return reduction.pca(preprocess.center(l1(spark, sf)), 1)[0].select("channel", "component", r6("w").alias("w"))
 
 
+@query("SELECT unnest(['0', '1']) AS component, unnest([1.0, 0.0]::DOUBLE[]) AS ratio, unnest([1.0, 1.0]::DOUBLE[]) AS cumulative")
+def explained_variance(spark, sf):
+    """The first component of two channels explains all of a covariance whose rows are centred."""
+    out = reduction.explained(spark, reduction.pca(preprocess.center(l1(spark, sf)), None)[1])
+    return out.select("component", r6("ratio").alias("ratio"), r6("cumulative").alias("cumulative"))
+
+
+@query(f"WITH {L1} SELECT 'u' || participant AS participant, epoch, sample, channel, round(value, 6) + 0.0 AS value FROM l1")
+def bids_samples(spark, sf):
+    """A folder per participant, read in one scan."""
+    path = _place(spark, "bids")
+    s = l1(spark, sf).select(*TRIAL, F.col("sample").cast("int").alias("sample"), "channel", "value")
+    s.repartition("participant").withColumn("sub-u", F.col("participant")).write.partitionBy("sub-u").parquet(path)
+    return signal_rows(readers.read_bids(spark, path, pattern="sub-u=*", schema="epoch long, sample int, channel string, value double").withColumn("participant", F.regexp_replace("participant", "=", "")))
+
+
 _FIR = """h AS (SELECT k, 0.675 * CASE WHEN k = 0 THEN 1 ELSE sin(pi() * 0.675 * k) / (pi() * 0.675 * k) END * (0.54 + 0.46 * cos(2 * pi() * k / 44)) AS h FROM (SELECT unnest(range(-22, 23)) AS k)),
 taps AS (SELECT k, h / (SELECT sum(h) FROM h) AS h FROM h),
 len AS (SELECT participant, epoch, channel, max(sample) AS z, arg_min(value, sample) AS x0, arg_max(value, sample) AS xz FROM l1 GROUP BY ALL),

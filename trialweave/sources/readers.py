@@ -74,6 +74,13 @@ def bids_participants(spark: SparkSession, root: str, pattern: str = "sub-*") ->
     return files.withColumn("participant", F.regexp_extract("path", r"/sub-([^/]+)/", 1))
 
 
+def read_bids(spark: SparkSession, root: str, *, pattern: str = "sub-*", files: str = "*.parquet", schema: str = SAMPLES) -> DataFrame:
+    """Samples of all files below ``root/sub-*`` in one scan, with the participant taken from the path."""
+    reader = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", files)
+    some = reader.csv(f"{root}/{pattern}", header=True) if files.endswith(".csv") else reader.parquet(f"{root}/{pattern}")
+    return some.withColumn("participant", F.regexp_extract(F.col("_metadata.file_path"), r"/sub-([^/]+)/", 1))
+
+
 def trigger_levels(spark: SparkSession, path: str) -> DataFrame:
     """code, kind, label of a task's event description (JSON ``value.Levels``)."""
     text = spark.read.text(path, wholetext=True).select(F.from_json("value", "value struct<Levels: map<string, string>>").alias("j"))
@@ -174,6 +181,7 @@ def read_raw_and_epoch(
     frequencies from a third of the new rate on are filtered out before, whatever ``low_pass`` says.
     Of triggers at one sample the first by code counts.  ``metadata(participant, epoch, rt_col, ...)``
     gives the response times itself (epochs number the stimuli and responses of a participant from 0).
+    Names of responses that do not say so get ``response/`` before them, so that no stimulus shares one.
     """
     if channels:
         raw = epoching.pick_channels(raw, channels)
@@ -184,6 +192,7 @@ def read_raw_and_epoch(
         low_pass = sfreq / factor / 3.1
     if low_pass is not None or high_pass is not None:
         raw = signal.filter_raw(raw, sfreq, high_pass, low_pass)
+    responses = {name if "response" in name else f"response/{name}": c for name, c in responses.items()}
     code = F.create_map(*(x for name, c in {**stimuli, **responses}.items() for x in (F.lit(c), F.lit(name))))
     marks = epoching.drop_repeated(triggers.where(F.col("code").isin([*stimuli.values(), *responses.values()]))).withColumn("event_name", F.element_at(code, F.col("code")))
     marks = marks.withColumn("epoch", F.row_number().over(Window.partitionBy("participant").orderBy("sample", "code")).cast("long") - 1)
