@@ -174,10 +174,12 @@ def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: b
     else on its samples (centred, whitened).  ``averaged``: canonical weights from trial averages.
     ``pca_only``: no canonical weights; each participant's own first components are given."""
     names = channel_names(samples)
-    people = sorted(r[0] for r in samples.select("participant").distinct().collect())
+    n_pcs = min(n_pcs or 3 * n_ccs, len(names))
+    people = sorted(r[0] for r in samples.select("participant").distinct().limit(MOST_CHANNELS // n_pcs + 1).collect())
     if len(people) < 2:
         raise ValueError("several participants are needed")
-    n_pcs = min(n_pcs or 3 * n_ccs, len(names))
+    if len(people) * n_pcs > MOST_CHANNELS:
+        raise ValueError(f"participants times components exceed {MOST_CHANNELS}, which is what one covariance may have")
     if n_ccs > n_pcs:
         warnings.warn("more canonical than principal components; taking as many", stacklevel=2)
         n_ccs = n_pcs

@@ -19,6 +19,8 @@ from trialweave.operators import epoching, signal
 
 SAMPLES = "participant string, epoch long, sample int, channel string, value double"
 RAW = "participant string, sample long, channel string, value double"
+#: Most names of files that are broadcast to a scan.
+MOST_BROADCAST = 100_000
 
 
 def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -41,18 +43,20 @@ def read_participants(spark: SparkSession, files: list[str], names: list[str] |
     named = {plain(f): n for f, n in zip(files, participant_names(files, names), strict=True)}
     if len(named) != len(files):
         raise ValueError("a file is given twice")
-    found = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-    table = F.create_map(*(F.lit(x) for pair in named.items() for x in pair))
-    name = F.coalesce(F.element_at(table, found), F.element_at(table, F.regexp_replace(found, "/[^/]*$", "")))
+    table = spark.createDataFrame(list(named.items()), "_path string, _name string")
+    table = F.broadcast(table) if len(named) <= MOST_BROADCAST else table
     out = None
     for csv in (False, True):
         some = [f for f in files if f.rstrip("*/").endswith(".csv") == csv]
         if some:
             reader = spark.read.schema(schema)
             one = reader.csv(some, header=True) if csv else reader.parquet(*some)
-            one = one.withColumn("participant", name)
+            one = one.withColumn("_file", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
             out = one if out is None else out.unionByName(one)
-    return out
+    columns = [c for c in out.columns if c not in ("_file", "participant")]
+    found = out.join(table, F.col("_file") == F.col("_path"), "left").withColumnRenamed("_name", "_own").drop("_path")
+    found = found.join(table, F.regexp_replace("_file", "/[^/]*$", "") == F.col("_path"), "left")
+    return found.select(F.coalesce("_own", "_name").alias("participant"), *columns)
 
 
 def read_epochs(spark: SparkSession, path: str, *, metadata: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
