@@ -40,11 +40,15 @@ def first_response(marks: DataFrame, is_stimulus: Column, is_response: Column, *
     """First response after each stimulus of ``marks(participant, epoch, at)``: rt in units of ``at``,
     null if none comes within tmin .. tmax.
 
-    One pass per participant from its last mark to its first, in which the response met last is
-    carried along; no join."""
-    w = Window.partitionBy("participant").orderBy(F.desc("at"), F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
-    nxt = F.last(F.when(is_response, F.col("at")), ignorenulls=True).over(w)
-    out = marks.withColumns({"_next": nxt, "_stim": is_stimulus}).where("_stim")
+    A recording is cut into stretches of ``tmax``, which also get the responses of the stretch behind
+    them; one pass over each, from its last mark to its first, carries the response met last along.
+    So a long recording is the work of many tasks, and there is no join."""
+    stretch = F.floor(F.col("at") / (tmax if tmax > 0 else 1.0))
+    own = marks.withColumns({"_stim": is_stimulus, "_resp": F.coalesce(is_response, F.lit(False)), "_own": stretch})
+    spread = own.withColumn("_in", F.explode(F.when(F.col("_resp"), F.array(F.col("_own"), F.col("_own") - 1)).otherwise(F.array("_own"))))
+    w = Window.partitionBy("participant", "_in").orderBy(F.desc("at"), F.desc("epoch")).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = F.last(F.when(F.col("_resp"), F.col("at")), ignorenulls=True).over(w)
+    out = spread.withColumn("_next", nxt).where("_stim and _in = _own")
     rt = F.col("_next") - F.col("at")
     return out.select(*TRIAL, *(keep or []), F.when((rt >= tmin) & (rt <= tmax), rt).alias("rt"))
 

@@ -189,7 +189,7 @@ _CODE_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _CO
 p AS (SELECT *, coalesce(lag(code) OVER (PARTITION BY participant ORDER BY sample), 0) AS prev FROM c)
 SELECT participant, sample, prev, CASE WHEN prev > 0 THEN code - prev ELSE code END AS code FROM p WHERE code <> prev AND code > 0""")
 def trigger_edges(spark, sf):
-    return readers.detect_triggers(_triggers(spark, sf))
+    return readers.detect_triggers(_triggers(spark, sf), block=20)
 
 
 def _place(spark, name: str) -> str:

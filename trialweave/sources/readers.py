@@ -101,11 +101,16 @@ def trigger_code(key: str) -> Column:
     return F.expr(f"try_cast(nullif(regexp_extract({key}, '([0-9]+)$', 1), '') as int)")
 
 
-def detect_triggers(raw: DataFrame, codes: list[int] | None = None) -> DataFrame:
-    """Rising edges of a trigger channel ``raw(participant, sample, code)``: participant, sample, prev, code."""
-    w = Window.partitionBy("participant").orderBy("sample")
-    prev = F.coalesce(F.lag("code").over(w), F.lit(0))
-    out = raw.select("participant", "sample", prev.alias("prev"), "code").where("code <> prev and code > 0")
+def detect_triggers(raw: DataFrame, codes: list[int] | None = None, *, block: int = 1 << 20) -> DataFrame:
+    """Rising edges of a trigger channel ``raw(participant, sample, code)``: participant, sample, prev, code.
+
+    Blocks of samples are worked on each by itself; what stood before a block comes from a table with a
+    row per block."""
+    own = raw.select("participant", "sample", "code", F.floor(F.col("sample") / block).alias("_block"))
+    last = own.groupBy("participant", "_block").agg(F.max_by("code", "sample").alias("_last"))
+    before = last.select("participant", "_block", F.lag("_last").over(Window.partitionBy("participant").orderBy("_block")).alias("_before"))
+    prev = F.lag("code").over(Window.partitionBy("participant", "_block").orderBy("sample"))
+    out = own.withColumn("prev", prev).join(before, ["participant", "_block"]).select("participant", "sample", F.coalesce("prev", "_before", F.lit(0)).alias("prev"), "code").where("code <> prev and code > 0")
     out = out.withColumn("code", F.when(F.col("prev") > 0, F.col("code") - F.col("prev")).otherwise(F.col("code")))
     return out.where(F.col("code").isin(codes)) if codes else out
 
