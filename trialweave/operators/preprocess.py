@@ -8,6 +8,7 @@ from enum import Enum
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 from trialweave.operators import reduction, signal
@@ -86,9 +87,11 @@ def zscore(samples: DataFrame, option: object = True, across: bool = False) -> D
 
 def empty_channels(samples: DataFrame) -> DataFrame:
     """(participant, channel) pairs without a single value."""
-    pairs = samples.select("participant").distinct().crossJoin(samples.select("channel").distinct())  # names only
-    good = samples.where(F.col("value").isNotNull() & ~F.isnan("value")).select("participant", "channel").distinct()
-    return pairs.join(good, ["participant", "channel"], "left_anti")
+    kind = samples.schema["channel"].dataType
+    names = F.array(*(F.lit(n) for n in reduction.channel_names(samples))).cast(ArrayType(kind))
+    good = F.col("value").isNotNull() & ~F.isnan("value")
+    found = samples.groupBy("participant").agg(F.collect_set(F.when(good, F.col("channel"))).alias("_found"))  # a channel once
+    return found.select("participant", F.explode(F.array_except(names, "_found")).alias("channel"))
 
 
 def project(samples: DataFrame, weights: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ from trialweave.schema import TRIAL
 
 #: Most channels a covariance may have on the driver.
 MOST_CHANNELS = 4096
+#: Most components of all participants together, between which covariances are taken on the driver.
+MOST_COMPONENTS = 1024
 
 
 def _trial_matrix(samples: np.ndarray, channels: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,11 +177,11 @@ def fit_mcca(samples: DataFrame, n_ccs: int, *, n_pcs: int | None = None, cov: b
     ``pca_only``: no canonical weights; each participant's own first components are given."""
     names = channel_names(samples)
     n_pcs = min(n_pcs or 3 * n_ccs, len(names))
-    people = sorted(r[0] for r in samples.select("participant").distinct().limit(MOST_CHANNELS // n_pcs + 1).collect())
+    people = sorted(r[0] for r in samples.select("participant").distinct().limit(MOST_COMPONENTS // n_pcs + 1).collect())
     if len(people) < 2:
         raise ValueError("several participants are needed")
-    if len(people) * n_pcs > MOST_CHANNELS:
-        raise ValueError(f"participants times components exceed {MOST_CHANNELS}, which is what one covariance may have")
+    if len(people) * n_pcs > MOST_COMPONENTS:
+        raise ValueError(f"participants times components exceed {MOST_COMPONENTS}")
     if n_ccs > n_pcs:
         warnings.warn("more canonical than principal components; taking as many", stacklevel=2)
         n_ccs = n_pcs

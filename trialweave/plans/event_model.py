@@ -27,6 +27,8 @@ from trialweave.schema import TRIAL
 
 #: Trials of one padded block.
 BLOCK = 256
+#: About the bytes of a partition of trials that are kept for many passes.
+KEPT_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -42,21 +44,22 @@ class TrialData:
     @classmethod
     def from_samples(cls, samples: DataFrame, pattern: Pattern, metadata: DataFrame | None = None, partitions: int | None = None, keep: bool = True) -> TrialData:
         """Cross-correlates preprocessed samples and gathers each trial into a row; ``keep`` holds them in
-        memory for the many passes of a fit.  Without it, the number of components and the durations come
-        from a pass over the samples' keys, so that only the model itself needs the gathered trials."""
+        memory for the many passes of a fit, in partitions of about ``KEPT_BYTES`` (one per core at least).
+        Without it the durations come from a pass over the samples' keys, as the number of components
+        always does, so that only the model itself needs the gathered trials."""
         rows = preprocess.gathered(preprocess.cross_correlate(samples, pattern.template)).withColumnRenamed("x", "cc")
         if metadata is not None:
             rows = rows.join(metadata, TRIAL, "left")
-        rows = rows.repartition(partitions, *TRIAL) if partitions else rows
-        if keep:
-            rows = rows.persist()
-            first = rows.select(F.size(F.element_at("cc", 1)).alias("n")).first()
-            if first is None:
-                raise ValueError("there are no trials")
-            return cls(rows, first["n"], pattern)
         components = len(reduction.channel_names(samples))
         if not components:
             raise ValueError("there are no trials")
+        if partitions:
+            rows = rows.repartition(partitions, *TRIAL)
+        elif keep:  # a pass over many nearly empty partitions costs more than the work in them
+            cells = samples.groupBy().agg(F.count("*")).first()[0]
+            rows = rows.coalesce(max(samples.sparkSession.sparkContext.defaultParallelism, -(-cells * 8 // KEPT_BYTES)))
+        if keep:
+            return cls(rows.persist(), components, pattern)
         lengths = samples.groupBy(*TRIAL, "channel").agg(F.count("*").alias("n")).groupBy(*TRIAL).agg(F.max("n").cast("int").alias("duration"))
         return cls(rows, components, pattern, lengths if metadata is None else lengths.join(metadata, TRIAL, "left"))
 

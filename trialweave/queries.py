@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from trialweave import sinks
 from trialweave.functions import kernels
-from trialweave.functions.distributions import FAMILIES
+from trialweave.functions.distributions import FAMILIES, Gamma
 from trialweave.functions.patterns import arbitrary, half_sine
 from trialweave.operators import epoching, preprocess, reduction, results, signal
 from trialweave.plans import crossval, event_model, simulate
@@ -473,6 +473,24 @@ def bids_samples(spark, sf):
     return signal_rows(readers.read_bids(spark, path, pattern="sub-u=*", schema="epoch long, sample int, channel string, value double").withColumn("participant", F.regexp_replace("participant", "=", "")))
 
 
+@query(f"""WITH {L1}, c AS (SELECT participant, epoch, a.channel AS a, b.channel AS b, covar_samp(a.value, b.value) AS cov FROM l1 a JOIN l1 b USING (participant, epoch, sample) GROUP BY ALL),
+p AS (SELECT participant, a, b, avg(cov) AS cov FROM c GROUP BY ALL), m AS (SELECT a, b, avg(cov) AS cov FROM p GROUP BY ALL),
+d AS (SELECT b AS channel, max(cov) FILTER (a = 'k') - max(cov) FILTER (a = 'value') AS d FROM m GROUP BY ALL),
+n AS (SELECT sqrt(sum(d * d)) * sign(arg_max(d, abs(d))) AS n FROM d),
+ce AS (SELECT *, value - avg(value) OVER (PARTITION BY participant, epoch, channel) AS x FROM l1)
+SELECT participant, epoch, sample, '0' AS channel, round(sum(x * d / n), 6) + 0.0 AS value FROM ce JOIN d USING (channel), n GROUP BY ALL""")
+def pca_scores(spark, sf):
+    return signal_rows(preprocess.preprocess(l1(spark, sf), method="pca", n_comp=1, apply_zscore=None).samples)
+
+
+@query("SELECT * FROM (VALUES (1, 'Stimulus', 'left'), (12, 'Response', 'hand')) t(code, kind, label)")
+def trigger_levels(spark, sf):
+    path = _place(spark, "levels")
+    text = '{"value": {"Levels": {"stim/1": "Stimulus - left", "resp12": "Response - hand", "x": "Stimulus - no number", "y3": "Pause"}}}'
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return readers.trigger_levels(spark, path)
+
+
 _FIR = """h AS (SELECT k, 0.675 * CASE WHEN k = 0 THEN 1 ELSE sin(pi() * 0.675 * k) / (pi() * 0.675 * k) END * (0.54 + 0.46 * cos(2 * pi() * k / 44)) AS h FROM (SELECT unnest(range(-22, 23)) AS k)),
 taps AS (SELECT k, h / (SELECT sum(h) FROM h) AS h FROM h),
 len AS (SELECT participant, epoch, channel, max(sample) AS z, arg_min(value, sample) AS x0, arg_max(value, sample) AS xz FROM l1 GROUP BY ALL),
@@ -588,6 +606,31 @@ def group_loglik_censored(spark, sf):
     return probs1(spark, sf, location=True).groupBy("grp").agg((F.round(F.sum("loglik"), 5) + 0.0).alias("loglik"), F.count("*").alias("trials"))
 
 
+def _given_model(n: int) -> EventModel:
+    """The fixed parameters' first ``n`` events."""
+    model = EventModel(PATTERN, n)
+    model.params, model.grouping = Params(np.array([[*SCALES[:n], SCALES[2]]]), np.array([B[:n]])), Grouping.make(n)
+    return model
+
+
+@query(f"WITH {F0},\n{_estep('o', B[:1], [SCALES[0], SCALES[2]], 0)} SELECT participant, epoch, CAST(1 AS INTEGER) AS n_events, round(ll, 6) + 0.0 AS loglik FROM oll UNION ALL SELECT participant, epoch, 2, round(ll, 6) + 0.0 FROM xll")
+def stacked_submodels(spark, sf):
+    found = EliminativeMethod(PATTERN, submodels={n: _given_model(n) for n in (2, 1)})
+    return found.transform(data1(spark, sf)).select(*TRIAL, "n_events", r6("loglik").alias("loglik"))
+
+
+@query(f"WITH {F0} SELECT participant, epoch, round(ll, 6) + 0.0 AS loglik FROM xll")
+def cumulative_transform(spark, sf):
+    return CumulativeMethod(PATTERN, model=_given_model(2)).transform(data1(spark, sf)).select(*TRIAL, r6("loglik").alias("loglik"))
+
+
+@query(f"SELECT CAST(0 AS INTEGER) AS grp, CAST(e AS INTEGER) AS event, CAST(c AS INTEGER) AS component, CAST(v AS DOUBLE) AS value FROM (VALUES {', '.join(f'({e}, {c}, {v})' for e, row in enumerate(B) for c, v in enumerate(row))}) t(e, c, v)")
+def stored_model(spark, sf):
+    path = _place(spark, "model")
+    sinks.write_model(_given_model(2), path, spark)
+    return sinks.read_model(path, spark).channel_pars(spark)
+
+
 _PROBS = f"WITH {F0} SELECT participant, epoch, CAST(event AS INTEGER) AS event, CAST(t AS INTEGER) AS sample, round(p, 6) + 0.0 AS prob FROM xp"
 
 
@@ -791,6 +834,16 @@ def given(spark, sf) -> DataFrame:
     return g.select(*TRIAL, F.lit(0).alias("grp"), F.posexplode(F.array(F.least("a", "b").cast("double"), F.greatest("a", "b").cast("double"))).alias("event", "time"))
 
 
+@query(f"WITH {E1}, {_GIVEN}, s AS (SELECT event, time - coalesce(lag(time) OVER (PARTITION BY participant, epoch ORDER BY event), 0) AS d FROM gt) SELECT CAST(event AS INTEGER) AS stage, round(avg(d), 6) + 0.0 AS mean, round(avg(d) / 2, 6) + 0.0 AS scale FROM s GROUP BY event")
+def true_scales(spark, sf):
+    return simulate.true_parameters(l1(spark, sf), given(spark, sf), Gamma(2))[0].select("stage", r6("mean").alias("mean"), r6("scale").alias("scale"))
+
+
+@query(f"WITH {L1}, {_GIVEN} SELECT CAST(event AS INTEGER) AS event, channel, round(avg(value), 6) + 0.0 AS value FROM gt JOIN l1 USING (participant, epoch) WHERE event = 0 AND sample = time GROUP BY ALL")
+def true_topographies(spark, sf):
+    return simulate.true_parameters(l1(spark, sf), given(spark, sf), Gamma(2))[1].select("event", "channel", r6("value").alias("value"))
+
+
 _MARKS = f"""WITH {E1}, {_GIVEN}, t AS (SELECT DISTINCT participant, epoch * 200 + 50 AS sample, 1 AS code FROM gt UNION ALL SELECT participant, CAST(epoch * 200 + 50 + time AS BIGINT), event + 2 FROM gt),
 m AS (SELECT participant, CAST(row_number() OVER w - 1 AS INTEGER) AS number, sample, CAST(0 AS INTEGER) AS prev, CAST(code AS INTEGER) AS code, sample - coalesce(lag(sample) OVER w, 0) AS since FROM t WINDOW w AS (PARTITION BY participant ORDER BY sample, code))"""
 
