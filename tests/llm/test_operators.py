@@ -561,6 +561,26 @@ def test_very_long_texts_go_through_every_operator(spark, sf):
     assert len(packed) == 4 and all(r["n"] == r["t"] for r in packed)
     lines = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(rows).collect()}
     assert lines[1] == 0 and lines[2] > 100_000
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    bad = toxicity.score(rows, toxicity.fit_on(docs, labels)).collect()
+    good = quality.grade(rows, quality.fit_on(docs, labels.selectExpr("doc_id", "quality as grade"), 2)).collect()
+    lang = langid.identify(rows, langid.fit_on(docs)).collect()
+    assert [len(x) for x in (bad, good, lang)] == [4, 4, 4] and {r["lang_pred"] for r in lang if r["doc_id"] == 4} == {"und"}
+
+
+def test_features_of_a_long_text_come_in_steps(monkeypatch):
+    from trialweave.llm import grams
+
+    rng = np.random.default_rng(3)
+    text = bytes(rng.integers(97, 123, 5_000, dtype=np.uint8)) + b" end"
+    table = rng.normal(size=(langid.GRAMS.width, 2))
+    whole = langid.GRAMS.mean_weights([text], table)
+    vector = langid.GRAMS.vectors([text])[0]
+    for step in (1, 2, 3, 700, 5_003):
+        monkeypatch.setattr(grams, "SLICE_BYTES", step)
+        assert np.allclose(langid.GRAMS.mean_weights([text], table), whole, atol=1e-12)
+        assert all((a == b).all() for a, b in zip(langid.GRAMS.vectors([text])[0], vector))
 
 
 # -- op7

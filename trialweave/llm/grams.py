@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from trialweave.llm.text import SLICE_BYTES
+
 _MUL = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1, 0xD3A2646D)]
 
 
@@ -36,16 +38,22 @@ class Grams:
         self.width = sum(len(sizes) for _, sizes in views) << bits
 
     def _parts(self, texts: list[bytes]):
-        """(buckets of all positions, text starts, n-grams of each text), cut at text ends."""
+        """(buckets of all positions, text starts, n-grams of each text), cut at text ends; a single long
+        text comes in several parts."""
         base = 0
         for view, sizes in self.views:
             seen = [view(t) for t in texts]
             lengths = np.fromiter(map(len, seen), np.int64, len(seen))
             data = np.frombuffer(b"".join(seen), np.uint8)
             ends = np.cumsum(lengths)
+            step = SLICE_BYTES if len(texts) == 1 else max(1, len(data))
             for size in sizes:
-                ids = buckets(data, size, self.bits) + base
-                yield ids, ends - lengths, np.maximum(0, lengths - size + 1)
+                if len(data) <= step:
+                    yield buckets(data, size, self.bits) + base, ends - lengths, np.maximum(0, lengths - size + 1)
+                else:
+                    for at in range(0, len(data) - size + 1, step):
+                        ids = buckets(data[at : at + step + size - 1], size, self.bits) + base
+                        yield ids, np.zeros(1, np.int64), np.array([len(ids)])
                 base += 1 << self.bits
 
     def mean_weights(self, texts: list[bytes], table: np.ndarray) -> np.ndarray:

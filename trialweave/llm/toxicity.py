@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialweave.llm.text import slices
+from trialweave.llm.text import SLICE_BYTES, slices
 from trialweave.llm.training import fitted, labelled
 
 #: Most labelled texts used for training (and ``training.TRAIN_BYTES`` of text).
@@ -161,7 +161,7 @@ class Matcher:
         self.automaton = LexiconAutomaton(terms)
 
     def words(self, texts: list[str]) -> list[set[str]]:
-        return [set(TOKEN.findall(t)) for t in texts]
+        return [set(TOKEN.findall(t)) if len(t) <= SLICE_BYTES else {m.group() for m in TOKEN.finditer(t)} for t in texts]
 
     def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
         a = self.automaton
@@ -179,17 +179,18 @@ FEATURES = 6
 def describe(text: str, known: dict[str, tuple[int, int]], weights: list[list[float]]) -> tuple[list[float], list[tuple[int, int, float]]]:
     """Features of a text with hits, and its hits as (start, end, weight in context)."""
     at, spans = [], []
-    tokens = [(m.start(), m.group()) for m in TOKEN.finditer(text)]
     quotes = [m.start() for m in _QUOTES.finditer(text)]
-    q = 0
+    q = count = 0
     last_cue = -(10**9)
     quoted = 0.0
-    for n, (start, word) in enumerate(tokens):
+    for n, m in enumerate(TOKEN.finditer(text)):
+        count, word = n + 1, m.group()
         hit = known.get(word)
         if word in CUES:
             last_cue = n
         if not hit:
             continue
+        start = m.start()
         while q < len(quotes) and quotes[q] < start:
             q += 1
         weight = weights[hit[0]][hit[1]]
@@ -210,7 +211,7 @@ def describe(text: str, known: dict[str, tuple[int, int]], weights: list[list[fl
     distinct: dict[int, float] = {}
     for _, w, term in at:
         distinct[term] = max(distinct.get(term, 0.0), w)
-    n = max(1, len(tokens))
+    n = max(1, count)
     return [1.0, math.log1p(max(0.0, total)), math.log1p(max(0.0, 100.0 * total / n)), math.log1p(max(0.0, best)), math.log1p(max(0.0, sum(distinct.values()))), math.log1p(quoted)], spans
 
 
