@@ -50,3 +50,30 @@ def test_empty_table(spark, sf):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_shared_and_missing_ids(spark, sf):
+    """Rows that share an id, have none, or are there twice lose no text that is not a copy."""
+    a, b, c, d = (" ".join(f"{x}{k} word{k * 7 % 31}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, c), (None, c + " end"), (None, d), (9, d + " end"), (2, None), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, n_chars long").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    near = stages["ngram_jaccard_join"](spark, docs, sf)
+    assert near.columns == docs.columns
+    got = sorted((repr(r["doc_id"]), repr(r["text"])) for r in near.collect())
+    assert got == sorted((repr(i), repr(t)) for i, t in [(1, a), (5, b), (None, c), (9, d + " end"), (2, None), (2, None)])
+    assert stages["decontamination"](spark, docs, sf).count() == len(rows)
+    lines = stages["line_dedup"](spark, docs, sf).collect()
+    assert {r["text"] for r in lines} >= {a, b} and len(lines) <= len(rows)
+    pieces = stages["packing"](spark, docs, sf).collect()
+    assert sum(r["length"] for r in pieces if r["start"] == 0) > 0 and sum(r["start"] == 0 for r in pieces) == len(rows)
+
+
+def test_run_is_the_stages_one_after_another(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    digest = lambda df: sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in df.collect())
+    pieces = lambda df: {i: sum(n for d, _, n, _ in df if d == i) for i in {d for d, _, _, _ in df}}
+    want, got = digest(docs), digest(corpus_pipeline.run(spark, sf))
+    assert pieces(got) == pieces(want) and len(got) > 0
