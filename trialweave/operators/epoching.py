@@ -114,6 +114,13 @@ def reject(samples: DataFrame, threshold: float) -> DataFrame:
     return samples.join(good, TRIAL, "left_semi")
 
 
+def drop_empty(samples: DataFrame) -> DataFrame:
+    """Samples of trials that have a value at all."""
+    v = F.col("value")
+    good = samples.groupBy(*TRIAL).agg(F.bool_or(v.isNotNull() & ~F.isnan(v)).alias("_any")).where("_any")
+    return samples.join(good, TRIAL, "left_semi")
+
+
 def align(samples: DataFrame, trials: DataFrame) -> DataFrame:
     """Only samples of the given trials."""
     return samples.join(trials.select(*TRIAL).distinct(), TRIAL, "left_semi")

@@ -270,6 +270,13 @@ def amplitude_reject(spark, sf):
     return signal_rows(epoching.reject(l1(spark, sf), 280.0))
 
 
+@query(f"WITH {L1}, h AS (SELECT participant, epoch, sample, channel, CASE WHEN epoch % 3 <> 0 AND sample % 2 = 0 THEN value END AS value FROM l1), ok AS (SELECT participant, epoch FROM h GROUP BY ALL HAVING count(value) > 0) SELECT {SIG} FROM h SEMI JOIN ok USING (participant, epoch)")
+def empty_trials(spark, sf):
+    """Trials without a value go; gaps inside the others stay."""
+    gaps = l1(spark, sf).withColumn("value", F.when((F.col("epoch") % 3 != 0) & (F.col("sample") % 2 == 0), F.col("value")))
+    return signal_rows(epoching.drop_empty(gaps))
+
+
 @query(f"WITH {L3} SELECT participant, epoch, sample, channel, round(value - avg(value) OVER (PARTITION BY participant, epoch, sample), 6) + 0.0 AS value FROM l3")
 def rereference(spark, sf):
     return signal_rows(epoching.average_reference(l3(spark, sf)))
@@ -853,6 +860,14 @@ def trigger_table(spark, sf):
     return simulate.trigger_table(given(spark, sf), 200, 50)
 
 
+@query(f"{_MARKS} SELECT CAST(participant AS INTEGER) AS participant, sample, prev, code FROM m")
+def generating_events(spark, sf):
+    """The trigger table written as CSV and read again."""
+    path = _place(spark, "generating-events")
+    sinks.write_generating_events(simulate.trigger_table(given(spark, sf), 200, 50), path)
+    return spark.read.csv(path, header=True, schema="sample long, prev int, code int, participant int").select("participant", "sample", "prev", "code")
+
+
 @query(f"{_MARKS} SELECT participant, number, since FROM m")
 def trigger_intervals(spark, sf):
     return simulate.trigger_intervals(simulate.trigger_table(given(spark, sf), 200, 50)).select("participant", "number", "since")

@@ -19,6 +19,12 @@ def write_event_probabilities_csv(probs: DataFrame, path: str) -> None:
     probs.write.mode("overwrite").csv(path, header=True)
 
 
+def write_generating_events(triggers: DataFrame, path: str) -> None:
+    """Triggers of a simulated recording as CSV, a folder per participant, each file in order of the samples."""
+    rows = triggers.select("participant", "sample", "prev", "code")
+    rows.repartition("participant").sortWithinPartitions("participant", "sample", "code").write.mode("overwrite").partitionBy("participant").csv(path, header=True)
+
+
 def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
