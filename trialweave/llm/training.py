@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trialweave.llm.shared import Scratch
+
 #: Most bytes of text that a model is fitted on.
 TRAIN_BYTES = 48 << 20
 
@@ -36,23 +38,25 @@ def fitted(rows: DataFrame, fit: Callable[[list[str], list[Any]], Any], *, bound
     """``fit(texts, labels)`` on rows of ``rows(doc_id, label, text)``, or None without rows.
 
     Equal rows count once.  At most ``bound`` rows, and ``most_bytes`` of text, are taken in the order of
-    a hash; a text that no longer fits is passed over.  Only sizes come to the driver; the texts go
-    to one task, which sends back the model."""
-    spark = rows.sparkSession
-    keyed = rows.withColumn("text_key", F.xxhash64("text"))
+    a hash; a text that no longer fits is passed over.  ``rows`` are read once, into a table; only sizes
+    come to the driver; the texts go to one task, which sends back the model."""
+    scratch = Scratch(rows.sparkSession, "training")
+    keyed = rows.withColumn("text_key", F.xxhash64("text")).groupBy("doc_id", "label", "text_key").agg(F.first("text").alias("text"))
+    kept = scratch.table(keyed, "texts")
     order = F.xxhash64("doc_id", "text_key", "label")
-    sizes = keyed.select("doc_id", "label", "text_key", F.octet_length("text").alias("size")).distinct().orderBy(order, "size").limit(bound).collect()
+    sizes = kept.select("doc_id", "label", "text_key", F.octet_length("text").alias("size")).orderBy(order, "doc_id", "label").limit(bound).collect()
     left, chosen = most_bytes, []
     for r in sizes:
         if r["size"] <= left:
             left -= r["size"]
             chosen.append((r["doc_id"], r["label"], r["text_key"]))
     if not chosen:
+        scratch.close()
         return None
-    kinds = dict(keyed.dtypes)
-    some = spark.createDataFrame(chosen, f"_id {kinds['doc_id']}, _label {kinds['label']}, _key long")
-    on = keyed["doc_id"].eqNullSafe(some["_id"]) & (keyed["label"] == some["_label"]) & (keyed["text_key"] == some["_key"])
-    taken = keyed.join(F.broadcast(some), on, "left_semi").groupBy("doc_id", "label", "text_key").agg(F.first("text").alias("text"))  # ``bound`` narrow rows
+    kinds = dict(kept.dtypes)
+    some = rows.sparkSession.createDataFrame(chosen, f"_id {kinds['doc_id']}, _label {kinds['label']}, _key long")
+    on = kept["doc_id"].eqNullSafe(some["_id"]) & (kept["label"] == some["_label"]) & (kept["text_key"] == some["_key"])
+    taken = kept.join(F.broadcast(some), on, "left_semi")  # ``bound`` narrow rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [row for b in batches for row in zip(*(b.column(c).to_pylist() for c in ("doc_id", "label", "text")), strict=True)]
@@ -60,4 +64,6 @@ def fitted(rows: DataFrame, fit: Callable[[list[str], list[Any]], Any], *, bound
         model = fit([r[2] for r in found], [r[1] for r in found])
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    return pickle.loads(taken.repartition(1).mapInArrow(run, "model binary").first()["model"])
+    model = taken.repartition(1).mapInArrow(run, "model binary").first()["model"]
+    scratch.close()
+    return pickle.loads(model)
