@@ -121,7 +121,7 @@ def test_ngram_join_with_blocks(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == brute_components({i: word_set(t, 4) for i, t in rows}, 85, 100)
 
 
-@pytest.mark.parametrize("pivots", [0, 1, 64])
+@pytest.mark.parametrize("pivots", [0, 64])
 def test_ngram_join_of_large_clusters(spark, monkeypatch, pivots):
     """Chains, and families that meet in buckets without a link, in clusters of several blocks."""
     rng = random.Random(5)
@@ -178,7 +178,7 @@ def test_ngram_join_keeps_texts_of_a_shared_passage_apart(spark, monkeypatch, mo
     assert at[0] >= 30 and at[1] <= 5 * at[0] and at[1] <= 600
 
 
-@pytest.mark.parametrize(("most", "levels"), [(5, 1), (5, 2), (5, 4), (20, 4), (4096, 4)])
+@pytest.mark.parametrize(("most", "levels"), [(5, 1), (5, 4), (20, 4)])
 def test_ngram_join_of_full_buckets(spark, monkeypatch, most, levels):
     """Keys with more rows than are compared: finer keys, and ties without a look at the end, lose nothing."""
     rng = random.Random(9)
@@ -545,22 +545,22 @@ def test_words_of_long_texts_are_hashed_in_steps(monkeypatch):
 
 
 def test_very_long_texts_go_through_every_operator(spark, sf):
-    """Texts of some 10 MB, alike but for an ending; one without a space."""
+    """Texts of some 4 MB, more than is hashed in a step, alike but for an ending; one without a space."""
     rng = random.Random(10)
     words = [f"w{k}" for k in range(50_000)]
-    base = " ".join(rng.choice(words) + ("\n" if k % 9 == 0 else "") for k in range(1_500_000))
-    rows = spark.createDataFrame([(1, base), (2, base + " end"), (3, "z" * 9_000_000), (4, None)], "doc_id long, text string").repartition(2)
+    base = " ".join(rng.choice(words) + ("\n" if k % 9 == 0 else "") for k in range(600_000))
+    rows = spark.createDataFrame([(1, base), (2, base + " end"), (3, "z" * 4_000_000), (4, None)], "doc_id long, text string").repartition(2)
     got = {r["doc_id"]: r["component_id"] for r in ngramjoin.jaccard_components(rows).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
-    bench = spark.createDataFrame([(7, " ".join(base.split()[900_000:900_020]))], "item_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(base.split()[400_000:400_020]))], "item_id long, text string")
     found = contaminated(rows, bench)
-    assert found[1][:3] == (1_500_000, 20, 1) and found[3][:3] == (1, 0, 0)
+    assert found[1][:3] == (600_000, 20, 1) and found[3][:3] == (1, 0, 0)
     rules = {r["doc_id"]: r for r in fertility.quality_rules(rows, queries.PIECES).collect()}
-    assert rules[1]["n_words"] == 1_500_000 and rules[3]["word_chars"] == 9_000_000
+    assert rules[1]["n_words"] == 600_000 and rules[3]["word_chars"] == 4_000_000
     packed = packing.pack_documents(rows, queries.WORD_BPE).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert len(packed) == 4 and all(r["n"] == r["t"] for r in packed)
     lines = {r["doc_id"]: r["n_removed"] for r in linededup.dedup_lines(rows).collect()}
-    assert lines[1] == 0 and lines[2] > 100_000
+    assert lines[1] == 0 and lines[2] > 50_000
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     bad = toxicity.score(rows, toxicity.fit_on(docs, labels)).collect()
