@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -752,6 +753,21 @@ def test_toxicity(spark, odd, empty):
     assert {r["score"] for r in toxicity.score(odd, None).collect()} == {0.0}
 
 
+def test_toxicity_fit_holds_each_word_once():
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(4, 11))) for _ in range(3000)]
+    labels = [int(k % 4 == 0) for k in range(800)]
+    texts = [" ".join(rng.choices(vocabulary, k=250)) + " badword" * y for y in labels]
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(texts, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.terms == [("badword", False)]
+    assert peak < 5 * sum(map(len, texts))  # sets of words of every text took 13 times their size
+
+
 def test_language(spark, sf, docs, odd, empty):
     got = queries.op10_language(spark, sf).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.95

@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -163,7 +163,7 @@ class Matcher:
     def words(self, texts: list[str]) -> list[set[str]]:
         return [set(TOKEN.findall(t)) if len(t) <= SLICE_BYTES else {m.group() for m in TOKEN.finditer(t)} for t in texts]
 
-    def hits(self, words: set[str]) -> dict[str, tuple[int, int]]:
+    def hits(self, words: Iterable[str]) -> dict[str, tuple[int, int]]:
         a = self.automaton
         out = {}
         for w in words:
@@ -235,36 +235,58 @@ def _surely_higher(a: float, b: float, n_a: int, n_b: int, z: float = 2.6) -> tu
     return ratio, ratio - z * math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
 
 
-def _one_of_each(words: list[set[str]], labels: list[int]) -> list[int]:
+def numbered(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """The distinct words of all texts, each held once, and per text the numbers of its distinct words."""
+    matcher, known = Matcher([]), {}
+    rows = [np.array([known.setdefault(w, len(known)) for w in matcher.words([t.lower()])[0]], np.int32) for t in texts]
+    return list(known), rows
+
+
+def _one_of_each(words: list[str], rows: list[np.ndarray], labels: list[int]) -> list[int]:
     """Rows without near copies (same label, same two least word hashes): copies would make
     the rare words of one text look telling."""
     import zlib
 
+    codes = np.fromiter((zlib.crc32(x.encode("utf-8", "replace")) for x in words), np.uint64, len(words))
+    others = (codes * np.uint64(2654435761)) & np.uint64(0xFFFFFFFF)
+    counted = np.fromiter((len(x) > 3 for x in words), bool, len(words))
     seen, out = set(), []
-    for i, w in enumerate(words):
-        codes = [zlib.crc32(x.encode("utf-8", "replace")) for x in w if len(x) > 3]
-        key = (labels[i], min(codes), min((c * 2654435761) & 0xFFFFFFFF for c in codes)) if codes else (labels[i], i, i)
+    for i, w in enumerate(rows):
+        w = w[counted[w]]
+        key = (labels[i], int(codes[w].min()), int(others[w].min())) if len(w) else (labels[i], i, i)
         if key not in seen:
             seen.add(key)
             out.append(i)
     return out
 
 
-def learn_terms(words: list[set[str]], labels: list[int], most: int = 2_000) -> list[tuple[str, bool]]:
-    """Words and word openings that are surely commoner in toxic texts."""
+def learn_terms(words: list[str], rows: list[np.ndarray], labels: list[int], most: int = 2_000) -> list[tuple[str, bool]]:
+    """Words and word openings that are surely commoner in toxic texts; ``rows`` are numbers of ``words``."""
     n_a = sum(labels)
     n_b = len(labels) - n_a
-    toxic: Counter[tuple[str, bool]] = Counter()
-    for w, y in zip(words, labels, strict=True):
+    telling = np.zeros(len(words), bool)
+    for w, y in zip(rows, labels, strict=True):
         if y:
-            toxic.update({(x, False) for x in w if len(x) > 2} | {(x[:k], True) for x in w for k in range(5, 9) if len(x) > k})
-    cand = {t for t, n in toxic.items() if n >= 4 and _surely_higher(n, 0, n_a, n_b)[1] > 1.0}
-    clean: Counter[tuple[str, bool]] = Counter()
-    for w, y in zip(words, labels, strict=True):
-        if not y:
-            clean.update(({(x, False) for x in w} | {(x[:k], True) for x in w for k in range(5, 9) if len(x) > k}) & cand)
-    bound = {t: _surely_higher(toxic[t], clean[t], n_a, n_b)[1] for t in cand}
-    order = sorted((t for t in cand if bound[t] > 1.0), key=lambda t: (-bound[t], t[1], t[0]))
+            telling[w] = True
+    toxic: dict[tuple[str, bool], int] = {}
+    bound: dict[tuple[str, bool], float] = {}
+    for size in (None, 5, 6, 7, 8):  # whole words, then openings, of one size at a time
+        heads = {}
+        for i in np.flatnonzero(telling).tolist():
+            if len(words[i]) > (size or 2):
+                heads.setdefault(words[i][:size], len(heads))
+        at = np.fromiter((heads.get(x[:size], -1) if len(x) > (size or 2) else -1 for x in words), np.int32, len(words))
+        count = np.zeros((2, len(heads)), np.int64)
+        for w, y in zip(rows, labels, strict=True):
+            found = at[w]
+            count[1 if y else 0, np.unique(found[found >= 0])] += 1
+        names = list(heads)
+        for i in np.flatnonzero(count[1] >= 4).tolist():
+            a, b = int(count[1, i]), int(count[0, i])
+            if _surely_higher(a, 0, n_a, n_b)[1] > 1.0:
+                term = names[i], size is not None
+                toxic[term], bound[term] = a, _surely_higher(a, b, n_a, n_b)[1]
+    order = sorted((t for t in bound if bound[t] > 1.0), key=lambda t: (-bound[t], t[1], t[0]))
     out: list[tuple[str, bool]] = []
     heads: set[str] = set()
     whole = {t[0] for t in order if not t[1]}
@@ -284,14 +306,15 @@ def learn_terms(words: list[set[str]], labels: list[int], most: int = 2_000) ->
 def fit(texts: list[str], labels: list[int]) -> ToxicityModel | None:
     if not texts or len(set(labels)) < 2:
         return None
-    texts = [t.lower() for t in texts]
-    matcher = Matcher([])
-    words = matcher.words(texts)
-    rows = _one_of_each(words, labels)
-    some, marks = [words[i] for i in rows], [labels[i] for i in rows]
-    terms = learn_terms([{plain(x) for x in w} for w in some], marks)
-    matcher = Matcher(terms)
-    seen = [matcher.hits(w) for w in some]
+    words, numbers = numbered(texts)
+    rows = _one_of_each(words, numbers, labels)
+    some, marks = [numbers[i] for i in rows], [labels[i] for i in rows]
+    forms: dict[str, int] = {}
+    form = np.fromiter((forms.setdefault(plain(x), len(forms)) for x in words), np.int32, len(words))
+    terms = learn_terms(list(forms), [np.unique(form[w]) for w in some], marks)
+    hits = Matcher(terms).hits(words)
+    matched = np.fromiter((x in hits for x in words), bool, len(words))
+    seen = [{words[j]: hits[words[j]] for j in w[matched[w]].tolist()} for w in some]
     n_a, n_b = sum(marks), len(marks) - sum(marks)
     count: dict[tuple[int, int], list[int]] = defaultdict(lambda: [0, 0])
     for found, y in zip(seen, marks, strict=True):
@@ -309,7 +332,7 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel | None:
         weights.append(row)
     x, y = [], np.array(marks, float)
     for i, found in zip(rows, seen, strict=True):
-        x.append(describe(texts[i], found, weights)[0] if found else [0.0] * FEATURES)
+        x.append(describe(texts[i].lower(), found, weights)[0] if found else [0.0] * FEATURES)
     x = np.array(x)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = np.hstack([np.ones((len(x), 1)), (x - centre) / scale])
